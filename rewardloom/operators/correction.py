@@ -110,7 +110,8 @@ def _token_rows(df: DataFrame, upper: float, lower: float, mask: str, row: Seque
     tokens = seq.flat(df, ["old_logp", "rollout_logp"], mask, row, outer=True)
     w = F.exp(clamp(_ratio(TOKEN), -BOUND, BOUND))
     tokens = tokens.withColumn("__w", F.when(F.col(mask) != 0, w))
-    w, bounded = F.col("__w"), clamp(F.col("__w"), lower, upper)
+    w = F.col("__w")
+    bounded = F.when(F.col(mask) != 0, clamp(w, lower, upper))
     count = lambda c: F.sum(F.coalesce(c.cast("double"), F.lit(0.0)))
     return tokens.groupBy(*row).agg(
         F.sum(mask).cast("double").alias("n"), F.coalesce(F.sum(w), F.lit(0.0)).alias("w"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions import seq
+from rewardloom.functions.scan import prefix_sum
 from rewardloom.functions.seq import EPS
 from rewardloom.plans.scale import with_group_stats, with_scalars
 
@@ -489,7 +490,7 @@ def view_type_loss(
 
 def subsequence_loss(packs: DataFrame, loss: str = "loss", mask: str = "loss_mask", members: str = "members") -> DataFrame:
     """Mean over packed members of their token-mean loss; members without valid tokens are skipped."""
-    ends = seq.prefix_sum(F.transform(members, lambda m: m["len"].cast("double")))
+    ends = prefix_sum(F.transform(members, lambda m: m["len"].cast("double")))
     spans = F.arrays_zip(F.col(members).alias("m"), ends.alias("end"))
     each = packs.select(loss, mask, F.explode(spans).alias("x")).select(
         F.slice(loss, (F.col("x.end") - F.col("x.m.len") + 1).cast("int"), F.col("x.m.len").cast("int")).alias("l"),

@@ -190,3 +190,17 @@ def unit_draw(seed: int, *cols: str | Column) -> Column:
     """Reproducible uniform number in [0, 1) per row: 52 bits of the seeded digest."""
     digits = F.substring(seeded_key(seed, *cols), 1, 13)
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))
+
+
+def gather_lists(
+    df: DataFrame, keys: Sequence[str], order: Order, item: Column, name: str, limit: int = 10_000, rows: int | None = None
+) -> DataFrame:
+    """Ordered list of ``item`` per group, in segments of at most ``limit`` entries.
+
+    A group that fits has one row with ``segment`` 0; a larger one has several rows, so
+    no single row or task holds an unbounded group.
+    """
+    ranked = rank_within(df.withColumn("__item", item), keys, order, "__i", rows=rows)
+    ranked = ranked.withColumn("segment", F.floor(F.col("__i") / limit).cast("int"))
+    lists = ranked.groupBy(*keys, "segment").agg(F.array_sort(F.collect_list(F.struct("__i", "__item"))).alias("__l"))
+    return lists.select(*keys, "segment", F.col("__l.__item").alias(name))
