@@ -94,3 +94,37 @@ def generalized_advantages(
         return out
 
     return _column(run, rewards, values, mask)
+
+
+def marker_spans(ids: Column | str, start: int, assistant: int, end: int, header: int) -> Column:
+    """1 from ``header`` tokens after a (start, assistant) pair through the next end token."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        width = x.shape[1]
+        at = np.arange(width)
+        opens = np.zeros(x.shape, dtype=bool)
+        opens[:, :-1] = (x[:, :-1] == start) & (x[:, 1:] == assistant)
+        first = np.full(x.shape, -1)
+        if width > header:
+            first[:, header:] = np.where(opens[:, : width - header], at[header:], -1)
+        opened = np.maximum.accumulate(first, axis=1)
+        ends = x == end
+        closed = np.full(x.shape, -1)
+        closed[:, 1:] = np.maximum.accumulate(np.where(ends, at, -1), axis=1)[:, :-1]
+        ahead = np.minimum.accumulate(np.where(ends, at, width)[:, ::-1], axis=1)[:, ::-1]
+        inside = (opened >= 0) & (opened > closed) & (ahead < width)
+        # A span that would hold only its end marker is empty.
+        return (inside & (ahead > opened)).astype(np.float64)
+
+    return _column(run, ids)
+
+
+def window_any(flags: Column | str, size: int) -> Column:
+    """Number of set flags among the ``size`` entries before each position."""
+
+    def run(m: np.ndarray) -> np.ndarray:
+        total = np.concatenate([np.zeros((len(m), 1)), np.cumsum(m != 0, axis=1)], axis=1)
+        at = np.arange(m.shape[1])
+        return (total[:, at] - total[:, np.maximum(at - size, 0)]).astype(np.float64)
+
+    return _column(run, flags)
