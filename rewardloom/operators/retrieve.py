@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.operators.prep import passages_to_text
-from rewardloom.plans.scale import gather_lists, rank_within, top_k, union_all
+from rewardloom.plans.scale import gather_lists, rank_within, top_k, union_all, with_scalars
 
 QUERY_BLOCK = 4096
 
@@ -81,14 +81,13 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b:
     and document frequency is an aggregate over those.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    lengths = corpus.select("doc_id", F.size(terms(F.col("text"))).cast("double").alias("len"))
-    totals = lengths.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("len").alias("__avg"))
-    tokens = corpus.select("doc_id", F.size(terms(F.col("text"))).cast("double").alias("len"), F.explode(terms(F.col("text"))).alias("term"))
+    # Terms are taken once per text: a size computed beside the explode would be redone per token.
+    split = corpus.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("double").alias("len"), "t")
+    totals = split.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("len").alias("__avg"))
+    tokens = split.select("doc_id", "len", F.explode("t").alias("term"))
     tokens = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
     tf = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("len").alias("len"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    from rewardloom.plans.scale import with_scalars
-
     weighted = with_scalars(tf.join(df, "term"), totals)
     idf = F.log(1 + (F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("__avg"))
