@@ -8,11 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rewardloom.plans.scale import rank_within
 from rewardloom.session import configure
+from rewardloom.streaming.flows import work_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,22 +55,60 @@ def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
-def rollouts(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").drop("l_linestatus")
-    rows = lines.count()
-    lines = rank_within(lines, ["l_orderkey"], LINE_ORDER, "rollout_n", rows=rows)
-    if indexed:
+# Staged tables of this process: (application, data folder) to the written folder.
+_STAGED: dict[tuple[str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rollouts with all token arrays, derived from the tables once per application.
+
+    The table is written to the shared checkpoint folder, partitioned by group, as sampled
+    responses would lie at rest; queries read the columns they need.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STAGED:
+        lines = table(spark, sf_dir, "lineitem").drop("l_linestatus")
+        rows = lines.count()
+        lines = rank_within(lines, ["l_orderkey"], LINE_ORDER, "rollout_n", rows=rows)
         lines = rank_within(lines, [], ["l_orderkey", *LINE_ORDER], "row_idx", rows=rows)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return joined.select(
-        *(["row_idx"] if indexed else []),
-        F.col("l_orderkey").alias("uid"), "rollout_n", F.col("o_orderpriority").alias("data_source"),
-        F.col("l_returnflag").alias("view_type"), F.round(F.col("l_discount") * 100).alias("score"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("pred"), F.col("l_quantity").cast("int").alias("response_len"),
-        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("param_version"),
-        "l_partkey", "l_suppkey", "l_linenumber",
-    )
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+        base = joined.select(
+            "row_idx", F.col("l_orderkey").alias("uid"), "rollout_n", F.col("o_orderpriority").alias("data_source"),
+            F.col("l_returnflag").alias("view_type"), F.round(F.col("l_discount") * 100).alias("score"),
+            F.round(F.col("l_tax") * 100).cast("int").alias("pred"), F.col("l_quantity").cast("int").alias("response_len"),
+            (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("param_version"),
+            "l_partkey", "l_suppkey", "l_linenumber",
+        )
+        kinds = {c: "array<int>" if c == "mask" else "array<double>" for c in TOKEN_FORMULAS}
+        schema = ", ".join(f"`{c}` {t}" for c, t in [*base.dtypes, *kinds.items()])
+        parts = max(8, rows // 250_000)
+        folder = f"{work_folder(spark)}/rollouts"
+        base.repartition(parts, "uid").mapInArrow(_with_tokens, schema).write.parquet(folder)
+        _STAGED[key] = folder
+    return spark.read.parquet(_STAGED[key])
+
+
+def _with_tokens(batches):
+    """Evaluate the token formulas over all tokens of an Arrow batch."""
+    for batch in batches:
+        columns = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in ("l_partkey", "l_suppkey", "l_linenumber", "response_len", "score")}
+        sizes = columns["response_len"].astype(np.int64)
+        ends = np.cumsum(sizes)
+        names = {n: np.repeat(v, sizes) for n, v in columns.items()}
+        names["t"] = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes, sizes) + 1
+        offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
+        arrays = []
+        for name, text in TOKEN_FORMULAS.items():
+            values = eval(_IN_NUMPY.get(name, text).format(**_NUMPY), {"where": np.where}, names)  # noqa: S307
+            arrays.append(pa.ListArray.from_arrays(offsets, pa.array(values.astype(np.int32 if name == "mask" else np.float64))))
+        yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *TOKEN_FORMULAS])
+
+
+def rollouts(spark: SparkSession, sf_dir: str, indexed: bool = False) -> DataFrame:
+    df = staged(spark, sf_dir).drop(*TOKEN_FORMULAS)
+    configure(spark)
+    return df if indexed else df.drop("row_idx")
 
 
 R = """
@@ -96,17 +137,20 @@ TOKEN_FORMULAS = {
     "advantages": "((l_linenumber*7 + t*3 + l_partkey) % 41 - 20)/{d10}",
     "entropy": "((l_partkey*13 + t*29) % 300)/{d100}",
 }
-_SPARK = {"d100": "100.0D", "d10": "10.0D", "zero": "0.0D"}
+_IN_NUMPY = {
+    "mask": "where((t < response_len) & ((t*7 + l_linenumber) % 5 == 0), 0, 1)",
+    "rewards": "where(t == response_len, score, 0.0)",
+}
+_NUMPY = {"d100": "100.0", "d10": "10.0", "zero": "0.0"}
 _DUCK = {"d100": "100.0::double", "d10": "10.0::double", "zero": "0.0::double"}
 
 
 def tokens(spark: SparkSession, sf_dir: str, *columns: str, indexed: bool = False) -> DataFrame:
-    """Rollouts with the named token arrays, built inside each row."""
-    df = rollouts(spark, sf_dir, indexed)
-    arrays = {
-        c: F.expr(f"transform(sequence(1, response_len), t -> {TOKEN_FORMULAS[c].format(**_SPARK)})") for c in columns
-    }
-    return df.withColumns(arrays)
+    """Rollouts with the named token arrays."""
+    rest = [c for c in TOKEN_FORMULAS if c not in columns] + ([] if indexed else ["row_idx"])
+    df = staged(spark, sf_dir).drop(*rest)
+    configure(spark)
+    return df
 
 
 T = R + """,

@@ -110,13 +110,13 @@ def _accumulate(df, keys, order, name, per_row, total, rows, rows_per_range) ->
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # A range can continue at most one key from the range before it, so this has one row per range.
     carried = sizes.withColumn("__carry", F.sum("__size").over(earlier)).where(F.col("__carry").isNotNull())
-    carried = carried.select("__range", F.struct(*keys, F.lit(0).alias("__z")).alias("__key"), "__carry")
+    carried = carried.select("__range", F.struct(*keys, F.lit(0).alias("__z")).alias("__carry_key"), "__carry")
     inside = marked.withColumn(name, per_row(Window.partitionBy("__range", *keys).orderBy(*sort)))
     own_key = F.struct(*keys, F.lit(0).alias("__z"))
     joined = inside.join(F.broadcast(carried), "__range", "left")
-    carry = F.when(F.col("__key").eqNullSafe(own_key), F.col("__carry"))
+    carry = F.when(F.col("__carry_key").eqNullSafe(own_key), F.col("__carry"))
     result = F.col(name) + F.coalesce(carry, F.lit(0))
-    return joined.withColumn(name, result).drop("__range", "__key", "__carry")
+    return joined.withColumn(name, result).drop("__range", "__carry_key", "__carry")
 
 
 def rank_within(
