@@ -12,13 +12,13 @@ ROW = ["uid", "rollout_n"]
 
 
 def _digest(df, *arrays):
+    tokens_ = df.select(*ROW, F.posexplode(seq.zipped(*arrays, "mask")).alias("p", "e")).where("e.mask != 0")
     out = []
-    weighted = lambda a: lambda e, i: F.when(e["mask"] != 0, e[a] * (i + 1)).otherwise(0.0)
     for a in arrays:
-        pairs = F.transform(seq.zipped(a, "mask"), weighted(a))
-        out.append(r6(seq.masked_sum(a, "mask"), 4).alias(f"{a}_sum"))
-        out.append(r6(F.aggregate(pairs, F.lit(0.0), lambda x, y: x + y), 4).alias(f"{a}_pos"))
-    return df.select(*ROW, *out)
+        v = F.col("e")[a]
+        out += [F.sum(v).alias(f"{a}_sum"), F.sum(v * (F.col("p") + 1)).alias(f"{a}_pos")]
+    sums = tokens_.groupBy(*ROW).agg(*out)
+    return sums.select(*ROW, *[r6(F.col(c), 4).alias(c) for c in sums.columns if c not in ROW])
 
 
 def _digest_sql(source, *arrays):

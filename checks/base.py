@@ -55,6 +55,24 @@ def rounded(df: DataFrame, *keep: str, digits: int = 6) -> DataFrame:
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice"]
 
 
+def derive_rollouts(spark: SparkSession, sf_dir: str, indexed: bool = False) -> tuple[DataFrame, int]:
+    """Line items as sampled responses of their orders, and how many there are."""
+    lines = table(spark, sf_dir, "lineitem").drop("l_linestatus")
+    rows = lines.count()
+    lines = rank_within(lines, ["l_orderkey"], LINE_ORDER, "rollout_n", rows=rows)
+    if indexed:
+        lines = rank_within(lines, [], ["l_orderkey", *LINE_ORDER], "row_idx", rows=rows)
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.select(
+        *(["row_idx"] if indexed else []), F.col("l_orderkey").alias("uid"), "rollout_n", F.col("o_orderpriority").alias("data_source"),
+        F.col("l_returnflag").alias("view_type"), F.round(F.col("l_discount") * 100).alias("score"),
+        F.round(F.col("l_tax") * 100).cast("int").alias("pred"), F.col("l_quantity").cast("int").alias("response_len"),
+        (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("param_version"),
+        "l_partkey", "l_suppkey", "l_linenumber",
+    ), rows
+
+
 # Staged tables of this process: (application, data folder) to the written folder.
 _STAGED: dict[tuple[str, str], str] = {}
 
@@ -67,19 +85,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
-        lines = table(spark, sf_dir, "lineitem").drop("l_linestatus")
-        rows = lines.count()
-        lines = rank_within(lines, ["l_orderkey"], LINE_ORDER, "rollout_n", rows=rows)
-        lines = rank_within(lines, [], ["l_orderkey", *LINE_ORDER], "row_idx", rows=rows)
-        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-        joined = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        base = joined.select(
-            "row_idx", F.col("l_orderkey").alias("uid"), "rollout_n", F.col("o_orderpriority").alias("data_source"),
-            F.col("l_returnflag").alias("view_type"), F.round(F.col("l_discount") * 100).alias("score"),
-            F.round(F.col("l_tax") * 100).cast("int").alias("pred"), F.col("l_quantity").cast("int").alias("response_len"),
-            (F.year("l_shipdate") * 12 + F.month("l_shipdate")).cast("long").alias("param_version"),
-            "l_partkey", "l_suppkey", "l_linenumber",
-        )
+        base, rows = derive_rollouts(spark, sf_dir, True)
         kinds = {c: "array<int>" if c == "mask" else "array<double>" for c in TOKEN_FORMULAS}
         schema = ", ".join(f"`{c}` {t}" for c, t in [*base.dtypes, *kinds.items()])
         parts = max(8, rows // 250_000)

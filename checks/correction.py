@@ -57,8 +57,9 @@ for _level, _hi in (("token", 1.05), ("sequence", 2.0), ("geometric", 1.005)):
         lambda spark, sf_dir, level=_level, hi=_hi: rounded(C.rs_metrics(tokens(spark, sf_dir, *LOGPS), level, hi)))
 
 
-def _sums(df, *arrays):
-    return df.select("uid", "rollout_n", *[r6(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), 5).alias(f"{a}_sum") for a in arrays])
+def _sums(df, array):
+    tokens_ = seq.flat(df, [array], "mask", ["uid", "rollout_n"])
+    return tokens_.groupBy("uid", "rollout_n").agg(r6(F.sum(array), 5).alias(f"{array}_sum"))
 
 
 @query("c01_is_weights_token", f"""with {T}, {X}, w as (select *, least(exp(d)*mask, 1.05) w from x), m as (select sum(w*mask)/(sum(mask)+1e-8) m from w)

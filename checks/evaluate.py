@@ -117,6 +117,17 @@ def dense(spark, sf_dir):
 _TERMS = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
+@query("j08_query_corpus_best", """with e as (select vec_id, label, [x::double for x in embedding] as v from embeddings), n as (select vec_id, label, v, sqrt(list_sum([x*x for x in v])) as l from e),
+  s as (select q.vec_id as query_id, c.vec_id as doc_id, c.label, list_dot_product(q.v, c.v)/(q.l*c.l) as score from n q, n c),
+  k as (select *, row_number() over (partition by query_id order by round(score, 9) desc, doc_id) r from s)
+  select query_id, count(*) as hits, round(max(score),6) as best, round(min(score),6)+0.0 as worst from k where r <= 3 group by 1""")
+def best_of_corpus(spark, sf_dir):
+    """Every vector as a query, in small blocks, so several blocks meet the corpus."""
+    e = table(spark, sf_dir, "embeddings")
+    hits = X.dense_topk(e.select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("doc_id"), "embedding"), 3, block=200)
+    return rounded(hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("hits"), F.max("score").alias("best"), F.min("score").alias("worst")))
+
+
 @query("x02_bm25_topk", f"""with d as (select doc_id, unnest({_TERMS}) as term from documents), tf as (select doc_id, term, count(*)::double tf from d group by 1,2),
   len as (select doc_id, sum(tf) dl from tf group by 1), st as (select count(*)::double n, sum(dl)/(select count(*) from documents) avg_dl from (select doc_id, coalesce(dl,0) dl from documents left join len using (doc_id))),
   df as (select term, count(*)::double df from tf group by 1), q as (select distinct item_id, unnest({_TERMS}) as term from benchmark),

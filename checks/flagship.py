@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import R, query, r6, rollouts
+from checks.base import R, derive_rollouts, query, r6
 from rewardloom.operators.advantage import group_filter
 from rewardloom.operators.evaluate import majority_value
 from rewardloom.operators.reduce import group_mean_std
@@ -23,7 +23,7 @@ select data_source, count(*) as groups, cast(sum(n) as bigint) as rollouts, roun
   round(sum(abs_adv)/sum(n),6) as mean_abs_advantage, round(avg(maj),6) as majority_score
 from item join maj using (uid) group by data_source""")
 def source_report(spark, sf_dir):
-    kept = group_filter(rollouts(spark, sf_dir).select("uid", "rollout_n", "data_source", "score", "pred"))
+    kept = group_filter(derive_rollouts(spark, sf_dir)[0].select("uid", "rollout_n", "data_source", "score", "pred"))
     scored = group_mean_std(kept, "uid", "score")
     adv = (F.col("score") - F.col("group_mean")) / (F.col("group_std") + 1e-6)
     items = scored.groupBy("data_source", "uid").agg(

@@ -230,3 +230,11 @@ def reprojection(spark, sf_dir):
 @query("r23_answer_agreement", f"with {R}, v as (select uid, pred, count(*) c from r group by 1,2) select uid, cast(sum(c) as bigint) as n, count(*) as answers, round(max(c)/sum(c),6) as agreement from v group by 1")
 def agreement(spark, sf_dir):
     return rounded(E.answer_agreement(rollouts(spark, sf_dir), "uid", "pred"))
+
+
+@query("j07_pairs_within_sample", f"""with {R}, {BOX} select uid, rollout_n, 1 as gold_of_first, 0 as gold_of_second, round(o1,6)+0.0 as first_overlap, round(o2,6)+0.0 as second_overlap from w""")
+def pairs(spark, sf_dir):
+    """Predicted against gold boxes of one sample, matched inside the sample's row."""
+    m = lambda p: F.filter("matches", lambda x: x["pred"] == p)[0]
+    return boxes(spark, sf_dir).select(*ROW, m(0)["gold"].alias("gold_of_first"), m(1)["gold"].alias("gold_of_second"),
+                                       r6(m(0)["overlap"]).alias("first_overlap"), r6(m(1)["overlap"]).alias("second_overlap"))

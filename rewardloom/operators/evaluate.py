@@ -32,9 +32,9 @@ def mean_std_at_n(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def majority_value(df: DataFrame, keys: Sequence[str], pred: str, value: str, order: str) -> DataFrame:
     """Value of the first row of the most frequent prediction; ties go to the first seen."""
     votes = df.groupBy(*keys, pred).agg(
-        F.count(F.lit(1)).alias("c"), F.min(order).alias("f"), F.min_by(value, order).alias("v")
+        F.count(F.lit(1)).alias("__c"), F.min(order).alias("__f"), F.min_by(value, order).alias("__v")
     )
-    return votes.groupBy(*keys).agg(F.max_by("v", F.struct(F.col("c"), -F.col("f"))).alias("majority"))
+    return votes.groupBy(*keys).agg(F.max_by("__v", F.struct(F.col("__c"), -F.col("__f"))).alias("majority"))
 
 
 def _value_steps(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -126,11 +126,13 @@ def majority_bootstrap(
     """
     ranked = rank_within(df, keys, [order], "i")
     ranked = with_group_stats(ranked, keys, F.count(F.lit(1)).alias("n")).where("n > 1")
+    item = F.struct("i", F.col(pred).cast("string").alias("p"), F.col(value).cast("double").alias("v"))
     small = ranked.where(F.col("n") <= group_limit).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("i", F.col(pred).cast("string").alias("p"), F.col(value).cast("double").alias("v")))).alias("g"),
-        F.max("n").alias("n"),
+        F.array_sort(F.collect_list(item)).alias("__rows"), F.max("n").alias("__n")
+    )
+    small = small.select(
+        *keys, F.col("__rows.p").alias("__p"), F.col("__rows.v").alias("__v"), F.explode(subset_sizes(F.col("__n"))).alias("k")
     )
-    small = small.select(*keys, F.col("g.p").alias("p"), F.col("g.v").alias("v"), F.explode(subset_sizes(F.col("n"))).alias("k"))
     result = T.StructType([T.StructField("mean", T.DoubleType()), T.StructField("std", T.DoubleType())])
 
     @F.pandas_udf(result)
@@ -141,8 +143,8 @@ def majority_bootstrap(
         ]
         return pd.DataFrame(rows, columns=["mean", "std"])
 
-    inside = small.select(*keys, "k", resample("p", "v", "k").alias("r")).select(
-        *keys, "k", F.col("r.mean").alias("maj_mean"), F.col("r.std").alias("maj_std")
+    inside = small.select(*keys, "k", resample("__p", "__v", "k").alias("__r")).select(
+        *keys, "k", F.col("__r.mean").alias("maj_mean"), F.col("__r.std").alias("maj_std")
     )
     large = ranked.where(F.col("n") > group_limit)
     sizes = large.groupBy(*keys).agg(F.max("n").alias("n")).withColumn("k", F.explode(subset_sizes(F.col("n"))))

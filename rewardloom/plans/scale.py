@@ -3,9 +3,10 @@
 * ``with_group_stats`` aggregates a group once (partial aggregation before the
   shuffle) and joins the small result back, so a hot key is only ever a skewed
   join side, which AQE splits.
-* ``rank_within`` / ``running_total`` number or accumulate rows by cutting the
-  sort order into key ranges; each range is one window partition and the totals
-  of earlier ranges are added from a table with at most one row per range.
+* ``rank_within`` / ``running_total`` number or accumulate rows with a window per
+  group while groups are small. Where one is not, the sort order is cut into key
+  ranges; each range is one window partition and the totals of earlier ranges are
+  added from a table with at most one row per range.
 * ``with_scalars`` attaches a one-row aggregate as constants, without a join.
 """
 
@@ -94,15 +95,18 @@ def _range_id(df: DataFrame, position: Column, count: int, json: str) -> Column:
 
 
 def _accumulate(df, keys, order, name, per_row, total, rows, rows_per_range) -> DataFrame:
-    """Shared body: window inside a range plus the total of earlier ranges."""
-    rows = df.count() if rows is None else rows
-    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
-    position = _position(keys, order)
-    count, cuts = _cut_points(df, position, ranges, rows) if ranges > 1 else (0, "[]")
+    """Shared body: a plain window while every group is small, else a window inside a range
+    plus the total of earlier ranges. Group sizes come from one narrow aggregate."""
     sort = _sort_columns(order)
-    if not count:
+    largest = rows
+    if rows is None or (keys and rows > rows_per_range):
+        sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest"), F.sum("n").alias("rows")).first()
+        largest, rows = sizes.largest or 0, sizes.rows or 0
+    if largest <= rows_per_range:
         return df.withColumn(name, per_row(Window.partitionBy(*keys).orderBy(*sort)))
-
+    ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
+    position = _position(keys, order)
+    count, cuts = _cut_points(df, position, ranges, rows)
     marked = df.withColumn("__pos", position)
     marked = marked.withColumn("__range", _range_id(df, position, count, cuts))
     marked = marked.drop("__pos")
@@ -130,7 +134,7 @@ def rank_within(
     """Zero-based position of each row inside its key group (no keys: in the table).
 
     ``order`` holds column names, each optionally followed by `` desc``; together
-    with the keys it must be unique. ``rows`` saves the count when it is known.
+    with the keys it must be unique. A known number of ``rows`` saves counting a small table.
     """
     number = lambda w: (F.row_number().over(w) - 1).cast("long")
     return _accumulate(df, list(keys), order, name, number, F.count(F.lit(1)), rows, rows_per_range)
