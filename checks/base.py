@@ -80,8 +80,8 @@ _STAGED: dict[tuple[str, str], str] = {}
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rollouts with all token arrays, derived from the tables once per application.
 
-    The table is written to the shared checkpoint folder, partitioned by group, as sampled
-    responses would lie at rest; queries read the columns they need.
+    The table is written to the shared checkpoint folder, spread evenly, as sampled responses
+    would lie at rest; queries read the columns they need.
     """
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STAGED:
@@ -90,7 +90,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
         schema = ", ".join(f"`{c}` {t}" for c, t in [*base.dtypes, *kinds.items()])
         parts = max(8, rows // 250_000)
         folder = f"{work_folder(spark)}/rollouts"
-        base.repartition(parts, "uid").mapInArrow(_with_tokens, schema).write.parquet(folder)
+        base.repartition(parts, "uid", "rollout_n").mapInArrow(_with_tokens, schema).write.parquet(folder)
         _STAGED[key] = folder
     return spark.read.parquet(_STAGED[key])
 

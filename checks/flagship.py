@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from checks.base import R, derive_rollouts, query, r6
-from rewardloom.operators.advantage import group_filter
 from rewardloom.operators.evaluate import majority_value
 from rewardloom.operators.reduce import group_mean_std
 
@@ -23,14 +22,15 @@ select data_source, count(*) as groups, cast(sum(n) as bigint) as rollouts, roun
   round(sum(abs_adv)/sum(n),6) as mean_abs_advantage, round(avg(maj),6) as majority_score
 from item join maj using (uid) group by data_source""")
 def source_report(spark, sf_dir):
-    kept = group_filter(derive_rollouts(spark, sf_dir)[0].select("uid", "rollout_n", "data_source", "score", "pred"))
-    scored = group_mean_std(kept, "uid", "score")
+    df = derive_rollouts(spark, sf_dir)[0].select("uid", "rollout_n", "data_source", "score", "pred")
+    # Dynamic sampling drops whole groups, so it can read the statistics that the advantage needs anyway.
+    scored = group_mean_std(df, "uid", "score").where("group_std > 0")
     adv = (F.col("score") - F.col("group_mean")) / (F.col("group_std") + 1e-6)
     items = scored.groupBy("data_source", "uid").agg(
         F.avg("score").alias("mean_score"), F.sum(F.abs(adv)).alias("abs_adv"), F.count(F.lit(1)).alias("n")
     )
-    votes = majority_value(kept, ["uid"], "pred", "score", "rollout_n").withColumnRenamed("majority", "maj")
+    votes = majority_value(df, ["uid"], "pred", "score", "rollout_n")
     return items.join(votes, "uid").groupBy("data_source").agg(
         F.count(F.lit(1)).alias("groups"), F.sum("n").alias("rollouts"), r6(F.avg("mean_score")).alias("mean_score"),
-        r6(F.sum("abs_adv") / F.sum("n")).alias("mean_abs_advantage"), r6(F.avg("maj")).alias("majority_score"),
+        r6(F.sum("abs_adv") / F.sum("n")).alias("mean_abs_advantage"), r6(F.avg("majority")).alias("majority_score"),
     )

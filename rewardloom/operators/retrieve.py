@@ -103,7 +103,7 @@ def split_title_text(contents: Column) -> Column:
 
 
 def attach_passages(queries: DataFrame, hits: DataFrame, corpus: DataFrame, out: str = "passages") -> DataFrame:
-    """Each query with the reference block of its ranked hits."""
+    """Each query with the reference block of its ranked hits; more hits than one list holds give further rows."""
     found = hits.join(corpus, "doc_id").withColumn("__p", split_title_text(F.col("text")))
-    lists = gather_lists(found, ["query_id"], ["rank"], F.col("__p"), "__hits").where("segment = 0")
+    lists = gather_lists(found, ["query_id"], ["rank"], F.col("__p"), "__hits")
     return queries.join(lists.select("query_id", passages_to_text(F.col("__hits")).alias(out)), "query_id", "left")

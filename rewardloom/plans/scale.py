@@ -37,7 +37,7 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Attach aggregates of each key group to every row of the group."""
+    """Attach aggregates of each key group to every row of the group. Keys must not be null."""
     return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
 
 
