@@ -1,10 +1,8 @@
 """Importance correction and objective values against SQL."""
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
-from checks.base import R, T, query, r6, rounded, tokens
+from checks.base import T, query, r6, rounded, tokens
 from rewardloom.functions import seq
 from rewardloom.operators import correction as C
 from rewardloom.operators import objective as L

@@ -7,15 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
-
-
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Marked for broadcast only when its counted rows are under the limit; else left to the planner."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
-
-
 def with_prompts(rollouts: DataFrame, prompts: DataFrame, key: str = "uid") -> DataFrame:
     """Ground truth and source travel with each rollout (n to 1)."""
     return rollouts.join(prompts, key)
