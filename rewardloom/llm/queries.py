@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rewardloom.llm import near_text
+from rewardloom.llm import language, near_text, pack
+from rewardloom.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +49,14 @@ from w left join n on n.doc_id = w.doc_id join comp on comp.doc_id = w.doc_id
 @query("op8_minhash_near_dedup", OP8_SQL)
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op9_pack_patterns")
+def op9_pack_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack.pack_documents(table(spark, sf_dir, "documents"), vocabulary_path("word_bpe_49k.json"))
+
+
+@query("op10_language_id")
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
