@@ -37,6 +37,16 @@ class Forest:
         return True
 
 
+def star(nodes: np.ndarray, forest: Forest) -> dict[str, np.ndarray] | None:
+    """Links from the members of each tree to its smallest node, for ``nodes`` in ascending order.
+
+    Tiles that find the same group then report the same links, which fold into one.
+    """
+    roots = np.fromiter((forest.root(x) for x in range(len(nodes))), np.int64, len(nodes))
+    moved = nodes[roots] != nodes
+    return {"u": nodes[moved], "v": nodes[roots[moved]]} if moved.any() else None
+
+
 _FOLD_ROWS = 400_000
 
 
@@ -89,7 +99,7 @@ def components(links: DataFrame) -> DataFrame:
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))
     )
-    now = stored(pairs.mapInArrow(_shrink, "u long, v long"), "links")
+    now = stored(pairs.distinct().mapInArrow(_shrink, "u long, v long"), "links")
     while not _is_star(now):
         both = now.union(now.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))

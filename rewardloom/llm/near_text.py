@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.llm.common import U64, constants, lowered, mix, run_hashes, small_batches, stored, text_slices, word_bounds, word_hashes
-from rewardloom.llm.graph import Forest, components
+from rewardloom.llm.graph import Forest, components, star
 from rewardloom.llm.tiles import by_tile, tiled
 
 WIDTH = 5
@@ -114,23 +114,22 @@ def _distance(marks: np.ndarray, i: int) -> np.ndarray:
 
 
 def _near_marks(table: pa.Table) -> dict[str, np.ndarray] | None:
-    """A spanning forest of the pairs within reach; columns key, tile, node, block, signature."""
+    """Groups of signatures within reach of one another; columns key, tile, node, block, signature."""
+    table = table.take(pa.array(np.argsort(table.column("node").to_numpy(), kind="stable")))
     nodes = table.column("node").to_numpy()
     marks = _marks(table.column("signature"))
     forest = Forest(len(nodes))
-    u, v = [], []
     for i in range(len(nodes) - 1):
         for j in (np.flatnonzero(_distance(marks, i) <= REACH) + i + 1).tolist():
-            if forest.join(i, j):
-                u.append(nodes[i])
-                v.append(nodes[j])
-    return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
+            forest.join(i, j)
+    return star(nodes, forest)
 
 
 def _confirm(percent: int):
     """Check pairs within reach on their sets; columns family, tile, node, block, signature, set, known."""
 
     def look(table: pa.Table) -> dict[str, np.ndarray] | None:
+        table = table.take(pa.array(np.argsort(table.column("node").to_numpy(), kind="stable")))
         nodes, blocks, known = (table.column(c).to_numpy() for c in ("node", "block", "known"))
         marks = _marks(table.column("signature"))
         sets = [np.frombuffer(x, U64) for x in table.column("set").to_pylist()]
@@ -148,7 +147,6 @@ def _confirm(percent: int):
             j = np.flatnonzero(fit)
             near.append(np.stack([d[j], np.full(len(j), i), j + i + 1]))
         near = np.concatenate(near, axis=1) if near else np.empty((3, 0), np.int64)
-        u, v = [], []
         for _, i, j in near[:, np.argsort(near[0], kind="stable")].T.tolist():  # likely links first: they spare checks
             if forest.root(i) == forest.root(j):
                 continue
@@ -158,9 +156,7 @@ def _confirm(percent: int):
             both = len(np.intersect1d(a, b, assume_unique=True))
             if 100 * both >= percent * (len(a) + len(b) - both):
                 forest.join(i, j)
-                u.append(nodes[i])
-                v.append(nodes[j])
-        return {"u": np.array(u, np.int64), "v": np.array(v, np.int64)} if u else None
+        return star(nodes, forest)
 
     return look
 
