@@ -195,10 +195,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 256) -> Data
     classes = linked.groupBy("d0", "d1").agg(F.min("doc_id").alias("node"), F.first("signature").alias("signature"))
     classes = stored(classes, "classes")
 
+    # The two joins that grow with the documents are shuffle joins at every size, never a broadcast.
     # Index keys that at least two nodes share, then the pairs within reach among their members.
     keys = classes.select("node", "signature").mapInArrow(_spread_keys, "key long, node long")
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = keys.join(shared, "key").join(classes.select("node", "signature"), "node")
+    members = keys.join(shared.hint("merge"), "key").join(classes.select("node", "signature"), "node")
     members = tiled(members, F.col("size"), F.xxhash64("node"), 4 * side).select("key", "tile", "node", "block", "signature")
     family = components(by_tile(members, "key", _near_marks, "u long, v long"))
     family = stored(family.select("node", F.col("component").alias("family")), "families")
@@ -207,7 +208,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 256) -> Data
     sizes = family.groupBy("family").agg(F.count("*").alias("size"))
     wanted = family.join(sizes, "family").select(F.col("node").alias("doc_id"), "family", "size")
     first = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sets = first.join(wanted, "doc_id").select("doc_id", "text", "family", "size")
+    sets = first.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "family", "size")
     sets = stored(sets.mapInArrow(_sets, "node long, set binary, signature binary, family long, size long"), "sets")
     columns = ["family", "tile", "node", "block", "signature", "set", "known"]
     inner = sets.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / side).cast("long")))
