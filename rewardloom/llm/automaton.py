@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from rewardloom.llm.common import constants, mix
+
 
 class _Parser:
     """Text to nodes: ("set", frozenset), ("seq", [..]), ("alt", [..]), ("rep", node, least, most or None)."""
@@ -219,9 +221,10 @@ def compile_rules(rules: list[tuple[str, int | None]], most_states: int = 100_00
 def _minimised(table: np.ndarray, accept: np.ndarray, byte_class: np.ndarray) -> Automaton:
     """Merge states that no continuation tells apart, by refining the partition until it stands."""
     _, block = np.unique(accept, return_inverse=True)
+    scales = constants(31, table.shape[1] + 1)
     while True:
-        _, finer = np.unique(np.column_stack([block, block[table]]), axis=0, return_inverse=True)
-        finer = finer.ravel()
+        rows = np.column_stack([block, block[table]]).astype(np.uint64)
+        _, finer = np.unique(mix(rows * scales).sum(1, dtype=np.uint64), return_inverse=True)  # rows by a 64-bit hash
         if finer.max() == block.max():
             break
         block = finer
