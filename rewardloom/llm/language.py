@@ -177,3 +177,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learn from the labelled rows of ``docs`` that are not held out, predict all: adds held_out and predict()'s columns."""
     learn = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", "text", "lang")
     return predict(docs.withColumn("held_out", held_out(F.col("doc_id"))), fit(learn, sample))
+
+
+def without_unknown(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` whose language is recognised, as they are."""
+    rows = docs.select("doc_id", "text", "lang", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return identify(rows, sample).where(~F.col("rejected")).select("row.*")

@@ -240,3 +240,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85, side: int = 256) -> Data
     )
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """One document of each group of near-duplicates: the one of the smallest doc_id; all columns as they are.
+
+    Of repeated rows of one doc_id one stays; rows without doc_id all stay.
+    """
+    gone = near_duplicates(docs, percent).where(~F.col("kept")).select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = left.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    once = left.join(again, "doc_id", "left_anti")
+    return once.select(docs.columns).union(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
