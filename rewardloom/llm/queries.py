@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, language, near_text, pack, secrets
+from rewardloom.llm import chat, decontaminate, language, near_text, near_vectors, pack, secrets
 from rewardloom.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,3 +98,23 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(HOSTILE).alias("text"),
     )
     return chat.digest(chat.format_conversations(chat.chains(given.union(extra))))
+
+
+OP1_SQL = """
+with recursive
+v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where e is not null and len(e) > 0 and len([x for x in e if x is null or not isfinite(x)]) = 0
+       and len([x for x in e if x <> 0]) > 0),
+link as (select a.vec_id as x, b.vec_id as y from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+         where list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(vec_id, other) as (select vec_id, vec_id from v union select r.vec_id, l.y from reach r join link l on l.x = r.other),
+comp as (select vec_id, min(other) as component_id from reach group by vec_id),
+n as (select x, count(*) as n from link group by x)
+select v.vec_id, coalesce(n.n, 0)::bigint as n_links, comp.component_id, v.vec_id = comp.component_id as kept
+from v join comp on comp.vec_id = v.vec_id left join n on n.x = v.vec_id
+"""
+
+
+@query("op1_embedding_near_dedup", OP1_SQL)
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
