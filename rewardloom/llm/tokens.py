@@ -14,7 +14,7 @@ from array import array
 
 import numpy as np
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 
 def vocabulary_path(name: str) -> str:
