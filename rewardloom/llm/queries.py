@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, language, near_text, near_vectors, pack, secrets
+from rewardloom.llm import chat, decontaminate, language, near_text, near_vectors, pack, secrets, token_files
 from rewardloom.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -118,3 +118,8 @@ from v join comp on comp.vec_id = v.vec_id left join n on n.x = v.vec_id
 @query("op1_embedding_near_dedup", OP1_SQL)
 def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_token_files")
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
