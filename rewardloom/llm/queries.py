@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, language, near_text, near_vectors, pack, secrets, token_files
+from rewardloom.llm import chat, decontaminate, html_text, language, near_text, near_vectors, pack, secrets, token_files
 from rewardloom.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -123,3 +123,8 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_token_files")
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), vocabulary_path("byte_bpe_50k.json"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
