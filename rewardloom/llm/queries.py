@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, html_text, language, near_text, near_vectors, pack, secrets, token_files
+from rewardloom.llm import chat, decontaminate, html_text, language, near_text, near_vectors, pack, repeats, secrets, token_files
 from rewardloom.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -128,3 +128,22 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_main_text")
 def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
+OP2_SQL = r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+win as (select doc_id, i, array_to_string(words[i : i + 12], ' ') as seq
+        from w, unnest(range(1, len(words) - 11)) as u(i) where len(words) >= 13),
+least as (select seq, min(doc_id) as least from win group by seq),
+hit as (select distinct doc_id, i + k as place from win join least using (seq), unnest(range(0, 13)) as v(k) where least < doc_id),
+word as (select doc_id, i as place, words[i] as word from w, unnest(range(1, len(words) + 1)) as u(i)),
+kept as (select word.doc_id, string_agg(word, ' ' order by word.place) as kept, count(*) as n
+         from word left join hit on hit.doc_id = word.doc_id and hit.place = word.place where hit.place is null group by 1)
+select w.doc_id, len(words)::bigint as n_words, (len(words) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from w left join kept on kept.doc_id = w.doc_id
+"""
+
+
+@query("op2_repeated_passages", OP2_SQL)
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
