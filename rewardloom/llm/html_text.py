@@ -242,7 +242,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     )
     kind = pages.schema["page_id"].dataType.simpleString()
     split = stored(rows.mapInArrow(_split, f"row long, page_id {kind}, url string, host string, path string, lines array<string>, marks array<boolean>, hashes array<long>"), "lines")
-    pairs = _pairs(split)
+    pairs = _pairs(split.where(F.size("hashes") > 0))  # an empty page has nothing to tell
     hashes = split.select("row", "hashes")
     own = pairs.join(hashes, "row").join(hashes.select(F.col("row").alias("pair"), F.col("hashes").alias("other")), "pair")
     shared = own.select("row", "hashes", "other").mapInArrow(_difference, "row long, shared array<int>").where(F.size("shared") > 0)
