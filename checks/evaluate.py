@@ -114,7 +114,7 @@ def dense(spark, sf_dir):
     return rounded(X.dense_topk(q, e.select(F.col("vec_id").alias("doc_id"), "embedding"), 5))
 
 
-_TERMS = "list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
+_TERMS = "list_filter(string_split(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '')"
 
 
 @query("j08_query_corpus_best", """with e as (select vec_id, label, [x::double for x in embedding] as v from embeddings), n as (select vec_id, label, v, sqrt(list_sum([x*x for x in v])) as l from e),

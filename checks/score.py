@@ -47,7 +47,7 @@ def strict_box(spark, sf_dir):
 
 
 @query("r04_score_em", f"""with {R} select uid, rollout_n, case when pred = l_linenumber then case when pred = 2 then 0.25::double else 1.0 end else 0.0 end as em,
-  case when contains('item ' || pred || ' red', 'item ' || l_linenumber) then case when pred = 2 then 0.25::double else 1.0 end else 0.0 end as subem from r""")
+  case when contains('item ' || pred || ' red', 'item ' || l_linenumber) then 1.0::double else 0.0 end as subem from r""")
 def em(spark, sf_dir):
     text = "concat('<answer>no</answer> ', if(pred = 2, repeat('<answer>x</answer>', 12), ''), '<answer>The Item, ', pred, ' red!</answer>')"
     df = rows(spark, sf_dir, text=text)

@@ -15,7 +15,7 @@ from rewardloom.functions import seq
 from rewardloom.functions.kl import kl_penalty
 from rewardloom.functions.scan import discounted_returns, generalized_advantages, prefix_sum, suffix_sum
 from rewardloom.operators.reduce import group_mean_std, masked_whiten
-from rewardloom.plans.scale import running_total, top_k, unit_draw, with_group_stats, with_scalars
+from rewardloom.plans.scale import keyed_join, running_total, top_k, unit_draw, with_group_stats, with_scalars
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -84,7 +84,7 @@ def grpo_passk(df, key="uid", order="row_idx", score=None, mask="mask", norm_by_
         (F.max("__score") - F.min("__score")).alias("__lead"),
     )
     sizes = df.groupBy(key).agg(F.stddev_samp("__score").alias("__std"), F.count(F.lit(1)).alias("__n"))
-    df = df.join(best.join(sizes, key), key)
+    df = keyed_join(df, keyed_join(best, sizes, [key]), [key])
     lead = F.when(F.col("__n") < 2, F.raise_error(F.lit("pass@k needs at least two rows per group")).cast("double"))
     lead = lead.otherwise(F.col("__lead") / (F.col("__std") + eps) if norm_by_std else F.col("__lead"))
     won = F.when(F.col(order) == F.col("__best"), lead).otherwise(F.when(F.col("__n") < 2, lead).otherwise(0.0))
@@ -187,7 +187,7 @@ def _token_baseline(df, key, row, mask, weights, handle_zero_tail, eps, compact)
         key, "__n", F.when(unique, F.get("t", F.lit(0))["l"]).alias("__longest"),
         F.when(unique, F.get("t", F.lit(1))["l"]).alias("__second"),
     )
-    df = df.join(curve, key, "left").join(tops, key, "left")
+    df = keyed_join(keyed_join(df, curve, [key], "left"), tops, [key], "left")
     tail = (F.col("__len") == F.col("__longest")) if handle_zero_tail else F.lit(False)
 
     def advantage(e):
@@ -278,13 +278,13 @@ def group_filter(df: DataFrame, key: str = "uid", metric: str = "score") -> Data
     """Rows of groups whose metric varies, and lone rows."""
     spread = F.stddev_pop(metric)
     kept = df.groupBy(key).agg(spread.alias("s"), F.count(F.lit(1)).alias("n")).where("s > 0 or n = 1").select(key)
-    return df.join(kept, key, "left_semi")
+    return keyed_join(df, kept, [key], "left_semi")
 
 
 def take_prompt_batch(df: DataFrame, prompts: int, key: str = "uid", order: str = "row_idx") -> DataFrame:
     """All rows of the first ``prompts`` groups by first appearance."""
     first = df.groupBy(key).agg(F.min(order).alias("__first")).orderBy("__first").limit(prompts)
-    return df.join(first.select(key), key, "left_semi")
+    return keyed_join(df, first.select(key), [key], "left_semi")
 
 
 def pf_ppo_resample(

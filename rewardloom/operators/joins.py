@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from rewardloom.plans.scale import keyed_join
+
+
 def with_prompts(rollouts: DataFrame, prompts: DataFrame, key: str = "uid") -> DataFrame:
     """Ground truth and source travel with each rollout (n to 1)."""
     return rollouts.join(prompts, key)
@@ -18,11 +21,11 @@ def positional(left: DataFrame, right: DataFrame, idx: str = "row_idx") -> DataF
 
 
 def keep_groups(df: DataFrame, kept: DataFrame, key: str = "uid") -> DataFrame:
-    return df.join(kept.select(key).distinct(), key, "left_semi")
+    return keyed_join(df, kept.select(key).distinct(), [key], "left_semi")
 
 
 def unmatched(df: DataFrame, matched: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return df.join(matched, list(keys), "left_anti")
+    return keyed_join(df, matched, list(keys), "left_anti")
 
 
 def paired_generations(forward: DataFrame, inverse: DataFrame, keys: Sequence[str] = ("uid", "rollout_n")) -> DataFrame:

@@ -198,7 +198,7 @@ def loss_kl_cov(
 @register_objective("geo_mean")
 def loss_geo_mean(df, low=0.2, high=0.2, mask="mask", weights=None, mode=None, row=ROW, **options) -> DataFrame:
     """Geometric-mean ratio per sequence with a sign-aware clamp of the log ratio."""
-    tokens = seq.flat(df, ["logp", "old_logp", "advantages"] + ([weights] if weights else []), mask, row)
+    tokens = seq.flat(df, ["logp", "old_logp", "advantages"] + ([weights] if weights else []), mask, row, outer=True)
     gap, adv, m = _gap(TOKEN), F.col("advantages"), F.col(mask)
     cut, sign = clamp(gap, -low, high), F.signum("advantages")
     total = lambda c, name: F.sum(masked(c.cast("double"), m)).alias(name)

@@ -308,7 +308,7 @@ def truth_or_answer(truth: Column, last_role: Column, last_text: Column) -> Colu
 
 def reject_reason(
     messages: Column, truth: Column, image_count: Column, route: Column | None = None, inverse_truth: Column | None = None,
-    width: Column | None = None, height: Column | None = None, max_messages: int = 10,
+    width: Column | None = None, height: Column | None = None, max_messages: int | None = None,
 ) -> Column:
     """Why a sample is unusable, or null; the first failing rule is named."""
     parts = F.flatten(F.transform(messages, lambda m: m["content"]))
@@ -320,7 +320,9 @@ def reject_reason(
     if route is not None and inverse_truth is not None:
         short = F.coalesce(F.trim(inverse_truth), F.lit("")) == ""
         rules.append((F.contains(route, F.lit("spatial_t")) & (short | (images < 2)), "incomplete_temporal"))
-    rules += [(assistant_image, "assistant_image"), (F.size(messages) > max_messages, "too_many_messages")]
+    rules.append((assistant_image, "assistant_image"))
+    if max_messages is not None:
+        rules.append((F.size(messages) > max_messages, "too_many_messages"))
     if width is not None and height is not None:
         ratio = width / height
         rules += [((ratio < 0.005) | (ratio > 200.0), "aspect_ratio"), (width.cast("long") * height > 100_000_000, "too_many_pixels")]

@@ -23,10 +23,15 @@ ROW = ("uid", "rollout_n")
 
 
 def masked_totals(df: DataFrame, values: str, mask: str = "mask") -> DataFrame:
-    """One row: sum, valid count, mean and second moment over all valid tokens."""
+    """One row: sum, valid count and squared deviations from the mean over all valid tokens.
+
+    The deviations are a central moment that partial aggregates merge, so a mean far from zero cancels nothing.
+    """
     v = seq.masked(F.col(values), F.col(mask))
     tokens = seq.flat(df, [values], mask)
-    return tokens.agg(F.sum(v).alias("total"), F.sum(v * v).alias("square"), F.sum(mask).cast("double").alias("tokens"))
+    valid = F.when(F.col(mask) != 0, v)
+    spread = F.var_pop(valid) * F.count(valid)
+    return tokens.agg(F.sum(v).alias("total"), spread.alias("spread"), F.sum(mask).cast("double").alias("tokens"))
 
 
 def masked_sum(df: DataFrame, values: str, mask: str = "mask") -> DataFrame:
@@ -41,7 +46,8 @@ def masked_var(df: DataFrame, values: str, mask: str = "mask", unbiased: bool =
     """Mean squared deviation over valid tokens, times n/(n-1) when unbiased; n of 0 or 1 is an error."""
     t = masked_totals(df, values, mask)
     n, mean = F.col("tokens"), F.col("total") / (F.col("tokens") + EPS)
-    biased = (F.col("square") - 2 * mean * F.col("total") + mean * mean * n) / (n + EPS)
+    off = F.col("total") / n - mean  # the mean is guarded against no tokens at all
+    biased = (F.col("spread") + n * off * off) / (n + EPS)
     if unbiased:
         short = F.raise_error(F.lit("variance needs at least two valid tokens")).cast("double")
         biased = F.when(F.coalesce(n, F.lit(0.0)) <= 1, short).otherwise(biased * n / (n - 1))
@@ -91,7 +97,7 @@ def group_table(df: DataFrame, key: str, score: str) -> DataFrame:
 
 def factorize(df: DataFrame, key: str, out: str = "group_id") -> DataFrame:
     """Dense id per distinct key, numbered over the distinct keys only; near-integers are rounded."""
-    from rewardloom.plans.scale import rank_within
+    from rewardloom.plans.scale import keyed_join, rank_within
 
     kind = dict(df.dtypes)[key]
     name = "__key"
@@ -100,7 +106,7 @@ def factorize(df: DataFrame, key: str, out: str = "group_id") -> DataFrame:
         value = F.when(F.abs(value - F.round(value)) < 1e-6, F.round(value)).otherwise(value)
     keyed = df.withColumn(name, value)
     ids = rank_within(keyed.select(name).distinct(), [], [name], out)
-    return keyed.join(ids, name).drop(name)
+    return keyed_join(keyed, ids, [name]).drop(name)
 
 
 def column_stats(df: DataFrame, value: str) -> DataFrame:

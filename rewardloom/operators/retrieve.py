@@ -71,7 +71,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY
 
 def terms(text: Column) -> Column:
     """Lower-cased runs of letters and digits."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " "), " "), lambda t: t != "")
+    return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:

@@ -36,9 +36,17 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return held.withColumns({c: F.col("__scalars")[c] for c in one_row.columns}).drop("__scalars")
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, as in ``groupBy``: no row is lost for want of a key."""
+    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__right_{k}`")) for k in keys])
+    joined = left.join(other, same, how)
+    return joined.select(*keys, *[f"`{c}`" for c in joined.columns if c not in keys and not c.startswith("__right_")])
+
+
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Attach aggregates of each key group to every row of the group. Keys must not be null."""
-    return df.join(df.groupBy(*keys).agg(*aggs), list(keys))
+    """Attach aggregates of each key group to every row of the group; rows with a null key are a group."""
+    return keyed_join(df, df.groupBy(*keys).agg(*aggs), keys)
 
 
 def _parse(order: Order) -> list[tuple[str, bool]]:
@@ -54,37 +62,51 @@ def _sort_columns(order: Order) -> list[Column]:
 
 
 def _position(keys: Sequence[str], order: Order) -> Column:
-    """One comparable value for (keys, order); descending numbers are negated."""
-    fields = [F.col(k) for k in keys]
-    fields += [(-F.col(n)) if d else F.col(n) for n, d in _parse(order)]
-    return F.struct(*[f.alias(f"p{i}") for i, f in enumerate(fields)])
+    """The values that place a row, keys first."""
+    return F.struct(*[F.col(n).alias(f"p{i}") for i, (n, _) in enumerate(_fields(keys, order))])
+
 
+def _fields(keys: Sequence[str], order: Order) -> list[tuple[str, bool]]:
+    return [(k, False) for k in keys] + _parse(order)
 
-def _cut_points(df: DataFrame, position: Column, ranges: int, rows: int) -> tuple[int, str]:
-    """Up to ``ranges - 1`` quantiles of the sort position, from a bounded sample.
+
+def _cut_points(df: DataFrame, keys: Sequence[str], order: Order, ranges: int, rows: int) -> tuple[int, str]:
+    """Up to ``ranges - 1`` quantiles of the sort position, from a bounded sample, in the order of the rows.
 
     The sample only decides where ranges begin; every row is still ranked.
     """
     wanted = ranges * SAMPLES_PER_RANGE
-    sample = df.select(position.alias("p"))
+    sample = df.select(_position(keys, order).alias("p"))
     if wanted < rows:
         sample = sample.where(F.rand(17) < wanted / rows)
-    ordered = sample.select("p", F.row_number().over(Window.orderBy("p")).alias("i"))
-    picked = ordered.where(F.col("i") % SAMPLES_PER_RANGE == 0).select("p").distinct().orderBy("p")
-    packed = picked.agg(F.count("p").alias("n"), F.to_json(F.array_sort(F.collect_list("p"))).alias("json"))
-    row = packed.first()
+    sort = [F.col(f"p.p{i}").desc() if d else F.col(f"p.p{i}").asc() for i, (_, d) in enumerate(_fields(keys, order))]
+    ordered = sample.select("p", F.row_number().over(Window.orderBy(*sort)).alias("i"))
+    picked = ordered.where(F.col("i") % SAMPLES_PER_RANGE == 0)
+    packed = picked.agg(F.count("i").alias("n"), F.array_sort(F.collect_list(F.struct("i", "p"))).alias("l"))
+    row = packed.select("n", F.to_json(F.transform("l", lambda x: x["p"])).alias("json")).first()
     return row.n, row.json
 
 
-def _range_id(df: DataFrame, position: Column, count: int, json: str) -> Column:
+def _at_or_below(edge: Column, place: Column, fields: list[tuple[str, bool]]) -> Column:
+    """Whether ``edge`` sorts no later than ``place``: nulls first and NaN last, the other way round where descending."""
+    below = F.lit(True)
+    for i in range(len(fields) - 1, -1, -1):
+        a, b = (place, edge) if fields[i][1] else (edge, place)
+        a, b = a[f"p{i}"], b[f"p{i}"]
+        less = F.when(a.isNull(), b.isNotNull()).when(b.isNull(), F.lit(False)).otherwise(a < b)
+        below = less | (a.eqNullSafe(b) & below)
+    return below
+
+
+def _range_id(df: DataFrame, keys: Sequence[str], order: Order, count: int, json: str) -> Column:
     """Number of cut points at or below the row's position, by binary search."""
-    kind = df.select(position.alias("p")).schema["p"].dataType
+    kind = df.select(_position(keys, order).alias("p")).schema["p"].dataType
     edges = F.from_json(F.lit(json), f"array<{kind.simpleString()}>")
     steps = math.ceil(math.log2(count + 1)) + 1
 
     def halve(state: Column, _: Column) -> Column:
         mid = F.floor((state["lo"] + state["hi"]) / 2).cast("int")
-        below = (state["lo"] < state["hi"]) & (F.get(edges, mid) <= F.col("__pos"))
+        below = (state["lo"] < state["hi"]) & _at_or_below(F.get(edges, mid), F.col("__pos"), _fields(keys, order))
         return F.struct(
             F.when(below, mid + 1).otherwise(state["lo"]).alias("lo"),
             F.when(below, state["hi"]).otherwise(mid).alias("hi"),
@@ -105,10 +127,9 @@ def _accumulate(df, keys, order, name, per_row, total, rows, rows_per_range) ->
     if largest <= rows_per_range:
         return df.withColumn(name, per_row(Window.partitionBy(*keys).orderBy(*sort)))
     ranges = min(MAX_RANGES, math.ceil(rows / rows_per_range))
-    position = _position(keys, order)
-    count, cuts = _cut_points(df, position, ranges, rows)
-    marked = df.withColumn("__pos", position)
-    marked = marked.withColumn("__range", _range_id(df, position, count, cuts))
+    count, cuts = _cut_points(df, keys, order, ranges, rows)
+    marked = df.withColumn("__pos", _position(keys, order))
+    marked = marked.withColumn("__range", _range_id(df, keys, order, count, cuts))
     marked = marked.drop("__pos")
     sizes = marked.groupBy("__range", *keys).agg(total.alias("__size"))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -59,3 +59,44 @@ def test_unit_draw_is_uniform_and_repeatable(spark):
     again = spark.range(2000).select(unit_draw(3, "id").alias("u")).toPandas()["u"]
     assert (u == again).all() and 0 <= u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.03
     assert pd.Series(u).nunique() == 2000
+
+
+@pytest.mark.parametrize("kind", ["double", "string", "date", "boolean", "long", "timestamp"])
+@pytest.mark.parametrize("direction", ["", " desc"])
+def test_ranks_do_not_depend_on_the_range_size(spark, kind, direction):
+    """Nulls, NaN and every sortable type, both ways, with one range and with many."""
+    value = {
+        "double": "case when id % 11 = 0 then null when id % 13 = 0 then double('NaN') else (id * 37) % 101 - 50.5D end",
+        "string": "case when id % 11 = 0 then null else concat('k', (id * 37) % 101) end",
+        "date": "case when id % 11 = 0 then null else date_add(date'2020-01-01', int((id * 37) % 101)) end",
+        "boolean": "case when id % 11 = 0 then null else id % 3 = 0 end",
+        "long": "case when id % 11 = 0 then null else (id * 37) % 101 - 50 end",
+        "timestamp": "case when id % 11 = 0 then null else timestamp_micros(id * 37 % 101) end",
+    }[kind]
+    df = spark.range(400).selectExpr("id", f"{value} as v", "case when id % 5 = 0 then null else id % 3 end as g")
+    for keys in ([], ["g"]):
+        one, many = (
+            {r.id: r.i for r in rank_within(df, keys, [f"v{direction}", "id"], "i", rows_per_range=n).collect()} for n in (10**9, 40)
+        )
+        assert one == many and len(one) == 400
+
+
+def test_null_keys_are_a_group(spark):
+    from rewardloom.operators import advantage, joins, reduce
+
+    df = spark.createDataFrame([(None, 0, 1.0), (None, 1, 3.0), ("a", 2, 2.0), ("b", 3, 5.0), ("b", 4, 5.0)], "uid string, row_idx long, score double")
+    sizes = {r.row_idx: (r.group_mean, r.group_size) for r in reduce.group_mean_std(df, "uid", "score").collect()}
+    assert sizes == {0: (2.0, 2), 1: (2.0, 2), 2: (0.0, 1), 3: (5.0, 2), 4: (5.0, 2)}
+    assert reduce.factorize(df, "uid").count() == 5
+    assert {r.row_idx for r in advantage.group_filter(df).collect()} == {0, 1, 2}
+    assert {r.row_idx for r in advantage.take_prompt_batch(df, 2).collect()} == {0, 1, 2}
+    assert {r.row_idx for r in joins.keep_groups(df, df.where("row_idx = 0").select("uid")).collect()} == {0, 1}
+
+
+def test_variance_far_from_zero(spark):
+    from rewardloom.operators import reduce
+
+    rows = [(i, [1e8 + 0.25 * ((i + k) % 3) for k in range(50)], [1] * 50) for i in range(200)]
+    df = spark.createDataFrame(rows, "rollout_n long, v array<double>, mask array<int>")
+    got = reduce.masked_var(df, "v").first()
+    assert abs(got["var"] - 0.0625 * 2 / 3 * 10_000 / 9_999) < 1e-4
