@@ -41,7 +41,7 @@ def majority(spark, sf_dir):
     return E.majority_value(rollouts(spark, sf_dir), ["uid"], "pred", "score", "rollout_n")
 
 
-MAJ = f"""with {R}, {KS}, cells as (select n, k, j // k as b, j % k as j, floor(('0x' || substr(md5('42|' || k || '|' || j),1,13))::bigint::double/pow(2,52)*n)::bigint as i from ks, unnest(range(0, 50*k)) as z(j)),
+MAJ = f"""with {R}, {KS}, cells as (select n, k, j // k as b, j % k as j, floor(('0x' || substr(md5('42|' || k || '|' || j),1,13))::bigint::double/pow(2,52)*n)::bigint as i from ks, unnest(range(0, 1000*k)) as z(j)),
   g as (select uid, count(*) n from r group by 1),
   d as (select g.uid, k, b, j, pred, score from g join cells using (n) join r on r.uid = g.uid and r.rollout_n = cells.i),
   v as (select uid, k, b, pred, count(*) c, min(j) f, arg_min(score, j) s from d group by 1,2,3,4),
@@ -50,7 +50,7 @@ MAJ = f"""with {R}, {KS}, cells as (select n, k, j // k as b, j % k as j, floor(
 
 @query("e06_maj_at_k_bootstrap", MAJ + " select uid, cast(k as bigint) as k, round(avg(s),6)+0.0 as maj_mean from w where q = 1 group by 1,2")
 def maj_boot(spark, sf_dir):
-    return rounded(E.majority_bootstrap(rollouts(spark, sf_dir), ["uid"], "pred", "score", "rollout_n", draws=50).select("uid", "k", "maj_mean"))
+    return rounded(E.majority_bootstrap(rollouts(spark, sf_dir), ["uid"], "pred", "score", "rollout_n").select("uid", "k", "maj_mean"))
 
 
 VAL = EXACT + """,

@@ -15,7 +15,7 @@ from rewardloom.functions import seq
 from rewardloom.functions.kl import kl_penalty
 from rewardloom.functions.scan import discounted_returns, generalized_advantages, prefix_sum, suffix_sum
 from rewardloom.operators.reduce import group_mean_std, masked_whiten
-from rewardloom.plans.scale import keyed_join, running_total, top_k, unit_draw, with_group_stats, with_scalars
+from rewardloom.plans.scale import first_rows, keyed_join, running_total, top_k, unit_draw, with_group_stats, with_scalars
 
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
@@ -283,7 +283,7 @@ def group_filter(df: DataFrame, key: str = "uid", metric: str = "score") -> Data
 
 def take_prompt_batch(df: DataFrame, prompts: int, key: str = "uid", order: str = "row_idx") -> DataFrame:
     """All rows of the first ``prompts`` groups by first appearance."""
-    first = df.groupBy(key).agg(F.min(order).alias("__first")).orderBy("__first").limit(prompts)
+    first = first_rows(df.groupBy(key).agg(F.min(order).alias("__first")), ["__first"], prompts)
     return keyed_join(df, first.select(key), [key], "left_semi")
 
 
@@ -324,5 +324,5 @@ def trace_sample(df: DataFrame, k: int, index: str, seed: int = 0) -> DataFrame:
     """All rows of k sample indices chosen by a seeded digest."""
     from rewardloom.plans.scale import seeded_key
 
-    chosen = df.select(index).distinct().orderBy(seeded_key(seed, index)).limit(k)
-    return df.join(chosen, index, "left_semi")
+    chosen = first_rows(df.select(index).distinct().withColumn("__key", seeded_key(seed, index)), ["__key", index], k)
+    return keyed_join(df, chosen.select(index), [index], "left_semi")

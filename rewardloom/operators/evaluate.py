@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rewardloom.plans.scale import rank_within, running_total, union_all, unit_draw, with_group_stats
+from rewardloom.plans.scale import keyed_join, rank_within, running_total, union_all, unit_draw, with_group_stats
 
 
 def subset_sizes(n: Column) -> Column:
@@ -95,7 +95,7 @@ def best_worst_bootstrap(df: DataFrame, keys: Sequence[str], value: str, order:
     )
 
 
-@lru_cache(maxsize=256)
+@lru_cache(maxsize=8)
 def _resamples(n: int, k: int, draws: int, seed: int) -> np.ndarray:
     """Row indices of every resample of a group of n, shape (draws, k)."""
     cells = np.arange(draws * k)
@@ -119,7 +119,7 @@ def majority_bootstrap(
     df: DataFrame, keys: Sequence[str], pred: str, value: str, order: str, draws: int = 1000, seed: int = 42,
     group_limit: int = 4096,
 ) -> DataFrame:
-    """maj@k: the majority value of k resampled rows, averaged over ``draws`` resamples.
+    """maj@k: the majority value of k resampled rows, averaged over ``draws`` resamples; null is an answer like any other.
 
     Groups up to ``group_limit`` rows travel as one array and are resampled inside a task;
     larger groups are resampled by a join on (group, row), so no group is ever gathered.
@@ -138,7 +138,7 @@ def majority_bootstrap(
     @F.pandas_udf(result)
     def resample(p: pd.Series, v: pd.Series, k: pd.Series) -> pd.DataFrame:
         rows = [
-            _majority_of_resamples(pd.factorize(np.asarray(a, dtype=object))[0], np.asarray(b, dtype=float), int(c), draws, seed)
+            _majority_of_resamples(pd.factorize(np.asarray(a, dtype=object), use_na_sentinel=False)[0], np.asarray(b, dtype=float), int(c), draws, seed)
             for a, b, c in zip(p, v, k, strict=True)
         ]
         return pd.DataFrame(rows, columns=["mean", "std"])
@@ -151,7 +151,7 @@ def majority_bootstrap(
     cells = sizes.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     cells = cells.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
     cells = cells.withColumn("i", F.floor(unit_draw(seed, "k", F.col("b") * F.col("k") + F.col("j")) * F.col("n")))
-    drawn = cells.drop("n").join(large.select(*keys, "i", F.col(pred).alias("__p"), F.col(value).cast("double").alias("__v")), [*keys, "i"])
+    drawn = keyed_join(cells.drop("n"), large.select(*keys, "i", F.col(pred).alias("__p"), F.col(value).cast("double").alias("__v")), [*keys, "i"])
     won = majority_value(drawn, [*keys, "k", "b"], "__p", "__v", "j")
     outside = won.groupBy(*keys, "k").agg(F.avg("majority").alias("maj_mean"), F.stddev_pop("majority").alias("maj_std"))
     return inside.unionByName(outside)

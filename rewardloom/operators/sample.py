@@ -8,12 +8,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.plans.scale import rank_within, seeded_key, top_k
+from rewardloom.plans.scale import first_rows, rank_within, seeded_key, top_k
 
 
 def max_samples(df: DataFrame, n: int, key: str, shuffle: bool = False, seed: int = 0) -> DataFrame:
-    """First n rows, or n random rows without replacement."""
-    return df.orderBy(seeded_key(seed, key) if shuffle else F.col(key)).limit(n)
+    """First n rows, or n random rows without replacement; ``key`` must be unique."""
+    if not shuffle:
+        return first_rows(df, [key], n)
+    return first_rows(df.withColumn("__key", seeded_key(seed, key)), ["__key", key], n).drop("__key")
 
 
 def shuffle_rows(df: DataFrame, key: str, seed: int = 0, rows: int | None = None, out: str = "position") -> DataFrame:
@@ -105,7 +107,8 @@ def holdout_group_split(
 
 
 def top_k_rows(df: DataFrame, column: str, k: int, ties: Sequence[str]) -> DataFrame:
-    return df.orderBy(F.col(column).desc(), *ties).limit(k)
+    """The k largest; ``ties`` must make the order unique."""
+    return first_rows(df, [f"{column} desc", *ties], k)
 
 
 def log_sample(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:

@@ -201,6 +201,17 @@ def nth_row(df: DataFrame, order: Order, n: int) -> DataFrame:
     return ranked.orderBy(F.col("__n").desc()).limit(1).drop("__n")
 
 
+def first_rows(df: DataFrame, order: Order, n: int) -> DataFrame:
+    """The first ``n`` rows in an order without ties, in any number: rows no later than the n-th one, filtered where they lie."""
+    if n <= 0:
+        return df.limit(0)
+    names = [name for name, _ in _parse(order)]
+    fields = _parse(order)
+    place = F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(names)])
+    last = nth_row(df, order, n).select(F.struct(*[F.col(c).alias(f"p{i}") for i, c in enumerate(names)]).alias("__last"))
+    return with_scalars(df, last).where(_at_or_below(place, F.col("__last"), fields)).drop("__last")
+
+
 def seeded_key(seed: int, *cols: str | Column) -> Column:
     """Reproducible pseudo-random sort key; a digest, so any engine can recompute it."""
     parts = [F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in cols]

@@ -26,20 +26,43 @@ def scan_json(spark: SparkSession, paths: str | Sequence[str], schema: str | T.S
     return spark.read.schema(schema).json(_listed(paths))
 
 
-def detect_format(paths: str | Sequence[str]) -> str:
-    """tar, parquet, json or arrow from the endings of files or of the files inside folders."""
-    import os
+FORMATS = {".tar": "tar", ".parquet": "parquet", ".json": "json", ".jsonl": "json", ".arrow": "arrow"}
 
-    def endings(path: str) -> list[str]:
-        if "://" not in path and os.path.isdir(path):
-            return [os.path.splitext(n)[1].lower() for _, _, names in os.walk(path) for n in names if not n.startswith(("_", "."))]
-        return [os.path.splitext(path)[1].lower()]
 
-    found = {e for p in _listed(paths) for e in endings(p)}
-    for kind, known in (("tar", {".tar"}), ("parquet", {".parquet"}), ("json", {".json", ".jsonl"}), ("arrow", {".arrow"})):
-        if found & known:
+def detect_format(paths: str | Sequence[str]) -> str:
+    """tar, parquet, json or arrow from the endings of paths or of the files inside folders, on any file system of Spark.
+
+    A folder is listed by the file reader, of which only the path column is read.
+    """
+    named = {FORMATS[e] for p in _listed(paths) for e in FORMATS if p.lower().rstrip("/").endswith(e)}
+    if not named:
+        spark = SparkSession.active()
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_listed(paths)).select("path")
+        ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+        named = {FORMATS[r[0]] for r in files.select(ending).where(ending.isin(*FORMATS)).distinct().collect()}  # at most one row per ending
+    for kind in ("tar", "parquet", "json", "arrow"):
+        if kind in named:
             return kind
-    raise ValueError(f"no known data format among {sorted(found)}")
+    raise ValueError(f"no known data format at {_listed(paths)}")
+
+
+def scan_arrow(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
+    """Arrow files or streams with a declared schema, a file per task at the least; each file is read as a whole."""
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+
+    def read(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(wanted)
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_buffer()
+                opened = pa.ipc.open_file(data) if data.to_pybytes()[:6] == b"ARROW1" else pa.ipc.open_stream(data)
+                yield from opened.read_all().select(wanted.names).cast(kinds).to_batches(max_chunksize=10_000)
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_listed(paths)).select("content")
+    return files.mapInArrow(read, wanted)
 
 
 def scan(spark: SparkSession, paths: str | Sequence[str], schema: str | None = None) -> DataFrame:
@@ -53,7 +76,9 @@ def scan(spark: SparkSession, paths: str | Sequence[str], schema: str | None = N
         from rewardloom.sources.tar import scan_tar_members
 
         return scan_tar_members(spark, _listed(paths))
-    raise ValueError(f"format {kind} has no Spark reader; convert it to Parquet")
+    if schema is None:
+        raise ValueError("arrow files need a schema")
+    return scan_arrow(spark, paths, schema)
 
 
 def scan_rollout_dump(spark: SparkSession, path: str, schema: str = GENERATION_SCHEMA) -> DataFrame:

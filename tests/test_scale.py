@@ -100,3 +100,39 @@ def test_variance_far_from_zero(spark):
     df = spark.createDataFrame(rows, "rollout_n long, v array<double>, mask array<int>")
     got = reduce.masked_var(df, "v").first()
     assert abs(got["var"] - 0.0625 * 2 / 3 * 10_000 / 9_999) < 1e-4
+
+
+def test_first_rows_of_any_number(spark, monkeypatch):
+    from rewardloom.plans import scale
+
+    df = spark.range(500).selectExpr("id", "case when id % 9 = 0 then null else cast(id % 17 as string) end as v")
+    want = [r.id for r in df.orderBy(F.col("v").desc(), "id").collect()]
+    for limit in (100_000, 10):
+        monkeypatch.setattr(scale, "DIRECT_LIMIT", limit)
+        for n in (0, 1, 60, 500, 900):
+            assert sorted(r.id for r in scale.first_rows(df, ["v desc", "id"], n).collect()) == sorted(want[:n])
+
+
+def test_formats_are_found_and_arrow_is_read(spark, tmp_path):
+    import pyarrow as pa
+
+    from rewardloom.sources import files
+
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    rows = pa.table({"a": [1, None, 3], "b": ["x", "y", None]})
+    with pa.ipc.new_file(str(tmp_path / "in" / "deep" / "p.arrow"), rows.schema) as out:
+        out.write_table(rows)
+    with pa.ipc.new_stream(str(tmp_path / "in" / "q.arrow"), rows.schema) as out:
+        out.write_table(rows)
+    assert files.detect_format(f"file://{tmp_path}/in") == "arrow"
+    got = files.scan(spark, f"file://{tmp_path}/in", "b string, a long").collect()
+    assert sorted((r.a is None, r.a or 0, r.b or "") for r in got) == sorted([(False, 1, "x"), (True, 0, "y"), (False, 3, "")] * 2)
+
+
+def test_majority_with_null_answers(spark):
+    from rewardloom.operators import evaluate
+
+    rows = [("u", i, None if i % 3 else "a", float(i % 3 != 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "uid string, i long, pred string, score double")
+    both = [evaluate.majority_bootstrap(df, ["uid"], "pred", "score", "i", draws=20, group_limit=n).orderBy("k").collect() for n in (4096, 8)]
+    assert [(r.k, round(r.maj_mean, 9)) for r in both[0]] == [(r.k, round(r.maj_mean, 9)) for r in both[1]]
