@@ -43,11 +43,12 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     circle are an error.
     """
     nodes = messages.select("conv_id", "node_id", "parent_id", "score")
-    known = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"))
+    # Every table here grows with the messages: all joins are shuffle joins, none may become a broadcast.
+    known = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n")).hint("merge")
     jumps = nodes.where("parent_id is not null").join(
         known, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent_id") == F.col("_n"))
     ).select("conv_id", "node_id", F.col("parent_id").alias("up"))
-    inner = jumps.select(F.col("conv_id").alias("_c"), F.col("up").alias("_n")).distinct()
+    inner = jumps.select(F.col("conv_id").alias("_c"), F.col("up").alias("_n")).distinct().hint("merge")
     leaves = nodes.join(inner, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")), "left_anti")
     most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
     tables = []
@@ -58,22 +59,22 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
         if 1 << len(tables) > most:
             raise ValueError("replies form a circle")
         tables.append(jumps)
-        far = jumps.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.col("up").alias("_up"))
+        far = jumps.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.col("up").alias("_up")).hint("merge")
         jumps = jumps.join(far, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n"))).select("conv_id", "node_id", F.col("_up").alias("up"))
     steps = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).alias("back"))
     for k in range(len(tables) - 1, -1, -1):
-        far = tables[k].select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "up")
+        far = tables[k].select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "up").hint("merge")
         more = steps.join(far, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
         steps = steps.union(more.select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("back") + (1 << k)).alias("back")))
     steps = stored(steps, "paths")
-    scores = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("_s"))
+    scores = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("_s")).hint("merge")
     valued = steps.join(scores, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
     paths = valued.groupBy("conv_id", "leaf").agg(F.sum("_s").alias("score"), F.max("back").alias("_last"))
     rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))
     paths = paths.withColumn("branch", rank)
     if branches is not None:
         paths = paths.where(F.col("branch") <= branches)
-    paths = paths.select(F.col("conv_id").alias("_c"), F.col("leaf").alias("_l"), "branch", "score", "_last")
+    paths = paths.select(F.col("conv_id").alias("_c"), F.col("leaf").alias("_l"), "branch", "score", "_last").hint("merge")
     found = steps.join(paths, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("leaf") == F.col("_l")))
     return found.select("conv_id", "leaf", "branch", "score", (F.col("_last") - F.col("back")).alias("depth"), "node_id")
 
@@ -91,7 +92,7 @@ def format_conversations(messages: DataFrame, branches: int | None = None, learn
         _escaped_role(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("_role"),
         escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"),
         F.coalesce(F.col("role").isin(*learn), F.lit(False)).alias("_learn"),
-    )
+    ).hint("merge")
     rows = paths.join(parts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
     head = F.length("_role") + (len(START) + 1)
     size = head + F.length("_text") + len(END)
