@@ -42,11 +42,14 @@ def local_session(cores: int | str = 8, partitions: int = 8, **extra: str) -> Sp
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where none is set."""
+    """The shared folder named by spark.checkpoint.dir; a temporary one only in a local session that sets none."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if known is None and master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     folder = known or tempfile.mkdtemp(prefix="rewardloom-ckpt-")
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -104,26 +104,31 @@ def stream_dynamic_sampling(
 
     ``groups`` is the output of ``complete_groups``. Survivors are written per micro-batch id, so a
     retried batch replaces its own rows; the first ``prompts`` by uid order of arrival are returned.
+    What is known of earlier batches is read from the folder: a restart with the same folder goes on
+    where it stopped.
     """
     spark = groups.sparkSession
     folder = folder or work_folder(spark)
     spread = lambda s: F.array_max(s) != F.array_min(s)
-    seen: dict[int, int] = {}
+    kind = groups.withColumn("batch_id", F.lit(0).cast("long"))
+    spark.createDataFrame([], kind.schema).write.mode("append").parquet(f"{folder}/kept/start")
+
+    def survivors() -> DataFrame:
+        return spark.read.schema(kind.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/kept")
 
     def collect(batch: DataFrame, batch_id: int) -> None:
-        if sum(seen.values()) >= prompts:
+        earlier = survivors().where(F.col("batch_id") < batch_id).agg(F.count("*").alias("rows")).first()
+        if earlier["rows"] >= prompts:
             # The batch still has to run, or its state would not be committed.
             batch.write.format("noop").mode("overwrite").save()
             return
-        if max_batches is not None and len(seen) >= max_batches:
-            raise RuntimeError(f"only {sum(seen.values())} of {prompts} prompts after {max_batches} batches")
+        if max_batches is not None and batch_id >= max_batches:
+            raise RuntimeError(f"only {earlier['rows']} of {prompts} prompts after {max_batches} batches")
         kept = batch.where(F.col("complete") & (spread(F.col("scores")) | (F.col("n") == 1)))
-        kept.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{folder}/kept/batch={batch_id}")
-        seen[batch_id] = spark.read.parquet(f"{folder}/kept/batch={batch_id}").count()
+        kept.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{folder}/kept/batch={batch_id}")
 
     run_batches(groups, collect, folder)
-    kept = spark.read.parquet(*[f"{folder}/kept/batch={b}" for b in seen])
-    return kept.orderBy("batch_id", "uid").limit(prompts)
+    return survivors().orderBy("batch_id", "uid").limit(prompts)
 
 
 def assemble_batch(batch: DataFrame, batch_id: int, row: str, length: str, k: int, current_version: int, version: str = "param_version"):

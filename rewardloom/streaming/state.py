@@ -221,12 +221,12 @@ def rate_audit(
 class _Ready(StatefulProcessor):
     """Remembers which fields of a row were written; announces each task's readiness once."""
 
-    def __init__(self, tasks: dict[str, list[str]]):
-        self.tasks = tasks
+    def __init__(self, tasks: dict[str, list[str]], keep_ms: int | None):
+        self.tasks, self.keep_ms = tasks, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.fields = handle.getMapState("fields", "field string", "seen boolean")
-        self.told = handle.getMapState("told", "task string", "seen boolean")
+        self.fields = handle.getMapState("fields", "field string", "seen boolean", self.keep_ms)
+        self.told = handle.getMapState("told", "task string", "seen boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         for pdf in rows:
@@ -243,11 +243,16 @@ class _Ready(StatefulProcessor):
         pass
 
 
-def field_readiness(stream: DataFrame, row: str, field: str, tasks: dict[str, Sequence[str]]) -> DataFrame:
-    """(row, task) once per task, when every field the task needs has been written."""
+def field_readiness(stream: DataFrame, row: str, field: str, tasks: dict[str, Sequence[str]], keep_hours: float | None = None) -> DataFrame:
+    """(row, task) once per task, when every field the task needs has been written.
+
+    With ``keep_hours`` a row's fields are forgotten so long after they were written. Such a query runs on processing
+    time, so it suits a stream that stays up and not one that stops when what is there has been read.
+    """
     rows = stream.select(F.col(row).alias("row"), F.col(field).alias("field"))
     kind = dict(rows.dtypes)["row"]
     needs = {t: list(f) for t, f in tasks.items()}
-    return rows.groupBy("row").transformWithStateInPandas(_Ready(needs), f"row {kind}, task string", "Append", "None")
+    keep_ms = None if keep_hours is None else int(keep_hours * 3_600_000)
+    return rows.groupBy("row").transformWithStateInPandas(_Ready(needs, keep_ms), f"row {kind}, task string", "Append", "None" if keep_ms is None else "ProcessingTime")
 
 
