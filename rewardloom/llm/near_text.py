@@ -3,7 +3,7 @@
 A signature has ``SYMBOLS`` minima of 8 bits. It is cut into ``CHUNKS`` chunks; two signatures that differ
 in fewer than 2 * CHUNKS symbols have a chunk with at most one differing symbol, so each chunk is indexed
 once per allowed error: once for every symbol left out. All pairs within ``REACH`` symbols share an index
-key. A pair at a similarity of exactly 0.85 is farther apart with a probability of about 4e-5.
+key. A pair at a similarity of exactly 0.85 is farther apart with a probability of 8e-5, one at 0.9 of 6e-8.
 
 Every link is confirmed on the full shingle sets. Documents of equal word sequence are one node from the
 start, so a group of copies of any size costs one signature.
