@@ -35,9 +35,10 @@ def detect_format(paths: str | Sequence[str]) -> str:
     A folder is listed by the file reader, of which only the path column is read.
     """
     named = {FORMATS[e] for p in _listed(paths) for e in FORMATS if p.lower().rstrip("/").endswith(e)}
-    if not named:
+    folders = [p for p in _listed(paths) if "." not in p.rstrip("/").rsplit("/", 1)[-1]]
+    if not named and folders:
         spark = SparkSession.active()
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_listed(paths)).select("path")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path")
         ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
         named = {FORMATS[r[0]] for r in files.select(ending).where(ending.isin(*FORMATS)).distinct().collect()}  # at most one row per ending
     for kind in ("tar", "parquet", "json", "arrow"):

@@ -54,6 +54,13 @@ def test_accuracy(spark, answer, truth, score):
 
 
 def test_counterclockwise_reads_as_its_first_pattern(spark):
+    for text, letter in (("The answer is B.", "B"), ("option A looks wrong; Answer: C", "C"), ("I select d", "D"), ("my choice: B", "B")):
+        assert one(spark, S.extract_answer(F.col("t"), multiple_choice=True), t=text) == letter
+    for text, letter in (("The answer is C", "C"), ("Option: b", "B"), ("D) text", "D"), ("c", "C")):
+        assert one(spark, S.option_letter(F.col("t")), t=text) == letter
+    steps = one(spark, S.trajectory_actions(F.col("t")), t="Rotates 30 degrees left, moves forward 2.5 meters and turns clockwise 90degrees.")
+    assert [tuple(s) for s in steps] == [("move", "forward", 2.5), ("turn", "right", 90.0), ("turn", "left", 30.0)]
+    assert one(spark, S.orientation_cycle(F.col("t"), F.lit('so {"angle": -12.5, "x": 1}')), t="12.5 Degrees") == 1.0
     assert one(spark, S.motion_direction(F.col("t")), t="It rolls counterclockwise") == "left"
 
 
