@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.llm.common import small_batches, stored
+from rewardloom.llm.common import small_batches
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[|<[!?][^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTRIBUTE = re.compile(r"""([\w:-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -146,109 +147,140 @@ def _line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
-_ADDRESS = re.compile(r"^\s*(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)(?::\d*)?([^?#]*)", re.S)
+def _kept(lines: list[str], marks: list[bool], hashes: list[int], other: list[int] | None) -> str:
+    """Text of a page, given the line hashes of its pair."""
+    if any(marks):
+        lines = [x for x, m in zip(lines, marks, strict=True) if m]
+    elif other:
+        shared = set(common_lines(hashes, other))
+        if len(shared) < len(lines):  # else it is a copy
+            lines = [x for i, x in enumerate(lines) if i not in shared]
+    return "\n".join(lines)
 
 
-def _split(batches):
+_HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
+_PATH = _HOST + r"(?::[0-9]*)?([^?#]*)"
+_KEY = ("host", "path", "url", "pid", "mark")  # the order of pages; only equal rows are equal in all
+
+
+def _edges(batches):
+    """First and last key of a range."""
+    from pyspark import TaskContext
+
+    part, first, last = TaskContext.get().partitionId(), None, None
     for batch in batches:
-        rows = {"row": batch.column(0), "page_id": batch.column(1), "url": batch.column(2)}
-        hosts, paths, texts, marks, hashes = [], [], [], [], []
-        for url, page in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            m = _ADDRESS.match(url or "")
-            hosts.append(m[1].lower() if m and m[1] else None)
-            paths.append(m[2] if m else None)
-            lines, mark = page_lines(page or "")
-            texts.append(lines)
-            marks.append(mark)
-            hashes.append([_line_hash(x) for x in lines])
-        rows |= {"host": pa.array(hosts, pa.string()), "path": pa.array(paths, pa.string()), "lines": pa.array(texts, pa.list_(pa.string())),
-                 "marks": pa.array(marks, pa.list_(pa.bool_())), "hashes": pa.array(hashes, pa.list_(pa.int64()))}
-        yield pa.RecordBatch.from_pydict(rows)
-
-
-def _pairs(pages: DataFrame) -> DataFrame:
-    """(row, pair): the next page of the host in the order of paths, or the one before for the last; none for a lone page.
-
-    Keys are sorted in ranges, so a host of any size is spread; neighbours across a range border are found through
-    one first and one last row per range.
-    """
+        if batch.num_rows:
+            first = first or batch.slice(0, 1)
+            last = batch.slice(batch.num_rows - 1, 1)
+    for place, row in enumerate((first, last)):
+        if row is not None:
+            yield pa.record_batch([pa.array([part]), pa.array([place]), *row.columns], names=["part", "place", *_KEY])
 
-    def neighbours(batches):
-        from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        before = None
+def _dealt(firsts: list[tuple], guests: dict[tuple, list[int]]):
+    """Pages to their range, and those at a border to the neighbouring range as guests."""
+
+    def run(batches):
         for batch in batches:
-            for host, row in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if before is not None:
-                    yield one(part, *before, host, row)
-                before = (host, row)
-        if before is not None:
-            yield one(part, *before, None, None)
+            rows, buckets, guest = [], [], []
+            for i, key in enumerate(zip(*(batch.column(k).to_pylist() for k in range(len(_KEY))), strict=True)):
+                own = bisect_right(firsts, key) - 1
+                for bucket in (own, *guests.get(key, ())):
+                    rows.append(i)
+                    buckets.append(bucket)
+                    guest.append(bucket != own)
+            yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(guest, pa.bool_()), *batch.take(pa.array(rows, pa.int64())).columns],
+                                  names=["bucket", "guest", *batch.schema.names])
 
-    def one(part, host, row, next_host, next_row):
-        return {"part": part, "host": host, "row": row, "next_host": next_host, "next_row": next_row}
+    return run
 
-    def run(batches):
-        held = []
-        for x in neighbours(batches):
-            held.append(x)
-            if len(held) == 10_000:
-                yield pa.RecordBatch.from_pylist(held, kinds)
-                held = []
-        if held:
-            yield pa.RecordBatch.from_pylist(held, kinds)
-
-    kinds = pa.schema([("part", pa.int64()), ("host", pa.string()), ("row", pa.int64()), ("next_host", pa.string()), ("next_row", pa.int64())])
-    keys = pages.where("host is not null").select("host", "path", "row")
-    ordered = keys.repartitionByRange("host", "path", "row").sortWithinPartitions("host", "path", "row")
-    steps = stored(ordered.mapInArrow(run, "part long, host string, row long, next_host string, next_row long"), "order")
-    # One row per range: its last row meets the first row of the next range that has any.
-    heads = ordered_heads(steps)
-    lasts = steps.where("next_row is null").select("part", "host", "row")
-    edges = lasts.join(heads, "part", "left").select("host", "row", "next_host", "next_row")
-    inner = steps.where("next_row is not null").select("host", "row", "next_host", "next_row")
-    links = inner.union(edges).where("host = next_host").select("row", F.col("next_row").alias("pair"))
-    both = links.select("row", "pair", F.lit(0).alias("rank")).union(links.select("pair", "row", F.lit(1)))
-    return both.groupBy("row").agg(F.min_by("pair", "rank").alias("pair"))
-
-
-def ordered_heads(steps: DataFrame) -> DataFrame:
-    """(part, next_host, next_row): the first row of the range that follows ``part``."""
-    targets = steps.where("next_row is not null").select(F.col("next_row").alias("row"))
-    firsts = steps.join(targets, "row", "left_anti").select("part", "host", "row")  # a range's first row is nobody's next
-    order = Window.orderBy("part")
-    return firsts.select("part", F.lead("host").over(order).alias("next_host"), F.lead("row").over(order).alias("next_row"))
-
-
-def _difference(batches):
+
+def _compared(batches):
+    """Pages of whole ranges in order: bucket, guest, the key, page_id, html to page_id, url, text."""
+
+    def pages():
+        for batch in batches:
+            names = batch.schema.names
+            host, bucket, guest, html_at = (names.index(n) for n in ("host", "bucket", "guest", "html"))
+            columns = [batch.column(k).to_pylist() for k in (bucket, guest, host, html_at)]
+            for i, (b, g, h, page) in enumerate(zip(*columns, strict=True)):
+                lines, marks = page_lines(page)
+                yield (b, h), g, batch.slice(i, 1), lines, marks, [_line_hash(x) for x in lines]
+
+    def told(page, pair):
+        _, _, row, lines, marks, hashes = page
+        text = _kept(lines, marks, hashes, pair[5] if pair else None)
+        return row.column(row.schema.names.index("page_id")), row.column(row.schema.names.index("url0")), text
+
+    def one(page, before, after):
+        same = [x for x in (after, before) if x is not None and x[0] == page[0]]
+        return told(page, same[0] if same else None)
+
+    held, before, now = [], None, None
+    for after in pages():
+        if now is not None and not now[1]:
+            held.append(one(now, before, after))
+        before, now = now, after
+        if len(held) >= 500:
+            yield _batch(held)
+            held = []
+    if now is not None and not now[1]:
+        held.append(one(now, before, None))
+    if held:
+        yield _batch(held)
+
+
+def _batch(rows):
+    return pa.record_batch([pa.concat_arrays([r[0] for r in rows]), pa.concat_arrays([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.string())],
+                           names=["page_id", "url", "text"])
+
+
+def _alone(batches):
     for batch in batches:
-        shared = []
-        for mine, other in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            shared.append(common_lines(mine or [], other or []))
-        yield pa.record_batch([batch.column(0), pa.array(shared, pa.list_(pa.int32()))], names=["row", "shared"])
+        texts = []
+        for page in batch.column(2).to_pylist():
+            lines, marks = page_lines(page or "")
+            texts.append(_kept(lines, marks, [], None))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-def main_text(pages: DataFrame) -> DataFrame:
+def main_text(pages: DataFrame, range_pages: int = 1000) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html).
 
-    Returns page_id, url, text, n_chars. Null or empty html gives an empty text. A page without a usable url, or
-    alone on its host, has no pair and loses no line; so does a page all of whose lines are shared: it is a copy.
-    Repeated rows are pages of their own; other columns are not looked at.
+    Returns page_id, url, text, n_chars. Null or empty html gives an empty text and is nobody's pair. A page without
+    a usable url, or alone on its host, has no pair and loses no line; so does a page all of whose lines are
+    shared: it is a copy. Repeated rows are pages of their own; other columns are not looked at.
+
+    The keys are put in order first, in ranges of about ``range_pages`` pages; a host of any size is many ranges. Then
+    pages move to their range once, with the one page on either side of each border, and are compared there.
     """
     small_batches(pages.sparkSession)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    result = f"page_id {kind}, url string, text string"
     rows = pages.select(
-        F.monotonically_increasing_id().alias("row"), "page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+        F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _HOST, 1)).alias("host"),
+        F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), _PATH, 2).alias("path"),
+        F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("pid"),
+        F.xxhash64(F.col("html").cast("string")).alias("mark"), "page_id", F.col("url").cast("string").alias("url0"), F.col("html").cast("string").alias("html"),
     )
-    kind = pages.schema["page_id"].dataType.simpleString()
-    split = stored(rows.mapInArrow(_split, f"row long, page_id {kind}, url string, host string, path string, lines array<string>, marks array<boolean>, hashes array<long>"), "lines")
-    pairs = _pairs(split.where(F.size("hashes") > 0))  # an empty page has nothing to tell
-    hashes = split.select("row", "hashes")
-    own = pairs.join(hashes, "row").join(hashes.select(F.col("row").alias("pair"), F.col("hashes").alias("other")), "pair")
-    shared = own.select("row", "hashes", "other").mapInArrow(_difference, "row long, shared array<int>").where(F.size("shared") > 0)
-    lines = split.select("row", "page_id", "url", "lines", "marks").join(shared, "row", "left")
-    stays = F.when(F.array_contains("marks", True), F.filter("lines", lambda x, i: F.get("marks", i))).when(
-        F.col("shared").isNull() | (F.size("shared") == F.size("lines")), F.col("lines")
-    ).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("shared", i)))
-    text = F.array_join(stays, "\n")
-    return lines.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
+    paired = rows.where("host != '' and trim(html) != ''")
+    lone = rows.where("host = '' or html is null or trim(html) = ''").select("page_id", "url0", "html").mapInArrow(_alone, result)
+    keys = paired.select(*_KEY)
+    ranges = max(1, -(-paired.count() // range_pages))
+    edges = keys.repartitionByRange(ranges, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(
+        _edges, "part long, place long, host string, path string, url string, pid string, mark long")
+    found: dict[int, dict[int, tuple]] = {}
+    for r in edges.collect():  # two keys per range
+        found.setdefault(r["part"], {})[r["place"]] = tuple(r[c] for c in _KEY)
+    order = sorted(found)
+    firsts = [found[p][0] for p in order]
+    guests: dict[tuple, list[int]] = {}
+    for i in range(1, len(order)):
+        before, after = found[order[i - 1]][1], firsts[i]
+        if before[0] == after[0]:
+            guests.setdefault(after, []).append(i - 1)
+            guests.setdefault(before, []).append(i)
+    types = "host string, path string, url string, pid string, mark long"
+    dealt = paired.mapInArrow(_dealt(firsts, guests), f"bucket long, guest boolean, {types}, page_id {kind}, url0 string, html string")
+    compared = dealt.repartition("bucket").sortWithinPartitions("bucket", *_KEY).mapInArrow(_compared, result)
+    return compared.union(lone).withColumn("n_chars", F.length("text").cast("long"))

@@ -112,17 +112,25 @@ def test_pages_lose_template_lines_and_nothing_else(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
-def test_page_pairs_do_not_depend_on_ranges(spark):
+@pytest.mark.parametrize("range_pages", [7, 1000])
+def test_pairs_do_not_depend_on_ranges(spark, range_pages):
+    """The next page of the host, or the one before for the last, wherever ranges begin; one host has most pages."""
     rng = random.Random(8)
-    rows = [(i, f"h{rng.randint(0, 3)}", f"/p{rng.randint(0, 60):03d}") for i in range(300)]
-    pages = spark.createDataFrame(rows, "row long, host string, path string")
+    rows = []
+    for i in range(150):
+        host, path = rng.choice(["h0", "h0", "h0", "h1", "h2"]), f"/p{rng.randint(0, 99):02d}"
+        lines = [f"line {rng.randint(0, 5)}" for _ in range(rng.randint(1, 6))] + [f"own {i}"]
+        rows.append((i, f"http://{host}{path}", "".join(f"<p>{x}</p>" for x in lines)))
+    keys = sorted((u, str(i), i) for i, u, _ in rows)
+    lines = {i: re.findall("<p>(.*?)</p>", h) for i, _, h in rows}
     want = {}
-    keys = sorted((h, p, i) for i, h, p in rows)
-    for (h, _, a), (g, _, b) in zip(keys[:-1], keys[1:], strict=True):
-        if h == g:
-            want[a] = b
-            want.setdefault(b, a)
-    assert {r.row: r.pair for r in html_text._pairs(pages).collect()} == want
+    for k, (u, _, i) in enumerate(keys):
+        pair = next((keys[j][2] for j in (k + 1, k - 1) if 0 <= j < len(keys) and keys[j][0].split("/")[2] == u.split("/")[2]), None)
+        gone = set(html_text.common_lines(lines[i], lines[pair])) if pair is not None else set()
+        want[i] = "\n".join(x for n, x in enumerate(lines[i]) if n not in gone)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = html_text.main_text(frame, range_pages).collect()
+    assert len(got) == len(rows) and {r.page_id: r.text for r in got} == want
 
 
 def test_main_text_of_given_pages(spark):
