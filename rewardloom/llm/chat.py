@@ -42,41 +42,37 @@ def reply_paths(messages: DataFrame, branches: int | None = None) -> DataFrame:
     paths per conversation, None all. node_id must be unique in a conversation and not null; replies in a
     circle are an error.
     """
-    nodes = messages.select("conv_id", "node_id", "parent_id", "score")
-    # Every table here grows with the messages: all joins are shuffle joins, none may become a broadcast.
-    known = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n")).hint("merge")
-    jumps = nodes.where("parent_id is not null").join(
-        known, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("parent_id") == F.col("_n"))
-    ).select("conv_id", "node_id", F.col("parent_id").alias("up"))
-    inner = jumps.select(F.col("conv_id").alias("_c"), F.col("up").alias("_n")).distinct().hint("merge")
-    leaves = nodes.join(inner, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")), "left_anti")
-    most = nodes.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    # A message is named by one struct, equal where both parts are, null included. Every table here grows with the
+    # messages: all joins are shuffle joins, none may become a broadcast.
+    nodes = stored(messages.select(
+        F.struct("conv_id", "node_id").alias("k"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("s"),
+        F.when(F.col("parent_id").isNotNull(), F.struct("conv_id", F.col("parent_id").alias("node_id"))).alias("up"),
+    ), "messages")
+    jumps = nodes.where("up is not null").select("k", "up").join(nodes.select(F.col("k").alias("up")).hint("merge"), "up", "left_semi").select("k", "up")
+    jumps = stored(jumps, "jumps")
+    leaves = nodes.select("k").join(jumps.select(F.col("up").alias("k")).hint("merge"), "k", "left_anti")
+    most = nodes.groupBy("k.conv_id").count().agg(F.max("count")).first()[0] or 0
     tables = []
-    while True:
-        jumps = stored(jumps, "jumps")
-        if jumps.isEmpty():
-            break
+    while not jumps.isEmpty():
         if 1 << len(tables) > most:
             raise ValueError("replies form a circle")
         tables.append(jumps)
-        far = jumps.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.col("up").alias("_up")).hint("merge")
-        jumps = jumps.join(far, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("up") == F.col("_n"))).select("conv_id", "node_id", F.col("_up").alias("up"))
-    steps = leaves.select("conv_id", F.col("node_id").alias("leaf"), "node_id", F.lit(0).alias("back"))
-    for k in range(len(tables) - 1, -1, -1):
-        far = tables[k].select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), "up").hint("merge")
-        more = steps.join(far, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
-        steps = steps.union(more.select("conv_id", "leaf", F.col("up").alias("node_id"), (F.col("back") + (1 << k)).alias("back")))
-    steps = stored(steps, "paths")
-    scores = nodes.select(F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"), F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("_s")).hint("merge")
-    valued = steps.join(scores, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
-    paths = valued.groupBy("conv_id", "leaf").agg(F.sum("_s").alias("score"), F.max("back").alias("_last"))
-    rank = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("score"), "leaf"))
+        far = jumps.select(F.col("k").alias("up"), F.col("up").alias("far")).hint("merge")
+        jumps = stored(jumps.join(far, "up").select("k", F.col("far").alias("up")), "jumps")
+    steps = leaves.select(F.col("k").alias("leaf"), "k", F.lit(0).alias("back"))
+    for n in range(len(tables) - 1, -1, -1):
+        more = steps.join(tables[n].hint("merge"), "k")
+        steps = stored(steps.union(more.select("leaf", F.col("up").alias("k"), (F.col("back") + (1 << n)).alias("back"))), "paths")
+    paths = steps.join(nodes.select("k", "s").hint("merge"), "k").groupBy("leaf").agg(F.sum("s").alias("score"), F.max("back").alias("last"))
+    rank = F.row_number().over(Window.partitionBy("leaf.conv_id").orderBy(F.desc("score"), "leaf.node_id"))
     paths = paths.withColumn("branch", rank)
     if branches is not None:
         paths = paths.where(F.col("branch") <= branches)
-    paths = paths.select(F.col("conv_id").alias("_c"), F.col("leaf").alias("_l"), "branch", "score", "_last").hint("merge")
-    found = steps.join(paths, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("leaf") == F.col("_l")))
-    return found.select("conv_id", "leaf", "branch", "score", (F.col("_last") - F.col("back")).alias("depth"), "node_id")
+    found = steps.join(paths.hint("merge"), "leaf")
+    return found.select(
+        F.col("leaf.conv_id").alias("conv_id"), F.col("leaf.node_id").alias("leaf"), "branch", "score",
+        (F.col("last") - F.col("back")).alias("depth"), F.col("k.node_id").alias("node_id"),
+    )
 
 
 def format_conversations(messages: DataFrame, branches: int | None = None, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
@@ -86,14 +82,16 @@ def format_conversations(messages: DataFrame, branches: int | None = None, learn
     ``formatted`` that hold the texts of the roles in ``learn``. Null roles and texts are empty; further columns are
     not looked at; a null conv_id is a conversation of its own; no message, no row.
     """
-    paths = reply_paths(messages, branches)
+    names = ("conv_id", "node_id", "parent_id", "role", "text", "score")
+    messages = stored(messages.select(*names), "conversations")
+    paths = reply_paths(messages, branches).withColumn("k", F.struct("conv_id", "node_id"))
     parts = messages.select(
-        F.col("conv_id").alias("_c"), F.col("node_id").alias("_n"),
+        F.struct("conv_id", "node_id").alias("k"),
         _escaped_role(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("_role"),
         escaped(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text"),
         F.coalesce(F.col("role").isin(*learn), F.lit(False)).alias("_learn"),
-    ).hint("merge")
-    rows = paths.join(parts, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("node_id") == F.col("_n")))
+    )
+    rows = paths.join(parts.hint("merge"), "k").drop("k")
     head = F.length("_role") + (len(START) + 1)
     size = head + F.length("_text") + len(END)
     path = Window.partitionBy("conv_id", "leaf").orderBy("depth")
