@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import R, T, query, rollouts, rounded, table, tokens
+from checks.base import R, T, query, r6, rollouts, rounded, table, tokens
 from rewardloom.operators import batch as B
 from rewardloom.operators import joins as J
 from rewardloom.operators import sample as S
 from rewardloom.operators import setops as U
+from rewardloom.plans.scale import rank_within, with_group_stats
 
 KEEP = ["row_idx", "uid", "rollout_n", "score"]
 
@@ -309,3 +310,31 @@ query("u04_key_intersection", "select distinct doc_id from documents where doc_i
 query("u05_distinct_keys", f"with {R} select distinct data_source, uid from r")(lambda s, d: U.distinct_keys(rollouts(s, d), "data_source", "uid"))
 
 
+
+
+_MIXED = """select o_orderkey, case when o_custkey % 7 = 0 then null when o_custkey % 11 = 0 then 'nan'::double else o_totalprice end as price, o_orderstatus as status,
+  case when o_custkey % 5 = 0 then null else o_orderdate end as day, case when o_custkey % 6 = 0 then null else o_orderpriority end as grp from orders"""
+
+
+@query("rank_mixed_types_null_groups", f"""with m as ({_MIXED}) select o_orderkey, grp, cast(row_number() over (partition by grp order by status desc, price desc nulls last, day desc nulls last, o_orderkey) - 1 as bigint) as place from m""")
+def rank_mixed(spark, sf_dir):
+    """Ranks in groups (one of them null) by descending text, number with NaN and date, cut into many ranges."""
+    orders = table(spark, sf_dir, "orders")
+    key = F.col("o_custkey")
+    mixed = orders.select(
+        "o_orderkey", F.when(key % 6 != 0, F.col("o_orderpriority")).alias("grp"), F.col("o_orderstatus").alias("status"),
+        F.when(key % 7 == 0, F.lit(None)).when(key % 11 == 0, F.lit(float("nan"))).otherwise(F.col("o_totalprice")).alias("price"),
+        F.when(key % 5 != 0, F.col("o_orderdate")).alias("day"),
+    )
+    ranked = rank_within(mixed, ["grp"], ["status desc", "price desc", "day desc", "o_orderkey"], "place", rows_per_range=500)
+    return ranked.select("o_orderkey", "grp", "place")
+
+
+@query("group_stats_null_key", """with m as (select o_orderkey, case when o_custkey % 6 = 0 then null else o_orderpriority end as grp, o_totalprice as v from orders)
+  select o_orderkey, grp, round(avg(v) over (partition by grp), 2) as mean, count(*) over (partition by grp) as n from m""")
+def stats_null_key(spark, sf_dir):
+    """Rows with a null key are a group and stay."""
+    orders = table(spark, sf_dir, "orders")
+    keyed = orders.select("o_orderkey", F.when(F.col("o_custkey") % 6 != 0, F.col("o_orderpriority")).alias("grp"), F.col("o_totalprice").alias("v"))
+    stats = with_group_stats(keyed, ["grp"], F.avg("v").alias("mean"), F.count(F.lit(1)).alias("n"))
+    return stats.select("o_orderkey", "grp", r6(F.col("mean"), 2).alias("mean"), "n")
