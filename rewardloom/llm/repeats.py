@@ -53,22 +53,33 @@ def _slices(column: pa.Array):
 def _scan(batches):
     for batch in batches:
         for lo, hi, data, at, first, words in _slices(batch.column(1)):
-            heads, places, keys = _anchors(words, first)
-            place = np.arange(len(words), dtype=U64) - np.repeat(first[:-1], np.diff(first)).astype(U64)
-            digests = []
-            for c in _SEQUENCE:
-                sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(words ^ mix(place * c + c)))])
-                digests.append(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U64)).view(np.int64))
-            anchors, shas = [], []
-            for i in range(hi - lo):
-                own = slice(heads[i], heads[i + 1])
-                anchors.append(np.unique(keys[own]).view(np.int64))
-                shas.append(hashlib.sha256(b" ".join(data[at[i]: at[i + 1]].tobytes().split())).hexdigest())
-            offsets = np.concatenate([[0], np.cumsum([len(a) for a in anchors])]).astype(np.int32)
+            d0, d1 = _digests(words, first)
+            shas = [hashlib.sha256(b" ".join(data[at[i]: at[i + 1]].tobytes().split())).hexdigest() for i in range(hi - lo)]
+            yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(d0), pa.array(d1), pa.array(shas)],
+                                  names=["doc_id", "n_words", "d0", "d1", "sha"])
+
+
+def _digests(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Two independent hashes of each document's word sequence."""
+    place = np.arange(len(words), dtype=U64) - np.repeat(first[:-1], np.diff(first)).astype(U64)
+    out = []
+    for c in _SEQUENCE:
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(mix(words ^ mix(place * c + c)))])
+        out.append(mix(sums[first[1:]] - sums[first[:-1]] + np.diff(first).astype(U64)).view(np.int64))
+    return out
+
+
+def _anchor_rows(batches):
+    """A row per document and distinct anchor of it. Computed anew where it is needed: that costs less than keeping them."""
+    for batch in batches:
+        for lo, hi, _, _, first, words in _slices(batch.column(1)):
+            heads, _, keys = _anchors(words, first)
+            d0 = _digests(words, first)[0]
+            anchors = [np.unique(keys[heads[i]: heads[i + 1]]).view(np.int64) for i in range(hi - lo)]
+            sizes = [len(a) for a in anchors]
             yield pa.record_batch(
-                [batch.column(0).slice(lo, hi - lo), pa.array(np.diff(first)), pa.array(digests[0]), pa.array(digests[1]), pa.array(shas),
-                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(anchors)))],
-                names=["doc_id", "n_words", "d0", "d1", "sha", "anchors"],
+                [batch.column(0).take(pa.array(np.repeat(np.arange(lo, hi), sizes))), pa.array(np.repeat(d0, sizes)), pa.array(np.concatenate(anchors))],
+                names=["doc_id", "d0", "anchor"],
             )
 
 
@@ -197,12 +208,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     rows of one doc_id are one document; other columns are not looked at.
     """
     small_batches(docs.sparkSession)
-    scanned = stored(_texts(docs).mapInArrow(_scan, "doc_id long, n_words long, d0 long, d1 long, sha string, anchors array<long>"), "anchors")
+    scanned = stored(_texts(docs).mapInArrow(_scan, "doc_id long, n_words long, d0 long, d1 long, sha string"), "words")
     known = scanned.where(f"doc_id is not null and n_words >= {WINDOW}")
     least = stored(known.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "texts")
 
     # Anchors of two different texts or more, and what the first document of each text has of them.
-    rows = known.select("doc_id", "d0", F.explode("anchors").alias("anchor"))
+    rows = _texts(docs).where("doc_id is not null and text is not null").mapInArrow(_anchor_rows, "doc_id long, d0 long, anchor long")
     recurring = rows.groupBy("anchor").agg(F.min("d0").alias("a"), F.max("d0").alias("b"), F.count("*").alias("n")).where("a != b")
     recurring = recurring.select("anchor", (F.col("n") > BUSY).alias("busy"))
     busy = F.collect_set(F.when(F.col("busy"), F.col("anchor")))
@@ -225,7 +236,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     cut = cut.mapInArrow(_cut, "doc_id long, d0 long, d1 long, gone long, left_sha string, ranges array<struct<start:bigint,end:bigint>>")
     cut = cut.groupBy("doc_id", "d0", "d1").agg(*(F.first(c).alias(c) for c in ("gone", "left_sha", "ranges")))
 
-    out = scanned.drop("anchors").join(reps, ["d0", "d1"], "left").join(cut, ["doc_id", "d0", "d1"], "left")
+    out = scanned.join(reps, ["d0", "d1"], "left").join(cut, ["doc_id", "d0", "d1"], "left")
     copy = (F.col("n_words") >= WINDOW) & (F.col("rep") < F.col("doc_id"))
     none = F.array().cast("array<struct<start:bigint,end:bigint>>")
     all_of = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end")))
