@@ -4,7 +4,8 @@ A page becomes lines (blocks of visible text). What markup itself names as somet
 footers, sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) is left out. The page that
 follows on the same host in URL order, or comes before for the last one, is its pair: lines of both are aligned by
 longest common subsequence, and shared ones are the host's template and go. Lines inside an article element
-are the author's, whoever else prints them, and stay; with such an element the text is what it holds.
+are the author's, whoever else prints them, and stay. A page with such an element but without a pair, or copied by
+it, keeps what the element holds.
 """
 
 from __future__ import annotations
@@ -149,12 +150,11 @@ def _line_hash(line: str) -> int:
 
 def _kept(lines: list[str], marks: list[bool], hashes: list[int], other: list[int] | None) -> str:
     """Text of a page, given the line hashes of its pair."""
-    if any(marks):
+    shared = set(common_lines(hashes, other)) if other and not all(marks) else set()
+    if other and len(shared) < len(lines):  # else it is a copy
+        lines = [x for i, (x, m) in enumerate(zip(lines, marks, strict=True)) if m or i not in shared]
+    elif any(marks):
         lines = [x for x, m in zip(lines, marks, strict=True) if m]
-    elif other:
-        shared = set(common_lines(hashes, other))
-        if len(shared) < len(lines):  # else it is a copy
-            lines = [x for i, x in enumerate(lines) if i not in shared]
     return "\n".join(lines)
 
 
@@ -248,8 +248,8 @@ def main_text(pages: DataFrame, range_pages: int = 1000) -> DataFrame:
     """Main text of every row of ``pages`` (page_id, url, html).
 
     Returns page_id, url, text, n_chars. Null or empty html gives an empty text and is nobody's pair. A page without
-    a usable url, or alone on its host, has no pair and loses no line; so does a page all of whose lines are
-    shared: it is a copy. Repeated rows are pages of their own; other columns are not looked at.
+    a usable url, or alone on its host, has no pair; a page all of whose lines are shared is a copy. Both lose the lines
+    outside their article element, or none without such an element. Repeated rows are pages of their own; other columns are not looked at.
 
     The keys are put in order first, in ranges of about ``range_pages`` pages; a host of any size is many ranges. Then
     pages move to their range once, with the one page on either side of each border, and are compared there.

@@ -112,6 +112,17 @@ def test_pages_lose_template_lines_and_nothing_else(spark):
     assert html_text.main_text(frame.limit(0)).count() == 0
 
 
+def test_differencing_decides_outside_the_article(spark):
+    """Lines outside an article element are compared, not dropped; those inside stay, shared or not."""
+    def page(lead, body):
+        return f"<div>Site name</div><p>{lead}</p><article><p>Notice</p><p>{body}</p></article><div>All rights reserved</div>"
+
+    rows = [(1, "http://h.com/1", page("Lead one", "a")), (2, "http://h.com/2", page("Lead two", "b")), (3, "http://k.com/1", page("Lead", "c")),
+            (4, "http://m.com/1", page("Lead", "d")), (5, "http://m.com/2", page("Lead", "d"))]
+    got = {r.page_id: r.text for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Lead one\nNotice\na", 2: "Lead two\nNotice\nb", 3: "Notice\nc", 4: "Notice\nd", 5: "Notice\nd"}
+
+
 @pytest.mark.parametrize("range_pages", [7, 1000])
 def test_pairs_do_not_depend_on_ranges(spark, range_pages):
     """The next page of the host, or the one before for the last, wherever ranges begin; one host has most pages."""
