@@ -116,6 +116,43 @@ def test_stage_keeps_one_of_each_group(spark, odd):
     assert sorted(i for i in got if i is not None) == sorted(i for i, c in want.items() if i == c) and got.count(None) == 3
 
 
+def test_schemes_miss_no_more_than_stated():
+    assert near_text.scheme(85) == (12, 6, 8)
+    for percent in range(50, 101):
+        assert near_text.scheme(percent).miss(percent / 100) <= near_text.MISS
+    with pytest.raises(ValueError):
+        near_text.scheme(30)
+
+
+def test_pipeline_stage_finds_pairs_from_080(spark):
+    """Pairs at 0.80 to 0.85 lose one document, pairs just under 0.80 none."""
+    from corpus_pipeline import near_dedup
+
+    rows, want = [], set()
+    for i in range(150):
+        words = [f"p{i}w{k}" for k in range(104 + i % 20)]  # 100 shingles or more
+        n, cut = len(words) - 4, 11 + i % 2 * 2
+        other = words[:-cut] + [f"q{i}w{k}" for k in range(cut)]
+        similarity = (n - cut) / (n + cut)
+        assert 0.74 < similarity < 0.85
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        want |= {2 * i} if similarity >= 0.8 else {2 * i, 2 * i + 1}
+    assert 50 < 300 - len(want) < 100  # so many pairs lie at 0.80 or more
+    got = [r.doc_id for r in near_dedup(spark, table(spark, rows), "").select("doc_id").collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_stage_drops_repeated_rows_of_equal_text_only(spark):
+    """Texts that clash under one doc_id are documents of their own; which of equal rows stays is settled."""
+    rng = random.Random(2)
+    a, b, c, d = (prose(rng, 50) for _ in range(4))
+    rows = [(1, a), (7, a), (7, b), (9, b), (11, c), (11, c), (11, d), (12, None), (12, "x"), (None, c)]
+    docs = table(spark, rows)
+    left = [near_text.without_near_duplicates(docs.repartition(n, "n_chars", "node"), percent=80).collect() for n in (1, 5)]
+    assert sorted(r.text or "" for r in left[0]) == sorted(["", "x", a, b, c, c, d])
+    assert sorted(left[0], key=str) == sorted(left[1], key=str)
+
+
 def repeats_by_hand(rows):
     first = {}
     split = [(i, re.findall(r"[^\x20\x09-\x0d]+", t or "")) for i, t in rows]
