@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.llm import chat, decontaminate, html_text, language, near_text, near_vectors, pack, repeats, secrets, token_files
+from rewardloom.llm import (
+    chat, decontaminate, hard_negatives, html_text, language, manifest, near_text, near_vectors, nearest, pack, repeats, secrets, token_files,
+)
 from rewardloom.llm.tokens import vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -147,3 +149,86 @@ from w left join kept on kept.doc_id = w.doc_id
 @query("op2_repeated_passages", OP2_SQL)
 def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeated_passages(table(spark, sf_dir, "documents")).drop("removed")
+
+
+OP11_SQL = """
+with recursive
+d as (select *, row_number() over () as row_id,
+             xor(4294967295, list_reduce([ascii(x)::bigint for x in string_split(doc_id::varchar, '')],
+                 lambda c, b: list_reduce(range(8), lambda r, i: xor(r >> 1, (r & 1) * 3988292384), xor(c, b)), 4294967295)) % 7 = 0 as hit
+      from documents),
+h as (select row_id, doc_id, lang, hit, prefix || coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-') || suffix as plain,
+             prefix || coalesce(octet_length(encode((n_chars + 1)::varchar)) || ':' || (n_chars + 1), '-') || suffix as other
+      from (select *, coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-') || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                      || coalesce(octet_length(encode(lang)) || ':' || lang, '-') as prefix,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') as suffix from d)),
+leaf as (select row_id, doc_id, lang, sha256(plain) as leaf, case when coalesce(hit, false) then sha256(other) else sha256(plain) end as seen,
+                row_number() over (partition by lang order by doc_id nulls first, sha256(plain)) - 1 as idx, count(*) over (partition by lang) as n from h),
+tree as (select lang, row_number() over (order by lang nulls first) - 1 as tree, count(*) over () as trees from (select distinct lang from leaf)),
+node(tree, level, idx, n, digest) as (
+  select tree, 0, idx, n, leaf from leaf join tree on leaf.lang is not distinct from tree.lang
+  union all select tree, level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by idx)) from node where n > 1 group by tree, level, idx // 2, n),
+subroot as (select tree, digest from node where n = 1),
+top(level, idx, n, digest) as (
+  select 0, subroot.tree, trees, digest from subroot join tree using (tree)
+  union all select level + 1, idx // 2, (n + 1) // 2, sha256(string_agg(digest, '' order by idx)) from top where n > 1 group by level, idx // 2, n),
+path(row_id, tree, stage, level, idx, n, folded, siblings) as (
+  select row_id, tree, 0, 0, idx, n, seen, '' from leaf join tree on leaf.lang is not distinct from tree.lang
+  union all
+  select p.row_id, p.tree, case when p.n > 1 then p.stage else 1 end,
+         case when p.n > 1 then p.level + 1 else 0 end,
+         case when p.n > 1 then p.idx // 2 else p.tree end,
+         case when p.n > 1 then (p.n + 1) // 2 else (select max(trees) from tree) end,
+         case when p.n = 1 then p.folded when p.idx % 2 = 0 then sha256(p.folded || coalesce(s.digest, t.digest, '')) else sha256(coalesce(s.digest, t.digest) || p.folded) end,
+         p.siblings || case when p.n = 1 then '' else coalesce(s.digest, t.digest, '') end
+  from path p
+  left join node s on p.stage = 0 and s.tree = p.tree and s.level = p.level and s.idx = xor(p.idx, 1) and p.n > 1
+  left join top t on p.stage = 1 and t.level = p.level and t.idx = xor(p.idx, 1) and p.n > 1
+  where p.n > 1 or p.stage = 0)
+select leaf.doc_id, leaf.leaf, subroot.digest as subroot, root.digest as root, sha256(path.siblings) as proof_sha256,
+       path.folded as folded_root, path.folded = root.digest as verified
+from path join leaf using (row_id) join subroot using (tree) join (select digest from top where n = 1) root on true
+where path.stage = 1 and path.n = 1
+"""
+
+
+@query("op11_merkle_manifest", OP11_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
+OP12_SQL = """
+with v as (select vec_id, embedding::double[] as e from embeddings),
+ok as (select * from v where e is not null and len([x for x in e if x is null or not isfinite(x)]) = 0 and len([x for x in e if x <> 0]) > 0),
+d as (select a.vec_id as query_id, b.vec_id, sqrt(list_sum([(x[1] - x[2]) * (x[1] - x[2]) for x in list_zip(a.e, b.e)])) as score from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+      where a.vec_id % 100 = 0),
+r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d)
+select query_id, rank::int as rank, vec_id, score from r where rank <= 10
+"""
+
+
+@query("op12_rotated_codes", OP12_SQL)
+def op12_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+with v as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, embedding::double[] as e from embeddings
+           where label is not null and embedding is not null),
+ok as (select vec_id, label, [floor(256 * x) for x in e] as e from v where len([x for x in e if x is null or not isfinite(x)]) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same, list_inner_product(a.e, b.e)::bigint as score
+      from ok a join ok b on a.vec_id <> b.vec_id and len(a.e) = len(b.e) where a.vec_id % 50 = 0),
+p as (select anchor_id, other_id as positive_id, score as positive_score from s where same
+      qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5)
+select p.anchor_id, positive_id, (row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id))::int as rank,
+       other_id as negative_id, positive_score, score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not same and 50 * positive_score <= 100 * score and 100 * score <= 95 * positive_score
+qualify rank <= 3
+"""
+
+
+@query("op13_hard_negatives", OP13_SQL)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", moved), F.col("vec_id") % 50 == 0)

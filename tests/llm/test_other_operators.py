@@ -155,7 +155,7 @@ def test_main_text_of_given_pages(spark):
         assert got[r.page_id] == "\n".join(x for x in (" ".join(entities.unescape(z).split()) for z in body.split("\0")) if x)
 
 
-@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op2_repeated_passages", "op3_chat_format", "op8_minhash_near_dedup"])
+@pytest.mark.parametrize("name", ["op1_embedding_near_dedup", "op2_repeated_passages", "op3_chat_format", "op8_minhash_near_dedup", "op11_merkle_manifest", "op12_rotated_codes", "op13_hard_negatives"])
 def test_query_equals_sql(spark, name):
     from checks.compare import check, connect
     from rewardloom.llm.queries import ORACLES, QUERIES
