@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import R, query, r6, rollouts, rounded
+from rewardloom.functions import spatial_text as P
 from rewardloom.operators import evaluate as E
 from rewardloom.operators import score as S
 
@@ -227,6 +228,90 @@ def reprojection(spark, sf_dir):
     return rounded(out.select(*ROW, "r_reprojection"))
 
 
+# The same boxes as text: three spellings that are right, then prose around one, an object without label, a word among the
+# numbers, and a box that is too short.
+SPELLED = r"""case l_linenumber
+  when 1 then format_string('[{"bbox_3d": [%s, 0, %s, 2, 2, 2, 0, 0, 0], "label": "a}b"}, {"bbox_3d": [%s, 0, 2.0, 2, 2, 2], "label": "it\'s"}]', 100D + pred/4, 4 + l_linenumber, score/5)
+  when 2 then format_string("[{'bbox_3d': [%s, 0, %s, 2.0, 2, 2, 0, 0, 0], 'label': 'a'},\n {'label': 'b', 'bbox_3d': [%s, -0.0, 2, 2, 2, 2, 0, 0, 0, 7]}]", 100D + pred/4, 4 + l_linenumber, score/5)
+  when 3 then format_string(' [ {"bbox_3d":[%se0,0,%s,2e0,0.2E1,2,0,0,0],"label":"a","more":null} , {"label":"b","bbox_3d":[%s,0,2,2,2,2,0,0]} ] ', 100D + pred/4, 4 + l_linenumber, score/5)
+  when 4 then format_string('Here they are: [{"bbox_3d": [%s, 0, %s, 2, 2, 2, 0, 0, 0], "label": "a"}, {"bbox_3d": [%s, 0, 2, 2, 2, 2, 0, 0, 0], "label": "b"}]', 100D + pred/4, 4 + l_linenumber, score/5)
+  when 5 then format_string('[{"bbox_3d": [%s, 0, %s, 2, 2, 2, 0, 0, 0]}, {"bbox_3d": [%s, 0, 2, 2, 2, 2, 0, 0, 0], "label": "b"}]', 100D + pred/4, 4 + l_linenumber, score/5)
+  when 6 then format_string('[{"bbox_3d": [%s, near, %s, 2, 2, 2, 0, 0, 0], "label": "a"}, {"bbox_3d": [%s, 0, 2, 2, 2, 2, 0, 0, 0], "label": "b"}]', 100D + pred/4, 4 + l_linenumber, score/5)
+  else format_string('[{"bbox_3d": [%s, 0, %s, 2, 2], "label": "a"}, {"bbox_3d": [%s, 0, 2, 2, 2, 2, 0, 0, 0], "label": "b"}]', 100D + pred/4, 4 + l_linenumber, score/5) end"""
+
+
+def spelled(spark, sf_dir, **more):
+    return rows(spark, sf_dir, gold=GOLD, text=SPELLED, **more).drop("score")
+
+
+@query("r19_box_reward_from_text", f"""with {R}, {BOX}, t as (select *, l_linenumber <= 3 as ok, case when l_linenumber <= 3 then (o1>0.25)::int + (o2>0.25)::int else 0 end as tp from w)
+  select uid, rollout_n, ok::int::double as r_format, case when ok then round((o1+o2)/2,6) else 0.0 end as r_3d_iou, tp as tp_count, round(tp/2.0,6)::double as precision,
+  round(tp/2.0,6)::double as r_3d_iou_f1, case when ok then sign((2.0 - (4 + dz)) * (2.0 - 4.0))::double end as tau, (tp > 0)::int::double as score from t""")
+def box_reward(spark, sf_dir):
+    out = S.spatial_box_reward(spelled(spark, sf_dir), "text", "gold")
+    return rounded(out.select(*ROW, "r_format", "r_3d_iou", "tp_count", "precision", "r_3d_iou_f1", "tau", "score"))
+
+
+@query("r19_boxes_anywhere_in_text", f"""with {R} select uid, rollout_n, case when l_linenumber in (6, 7) then 1 else 2 end as n_boxes,
+  case when l_linenumber in (6, 7) then score/5 else 100 + pred/4.0::double end as first_x, 9 as width from r""")
+def boxes_anywhere(spark, sf_dir):
+    df = rows(spark, sf_dir, gold=GOLD, text=SPELLED).drop("score")
+    out = S.boxes_from_text(df, "text", strict=False)
+    return out.select(*ROW, F.size("boxes").alias("n_boxes"), F.get(F.get("boxes", F.lit(0)), F.lit(0)).alias("first_x"), F.size(F.get("boxes", F.lit(0))).alias("width"))
+
+
+@query("r19_one_box_in_text", f"""with {R} select uid, rollout_n, case when l_linenumber = 6 then null else pred::double end as x, case when l_linenumber = 6 then null else l_linenumber::double end as w,
+  case when l_linenumber in (1, 4) then 0.5::double when l_linenumber = 6 then null else 0.0 end as turn from r""")
+def one_box(spark, sf_dir):
+    text = r"""case l_linenumber when 1 then format_string('so {"center": [%s, 1, 2], "size": [1, 2, 3], "rotation": [0.5, 0, 0]} it is', pred)
+      when 2 then format_string("{'x': %s, 'y': 1, 'z': 2, 'width': 2}", pred) when 3 then format_string('the box [%s, 1, 2, 3, 1, 1] fits', pred)
+      when 4 then format_string('Center: (%s, 1, 2), size (4, 1, 1) and rotation: (0.5, 0, 0)', pred) when 5 then format_string('center (%s, 1,2); SIZE: (5, 1, 1)', pred)
+      when 6 then format_string('at [%s, 1, 2], size unknown', pred) else format_string("{'bbox_3d': [%s, 1, 2, 7, 1, 1]}, not [9, 9, 9, 9, 9, 9]", pred) end"""
+    df = rows(spark, sf_dir, text=text).withColumn("b", P.box_in_text(F.col("text")))
+    return df.select(*ROW, F.col("b")[0].alias("x"), F.col("b")[3].alias("w"), F.col("b")[6].alias("turn"))
+
+
+@query("r20_depth_order_from_text", f"""with {R} select uid, rollout_n, case when l_linenumber % 4 = 3 then null else sign((pred - 3.5) * (case when l_linenumber % 4 = 2 then -1 else 1 end))::double end as tau,
+  case when l_linenumber % 4 = 3 then 1.0::double when (pred > 3) = (l_linenumber % 4 <> 2) then 1.0 else 0.0 end as score from r""")
+def depth_from_text(spark, sf_dir):
+    """Two boxes side by side whose order in depth follows pred; one response in four spells one box only."""
+    text = """case when l_linenumber % 4 = 3 then '[{"bbox_3d": [0, 0, 3, 9, 9, 9], "label": "a"}]' else format_string('[{"bbox_3d": [0, 0, 3.5, 9, 9, 9], "label": "a"}, {"bbox_3d": [20, 0, %s, 9, 9, 9], "label": "b"}]', pred) end"""
+    gold = "case when l_linenumber % 4 = 2 then array(array(0D,0D,5D,9D,9D,9D), array(20D,0D,4D,9D,9D,9D), array(1D)) else array(array(0D,0D,4D,9D,9D,9D), array(20D,0D,5D,9D,9D,9D)) end"
+    out = S.spatial_box_reward(rows(spark, sf_dir, text=text, gold=gold).drop("score"), "text", "gold")
+    return out.select(*ROW, "tau", "score")
+
+
+@query("r21_projection_from_text", f"""with {R}, x as (select *, pred/8.0::double as d from r),
+  y as (select *, -1/(3+1e-8) ga, 1/(3+1e-8) gb, (d-1)/(3+1e-8) pa, (d+1)/(3+1e-8) pb from x),
+  z as (select *, case when least(gb,pb)-greatest(ga,pa) <= 0 then 0 else (least(gb,pb)-greatest(ga,pa))/((gb-ga)+(pb-pa)-(least(gb,pb)-greatest(ga,pa))) end as iou from y)
+  select uid, rollout_n, case when l_linenumber = 5 then 0.0::double else round(iou,6)+0.0 end as r_proj, case when iou > 0.2 and l_linenumber <> 5 then 1.0::double else 0.0 end as r_depth_consistency from z""")
+def projection_from_text(spark, sf_dir):
+    camera = "array(named_struct('k', array(100D,0D,50D,0D,100D,50D,0D,0D,1D), 'extrinsic', array(1D,0D,0D,0D,0D,1D,0D,0D,0D,0D,1D,0D,0D,0D,0D,1D), 'width', 100, 'height', 100))"
+    text = """format_string(if(l_linenumber = 5, 'no list: {"bbox_3d": [%s, 0, 4, 2, 2, 2]}', '[{"label": "box", "bbox_3d": [%s, 0, 4, 2, 2, 2]}]'), pred / 8D)"""
+    df = rows(spark, sf_dir, gold="array(array(0D,0D,4D,2D,2D,2D,0D,0D,0D))", text=text, cams=camera).drop("score")
+    return rounded(S.spatial_box_reward(df, "text", "gold", "cams").select(*ROW, "r_proj", "r_depth_consistency"))
+
+
+@query("r22_point_from_text", f"""with {R} select uid, rollout_n, case when l_linenumber = 4 then null when l_linenumber = 3 then chr(65 + pred) || 'X' else chr(65 + pred) end as label,
+  case when l_linenumber in (4, 5) then null else score end as u, case when l_linenumber in (4, 5) then null else 65.5::double end as v,
+  case when pred < 3 and l_linenumber not in (3, 4) then 10.0::double * pred end as chosen_u from r""")
+def point_from_text(spark, sf_dir):
+    text = r"""case l_linenumber when 1 then format_string('The point is (%s, 65.5). Answer: %s', score, chr(65 + pred)) when 2 then format_string('it lies at [%s, 65.5], so %s.', score, lower(chr(65 + pred)))
+      when 3 then format_string('{"answer": "%sx", "point": [%s, 65.5]}', lower(chr(65 + pred)), score) when 4 then '' when 5 then format_string('(%s) it is, not (1..2, 3)', chr(65 + pred))
+      else format_string('b or (%s, 65.5)? The last: %s', score, chr(65 + pred)) end"""
+    df = rows(spark, sf_dir, text=text).drop("pred_u")
+    df = df.withColumn("points", F.create_map(*[x for i, c in enumerate("ABC") for x in (F.lit(c), F.array(F.lit(10.0 * i), F.lit(1.0)))]))
+    own = S.point_from_text(df, "text").select(*ROW, "points", "text", F.col("pred_label").alias("label"), F.col("pred_u").alias("u"), F.col("pred_v").alias("v"))
+    return S.point_from_text(own, "text", "points").select(*ROW, "label", "u", "v", F.col("pred_u").alias("chosen_u"))
+
+
+@query("r17_actions_in_json", f"""with {R} select uid, rollout_n, case when l_linenumber = 4 then 0.0::double else round(((pred = l_linenumber)::int + (l_suppkey % 3 = l_partkey % 3)::int)/2.0, 6)::double end as reward from r""")
+def trajectory_json(spark, sf_dir):
+    fw = """format_string('plan {"actions": [{"type": "move", "direction": "forward", "distance": %s}, {"type": "turn", "direction": "clockwise", "angle": %s}], "n": 2} end', l_linenumber, 10 + 2 * (l_partkey % 3))"""
+    bw = r"""format_string(if(l_linenumber = 4, "{'actions': [{'type': 'move'}, %s, %s]}", "{'actions': [{'type': 'turn', 'direction': 'Left', 'angle': %s}, {'type': 'move', 'direction': 'backward', 'distance': %s}]}"), 10 + 2 * (l_suppkey % 3), pred)"""
+    return rows(spark, sf_dir, fw=fw, bw=bw).select(*ROW, r6(S.trajectory_cycle(F.col("fw"), F.col("bw"))).alias("reward"))
+
+
 @query("r23_answer_agreement", f"with {R}, v as (select uid, pred, count(*) c from r group by 1,2) select uid, cast(sum(c) as bigint) as n, count(*) as answers, round(max(c)/sum(c),6) as agreement from v group by 1")
 def agreement(spark, sf_dir):
     return rounded(E.answer_agreement(rollouts(spark, sf_dir), "uid", "pred"))

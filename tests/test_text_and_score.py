@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rewardloom.functions import spatial_text
 from rewardloom.functions import text as X
 from rewardloom.operators import evaluate as E
 from rewardloom.operators import prep as P
@@ -140,3 +141,37 @@ def test_logprob_difference_literal(spark):
     df = spark.createDataFrame([([-1.0, -2.0], [-1.5, -2.0], [1, 1]), ([-0.5, -9.0], [-0.4, -1.0], [1, 0])],
                                "p array<double>, q array<double>, mask array<int>")
     assert M.logprob_diff_metrics(df, "p", "q").first().valid == 1
+
+
+@pytest.mark.parametrize(("text", "box"), [
+    ("[1, 2, 3, 4, 5, 6]", [1, 2, 3, 4, 5, 6, 0, 0, 0]),
+    ("a [1] and [1,2,3,4,5,6,7,8,9]", None),  # the first list decides
+    ("[1 2, 2, 3, 4, 5, 6, 7]", None),
+    ("\n[ 1 ,2,\t3,4,5,-6.5,7,8,9,10 ]", [1, 2, 3, 4, 5, -6.5, 7, 8, 9]),
+    ('{"bbox_3d": [1, 2], "x": 1} {"bbox_3d": [1, 2, 3, 4, 5, 6e1]}', [1, 2, 3, 4, 5, 60, 0, 0, 0]),
+    ("{'x': 1, 'y': 2, 'z': 3}", [1, 2, 3, 0, 0, 0, 0, 0, 0]),
+    ("{'x': 1, 'y': 2}", None),
+    ("CENTER (1, 2, 3) size: (1, 1, x)", None),
+    ("", None), (None, None), ("[" * 5000 + "1," * 5000, None), ("[" + "1, " * 20_000 + "2]", [1] * 9),
+])
+def test_one_box_in_any_spelling(spark, text, box):
+    got = spark.createDataFrame([(text,)], "t string").select(spatial_text.box_in_text(F.col("t"))).first()[0]
+    assert got == box
+
+
+@pytest.mark.parametrize(("text", "good"), [
+    ('[{"bbox_3d": [1,2,3,4,5,6], "label": "x"}]', True), ("[{'bbox_3d': [1,2,3,4,5,6], 'label': 'it\"s'}]", True),
+    ('[{"bbox_3d": [1,2,3,4,5,6], "label": "}, {"}]', True), ('[{"bbox_3d": [1,2,3,4,5,6], "label": "x"}] so', False),
+    ('[{"bbox_3d": [1,2,3,4,5], "label": "x"}]', False), ('{"bbox_3d": [1,2,3,4,5,6], "label": "x"}', False), ("[]", False), ("", False), (None, False),
+    ('[{"bbox_3d": [1,2,3,4,5,null], "label": "x"}]', False), ('[{"bbox_3d": [1,2,3,4,5,6], "label": "x"} {"bbox_3d": [1,2,3,4,5,6], "label": "y"}]', False),
+    ("[" + ", ".join('{"bbox_3d": [1,2,3,4,5,6], "label": "x"}' for _ in range(3000)) + "]", True),
+])
+def test_form_of_a_list_of_boxes(spark, text, good):
+    frame = spark.createDataFrame([(text,)], "t string").select(spatial_text.boxes_well_formed(F.col("t")).alias("ok"), F.size(spatial_text.boxes_in_text(F.col("t"))).alias("n")).first()
+    assert frame.ok == good and (frame.n > 0) >= good
+
+
+def test_actions_need_a_type_and_words_come_first(spark):
+    rows = [('{"actions": [{"type": "move", "direction": "up", "distance": 2}, {"direction": "up"}]}',), ('moves up 3 m {"actions": [{"type": "turn"}]}',), ("nothing",), (None,)]
+    got = [r[0] for r in spark.createDataFrame(rows, "t string").select(S.trajectory_actions(F.col("t"))).collect()]
+    assert [[tuple(a) for a in g or []] for g in got] == [[("move", "up", 2.0)], [("move", "up", 3.0)], [], []]
