@@ -218,9 +218,134 @@ def micro(spark, sf_dir):
     return _sizes(K.micro_batches(df, "batch", "row_idx", "response_len", 1024, divisor=2), df)
 
 
+# The assignment itself: largest differencing as lists of sets, joined step by step.
+
+
+def differencing(items, equal):
+    """SQL tables that turn ``items`` (batch, item, w, k) into ``parts`` (batch, item, part)."""
+    unit = "r // k" if equal else "r"
+    empty = "{'s': 0::double, 'n': 0, 'f': -1::bigint, 'items': []::bigint[]}"
+    return f"""item as (select batch, item, w, k, row_number() over (partition by batch order by w, item) - 1 as r from ({items})),
+  first as (select batch, k, {unit} as u, list({{'s': w::double, 'n': 1, 'f': item::bigint, 'items': [item::bigint]}} order by w desc, item desc) as p from item group by batch, k, {unit}),
+  full_split as (select batch, k, list_concat(p, [{empty} for x in range(k - len(p))]) as p from first),
+  keyed as (select batch, k, {{'a': p[k].s - p[1].s, 'b': -p[1].s, 'c': -p[1].n, 'd': -p[1].f, 'p': p}} as split from full_split),
+  joining(batch, k, splits) as (
+    select batch, k, list_sort(list(split)) from keyed group by batch, k
+    union all
+    select batch, k, list_sort(list_append(splits[3:], {{'a': p[k].s - p[1].s, 'b': -p[1].s, 'c': -p[1].n, 'd': -p[1].f, 'p': p}})) from (
+      select batch, k, splits, list_reverse(list_sort([{{'s': splits[1].p[i].s + splits[2].p[k + 1 - i].s, 'n': splits[1].p[i].n + splits[2].p[k + 1 - i].n,
+        'f': case when splits[1].p[i].n > 0 then splits[1].p[i].f else splits[2].p[k + 1 - i].f end,
+        'items': list_concat(splits[1].p[i].items, splits[2].p[k + 1 - i].items)}} for i in range(1, k + 1)])) as p
+      from joining where len(splits) > 1)),
+  part_of as (select batch, k, i - 1 as part, splits[1].p[i] as p from joining, unnest(range(1, k + 1)) as u(i) where len(splits) = 1),
+  parts as (select batch, k, part, p.s as w, unnest(p.items) as item from part_of)"""
+
+
+SMALL = f"{ALL.replace('with ', 'with recursive ', 1)}"
+PER_32 = "select row_idx // 32 as batch, row_idx as item, work as w, {k} as k from b"
+
+
+def small_batches(spark, sf_dir, size=32):
+    return batched(spark, sf_dir).withColumn("batch", F.floor(F.col("row_idx") / size))
+
+
+@query("k01_partition_members", f"{SMALL}, {differencing(PER_32.format(k=4), False)} select batch, item as row_idx, cast(part as bigint) as part from parts")
+def partition_members(spark, sf_dir):
+    return K.balance_partitions(small_batches(spark, sf_dir), "batch", "row_idx", "work", 4, equal_size=False).select("batch", "row_idx", "part")
+
+
+WHOLE_32 = "select * from (select row_idx // 32 as batch, row_idx as item, work as w, 4 as k, count(*) over (partition by row_idx // 32) as n from b) where n = 32"
+
+
+@query("k01_equal_size_members", f"{SMALL}, {differencing(WHOLE_32, True)} select batch, item as row_idx, cast(part as bigint) as part from parts")
+def equal_size_members(spark, sf_dir):
+    df = small_batches(spark, sf_dir)
+    df = df.join(df.groupBy("batch").count().where("count = 32").select("batch"), "batch")
+    return K.balance_partitions(df, "batch", "row_idx", "work", 4, equal_size=True).select("batch", "row_idx", "part")
+
+
+@query("k02_greedy_members", f"""{SMALL}, w as (select row_idx // 200 as batch, row_idx % 200 as i, row_idx, work from b),
+  s(batch, i, loads, part) as (
+    select distinct batch, -1::bigint, [0::double for x in range(8)], null::bigint from w
+    union all select s.batch, w.i, [case when j = low then loads[j] + work else loads[j] end for j in range(1, 9)], (low - 1)::bigint
+    from (select *, list_position(loads, list_min(loads)) as low from s) s join w on w.batch = s.batch and w.i = s.i + 1)
+  select w.batch, row_idx, part from s join w using (batch, i)""")
+def greedy_members(spark, sf_dir):
+    return K.balance_greedy(small_batches(spark, sf_dir, 200), "batch", "row_idx", "work", 8).select("batch", "row_idx", "part")
+
+
+GROUPS_24 = """select d // 24 as batch, d as item, w, 3 as k from (select d, sum(work) as w, count(*) over (partition by d // 24) as n
+  from (select *, case when l_suppkey % 10 = 0 then null else dense_rank() over (order by uid) - 1 end as d from b) where d is not null group by d) where n = 24"""
+
+
+@query("k04_group_members", f"{SMALL}, {differencing(GROUPS_24, True)} select batch, item as d, cast(part as bigint) as part from parts")
+def group_members(spark, sf_dir):
+    """Whole groups, as many in each part."""
+    from rewardloom.operators.reduce import factorize
+
+    g = factorize(rollouts(spark, sf_dir, indexed=True), "uid", "d").where("l_suppkey % 10 <> 0").withColumn("batch", F.floor(F.col("d") / 24))
+    full = g.groupBy("batch").agg(F.countDistinct("d").alias("n")).where("n = 24").select("batch")
+    out = K.balance_groups(g.join(full, "batch"), "batch", "d", "response_len", 3, equal_size=True)
+    return out.select("batch", "d", "part").distinct()
+
+
+@query("k04_groups_with_null_uid", f"""{SMALL}, g as (select row_idx // 128 as batch, case when l_linenumber = 2 then null else uid end as uid, count(*) as n from b group by 1, 2)
+  select batch, cast(sum(n) as bigint) as rows, count(*) as groups, true as whole from g group by batch""")
+def groups_null_uid(spark, sf_dir):
+    df = small_batches(spark, sf_dir, 128).withColumn("uid", F.when(F.col("l_linenumber") != 2, F.col("uid")))
+    out = K.balance_groups(df, "batch", "uid", "response_len", 4, equal_size=False)
+    per = out.groupBy("batch", "uid").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("part").alias("p"))
+    return per.groupBy("batch").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("groups"), F.every(F.col("p") == 1).alias("whole"))
+
+
+COUNT_8 = "cast(ceil(greatest(2, least(count(*) over q, ceil(sum(response_len) over q / 160.0))) / 2.0) * 2 as bigint)"
+MICRO = f"""select batch, item, w, max(k) over (partition by batch // 2) as k from (
+  select row_idx // 16 as batch, row_idx as item, work as w, {COUNT_8} as k, count(*) over q as n from b window q as (partition by row_idx // 16)) where n = 16"""
+
+
+@query("k07_micro_batch_members", f"""{SMALL}, {differencing(MICRO, False)},
+  rank as (select batch, k, part, row_number() over (partition by batch order by max(w) desc, min(item) desc) - 1 as r from parts group by batch, k, part)
+  select batch, item as row_idx, cast(case when r % 2 = 0 then (k + 1) // 2 - 1 - r // 2 else (k + 1) // 2 + r // 2 end as bigint) as part from parts join rank using (batch, k, part)""")
+def micro_members(spark, sf_dir):
+    df = small_batches(spark, sf_dir, 16)
+    df = df.join(df.groupBy("batch").count().where("count = 16").select("batch"), "batch").withColumn("step", F.floor(F.col("batch") / 2))
+    return K.micro_batches(df, "batch", "row_idx", "response_len", 160, divisor=2, min_count=2, together="step").select("batch", "row_idx", "part")
+
+
 # ---------------------------------------------------------------- packing: rows and tokens kept, limits held
 
 
+SHARDS = """w as (select row_idx // 1000 as shard, row_idx, response_len as n, (pred % 2 = 0)::int as f, pred * 10 as t,
+    row_number() over (partition by row_idx // 1000 order by {order}) - 1 as i from r)"""
+
+
+@query("k08_pack_members", f"""{("with recursive " + R)}, {SHARDS.format(order="response_len, row_idx")},
+  s(shard, i, pack, used, images, tokens) as (
+    select distinct shard, -1::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint from w
+    union all select shard, i, case when fresh then pack + 1 else pack end, case when fresh then n else used + n end, case when fresh then f else images + f end, case when fresh then t else tokens + t end
+    from (select w.shard, w.i, w.n, w.f, w.t, s.pack, s.used, s.images, s.tokens, w.i > 0 and (s.used + n > 180 or (f = 1 and s.images >= 3) or s.tokens + t > 150) as fresh
+          from s join w on w.shard = s.shard and w.i = s.i + 1))
+  select row_idx, w.shard || '-' || pack as pack_id, i as place from s join w using (shard, i)""")
+def pack_members(spark, sf_dir):
+    """Next-fit in segments of 300 rows equals one pass over shards of 1000."""
+    df = rollouts(spark, sf_dir, indexed=True).withColumn("shard", F.floor(F.col("row_idx") / 1000))
+    out = P.pack_sorted(df, "shard", "row_idx", "response_len", 180, F.col("pred") % 2 == 0, F.col("pred") * 10, 3, 150, segment_rows=300)
+    return out.select("row_idx", "pack_id", "place")
+
+
+@query("k09_first_fit_members", f"""{("with recursive " + R)}, {SHARDS.format(order="row_idx")},
+  s(shard, i, base, room, slot) as (
+    select distinct shard, -1::bigint, 0::bigint, []::bigint[], null::bigint from w
+    union all select shard, i, case when slot is null and len(room) >= 12 then base + len(room) else base end,
+      case when slot is not null then [case when j = slot then room[j] - n else room[j] end for j in range(1, len(room) + 1)] when len(room) >= 12 then [120 - n] else list_append(room, 120 - n) end,
+      coalesce(slot, case when len(room) >= 12 then 1 else len(room) + 1 end)
+    from (select w.shard, w.i, w.n, s.base, s.room, list_position([x >= w.n for x in s.room], true)::bigint as slot from s join w on w.shard = s.shard and w.i = s.i + 1))
+  select row_idx, w.shard || '-' || (base + slot - 1) as pack_id, i as place from s join w using (shard, i)""")
+def first_fit_members(spark, sf_dir):
+    df = rollouts(spark, sf_dir, indexed=True).withColumn("shard", F.floor(F.col("row_idx") / 1000))
+    return P.pack_first_fit(df, "shard", "row_idx", "response_len", 120, 12).select("row_idx", "pack_id", "place")
+
+
 @query("k08_pack_sorted", f"with {R} select data_source, count(*) as rows, cast(sum(response_len) as bigint) as tokens, true as within from r group by 1")
 def pack_sorted(spark, sf_dir):
     df = rollouts(spark, sf_dir, indexed=True)

@@ -1,9 +1,11 @@
 """Length-balanced partitions and micro-batches.
 
-Balancing one batch is a sequential heuristic, so batches are balanced in parallel: a
-narrow (batch, row, work) table is grouped by batch. A batch above ``batch_limit`` rows is
-not gathered; its rows are dealt in snake order of their work, which also covers every row
-and keeps part sizes equal.
+Largest differencing joins, again and again, the two splits with the largest spread. A batch is balanced by it in blocks: a
+batch of one block (``BLOCK`` rows) is balanced as a whole; a larger one is dealt to blocks by falling work, each block reduces to one
+split into k parts, and splits of blocks are joined by the same rule in rounds of ``FAN``, where a part is only a sum and the
+number that its block gave it. So a task holds one block, or the sums of ``FAN`` splits, at every size, and equal sizes stay equal.
+
+Least-loaded assignment follows the order of rows and cannot be cut: it streams over the sorted rows of a batch with k sums.
 """
 
 from __future__ import annotations
@@ -14,65 +16,100 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.operators.reduce import workload
-from rewardloom.plans.scale import rank_within, with_group_stats
+from rewardloom.plans.scale import keyed_join, rank_within, scan_in_order, with_group_stats
+from rewardloom.session import ensure_checkpoint_dir
+
+BLOCK = 65_536
+FAN = 256
+MAX_PARTS = 65_536
 
-BATCH_LIMIT = 200_000
+# A part of a split: its sum, how many items it holds, its first item (these three order parts), and its node in the tree of joins.
+Part = tuple[float, int, int, int]
 
 
-class _Split:
-    """k parts of some items, lightest first."""
+class _Joins:
+    """Splits of items into k parts, heaviest part first; parts without items are left out."""
 
-    def __init__(self, sums: np.ndarray, members: list[list[int]]):
-        order = np.argsort(sums, kind="stable")
-        self.sums = sums[order]
-        self.members = [members[i] for i in order]
+    def __init__(self, items: int, k: int):
+        self.k = k
+        self.children: list[tuple[int, int]] = []
+        self.leaves = items
 
-    def spread(self) -> float:
-        return float(self.sums[-1] - self.sums[0])
+    def _both(self, a: Part, b: Part) -> Part:
+        self.children.append((a[3], b[3]))
+        return a[0] + b[0], a[1] + b[1], a[2], self.leaves + len(self.children) - 1
 
-    def joined(self, other: _Split) -> _Split:
+    def join(self, a: list[Part], b: list[Part]) -> list[Part]:
         """Heaviest parts of one meet lightest parts of the other."""
-        return _Split(self.sums + other.sums[::-1], [a + b for a, b in zip(self.members, other.members[::-1], strict=True)])
+        alone = max(self.k - len(b), 0)  # so many of a's heaviest meet nothing
+        shared = max(len(a) - alone, 0)
+        light = b[len(b) - shared:][::-1]
+        met = [self._both(x, y) for x, y in zip(a[alone:], light, strict=True)]
+        return sorted(a[:alone] + met + b[: len(b) - shared], key=lambda p: p[:3], reverse=True)
+
+    def _rank(self, split: list[Part]) -> tuple:
+        top = split[0]
+        low = split[-1][0] if len(split) == self.k else 0.0
+        return low - top[0], -top[0], -top[1], -top[2]
+
+    def reduce(self, splits: list[list[Part]]) -> list[Part]:
+        """Join the two splits with the largest spread (ties: the heaviest part) until one is left."""
+        heap = [(*self._rank(s), n, s) for n, s in enumerate(splits) if s]
+        heapq.heapify(heap)
+        n = len(splits)
+        while len(heap) > 1:
+            first, second = heapq.heappop(heap)[-1], heapq.heappop(heap)[-1]
+            joined = self.join(first, second)
+            n += 1
+            heapq.heappush(heap, (*self._rank(joined), n, joined))
+        return heap[0][-1] if heap else []
+
+    def numbered(self, split: list[Part]) -> np.ndarray:
+        """Number of the part that each leaf ended in."""
+        out = np.zeros(self.leaves, np.int64)
+        for number, part in enumerate(split):
+            stack = [part[3]]
+            while stack:
+                node = stack.pop()
+                if node < self.leaves:
+                    out[node] = number
+                else:
+                    stack += self.children[node - self.leaves]
+        return out
 
 
 def largest_differencing(work: np.ndarray, k: int, equal_size: bool) -> np.ndarray:
-    """Part of each item: repeatedly join the two splits with the largest spread."""
-    order = np.argsort(work, kind="stable")
+    """Part of each item, heaviest part first; with ``equal_size`` each part gets as many items."""
+    order = np.argsort(work, kind="stable").tolist()
     step = k if equal_size else 1
     if equal_size and len(work) % k:
         raise ValueError(f"{len(work)} items do not divide into {k} parts")
-    heap = []
-    for n, at in enumerate(range(0, len(order), step)):
-        items = order[at : at + step]
-        sums, members = np.zeros(k), [[] for _ in range(k)]
-        for slot, item in enumerate(items):
-            sums[slot], members[slot] = work[item], [int(item)]
-        split = _Split(sums, members)
-        heapq.heappush(heap, (-split.spread(), n, split))
-    n = len(heap)
-    while len(heap) > 1:
-        split = heapq.heappop(heap)[2].joined(heapq.heappop(heap)[2])
-        heapq.heappush(heap, (-split.spread(), n, split))
-        n += 1
-    parts = np.zeros(len(work), dtype=np.int64)
-    for part, members in enumerate(heap[0][2].members[::-1] if heap else []):
-        parts[members] = part
-    return parts
+    joins = _Joins(len(work), k)
+    value = np.asarray(work, np.float64).tolist()
+    key = lambda p: p[:3]
+    splits = [sorted(((value[i], 1, i, i) for i in order[at: at + step]), key=key, reverse=True) for at in range(0, len(order), step)]
+    return joins.numbered(joins.reduce(splits))
 
 
 def least_loaded(work: np.ndarray, k: int) -> np.ndarray:
     """Each item in order to the part with the least work so far."""
-    loads = [(0.0, p) for p in range(k)]
-    parts = np.zeros(len(work), dtype=np.int64)
-    for i, w in enumerate(work):
-        load, part = loads[0]
-        parts[i] = part
-        heapq.heapreplace(loads, (load + float(w), part))
-    return parts
+    return _LeastLoaded(k)(work)
+
+
+class _LeastLoaded:
+    def __init__(self, k: int):
+        self.loads = [(0.0, p) for p in range(k)]
+
+    def __call__(self, work: np.ndarray) -> np.ndarray:
+        parts = np.zeros(len(work), np.int64)
+        for i, w in enumerate(np.asarray(work, np.float64).tolist()):
+            load, parts[i] = self.loads[0]
+            heapq.heapreplace(self.loads, (load + w, int(parts[i])))
+        return parts
 
 
 def snake(df: DataFrame, k: Column | int, work: str, row: str, by: Sequence[str] = (), rows: int | None = None) -> DataFrame:
@@ -84,45 +121,82 @@ def snake(df: DataFrame, k: Column | int, work: str, row: str, by: Sequence[str]
     return ranked.withColumn("part", part.cast("long")).drop("__r")
 
 
-def _per_batch(df, batch, row, work, assign, large, batch_limit) -> DataFrame:
-    """Apply ``assign(pandas group) -> parts`` to small batches and ``large`` to the others."""
-    narrow = with_group_stats(df.select(batch, row, F.col(work).cast("double").alias("__w"), *_extra(df, assign)), [batch], F.count(F.lit(1)).alias("__n"))
-    kinds = dict(df.dtypes)
-    schema = f"`{batch}` {kinds[batch]}, `{row}` {kinds[row]}, part long"
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+def _differenced(items: DataFrame, batch: str, row: str, equal_size: bool, block: int) -> DataFrame:
+    """(batch, row, part) of items (batch, row, __w, __k), where __k is one number per batch."""
+    kinds = dict(items.dtypes)
+    sizes = items.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.max("__k").alias("k")).agg(F.max("n").alias("n"), F.max("k").alias("k")).first()
+    if (sizes.k or 0) > MAX_PARTS:
+        raise ValueError(f"{sizes.k} parts of one batch; at most {MAX_PARTS} are supported")
+    blocks = 1
+    if (sizes.n or 0) > block:
+        ranked = with_group_stats(rank_within(items, [batch], ["__w desc", row], "__r"), [batch], F.count(F.lit(1)).alias("__n"))
+        wide = F.greatest(F.lit(block), F.col("__k"))
+        # whole runs of k neighbours stay together, so a block holds equally many rows per part
+        items = ranked.withColumn("__block", F.floor(F.col("__r") / F.col("__k")) % F.ceil(F.col("__n") / wide)).drop("__r", "__n")
+        blocks = math.ceil(sizes.n / block)
+    else:
+        items = items.withColumn("__block", F.lit(0).cast("long"))
+    schema = f"`{batch}` {kinds[batch]}, `{row}` {kinds[row]}, __w double, __k long, __block long, part long"
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(row, kind="stable")
-        return pd.DataFrame({batch: pdf[batch], row: pdf[row], "part": assign(pdf)})
+        return pdf.assign(part=largest_differencing(pdf["__w"].to_numpy(), int(pdf["__k"].iloc[0]), equal_size))[[batch, row, "__w", "__k", "__block", "part"]]
 
-    small = narrow.where(F.col("__n") <= batch_limit).groupBy(batch).applyInPandas(run, schema)
-    return small.unionByName(large(narrow.where(F.col("__n") > batch_limit)).select(batch, row, "part"))
+    parts = items.groupBy(batch, "__block").applyInPandas(split, schema)
+    if blocks > 1:
+        ensure_checkpoint_dir(items.sparkSession)
+        parts = parts.checkpoint()
+    while blocks > 1:
+        parts, blocks = _joined_blocks(parts, batch, kinds[batch]), math.ceil(blocks / FAN)
+    return parts.select(batch, row, "part")
 
 
-def _extra(df: DataFrame, assign) -> list[str]:
-    return [c for c in getattr(assign, "columns", ()) if c in df.columns]
+def _joined_blocks(parts: DataFrame, batch: str, kind: str) -> DataFrame:
+    """Join the splits of up to FAN blocks; items follow their part by its new number."""
+    sums = parts.groupBy(batch, "__block", "part").agg(F.sum("__w").alias("w"), F.count(F.lit(1)).alias("n"), F.max("__k").alias("__k"))
+    sums = sums.withColumn("__next", F.floor(F.col("__block") / FAN))
 
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["__block", "part"], kind="stable").reset_index(drop=True)
+        joins = _Joins(len(pdf), int(pdf["__k"].iloc[0]))
+        part = list(zip(pdf["w"].tolist(), pdf["n"].tolist(), range(len(pdf)), range(len(pdf)), strict=True))
+        splits = [sorted((part[i] for i in rows), key=lambda p: p[:3], reverse=True) for rows in pdf.groupby("__block").indices.values()]
+        return pdf.assign(to=joins.numbered(joins.reduce(splits)))[[batch, "__block", "part", "__next", "to"]]
 
-def balance_partitions(
-    df: DataFrame, batch: str, row: str, work: str, k: int, equal_size: bool = True, batch_limit: int = BATCH_LIMIT
-) -> DataFrame:
-    """(batch, row, part): every row of every batch in one of k parts of nearly equal work."""
-    assign = lambda pdf: largest_differencing(pdf["__w"].to_numpy(), k, equal_size)
-    return _per_batch(df, batch, row, work, assign, lambda big: snake(big, k, "__w", row, [batch]), batch_limit)
+    moved = sums.groupBy(batch, "__next").applyInPandas(join, f"`{batch}` {kind}, __block long, part long, __next long, to long")
+    out = keyed_join(parts, moved, [batch, "__block", "part"]).drop("__block", "part")
+    return out.withColumnsRenamed({"__next": "__block", "to": "part"}).checkpoint()
 
 
-def balance_greedy(df: DataFrame, batch: str, row: str, work: str, k: int, batch_limit: int = BATCH_LIMIT) -> DataFrame:
-    """Least-loaded assignment in row order."""
-    assign = lambda pdf: least_loaded(pdf["__w"].to_numpy(), k)
-    return _per_batch(df, batch, row, work, assign, lambda big: snake(big, k, "__w", row, [batch]), batch_limit)
+def balance_partitions(df: DataFrame, batch: str, row: str, work: str, k: int, equal_size: bool = True, block: int = BLOCK) -> DataFrame:
+    """(batch, row, part): every row of every batch in one of k parts of nearly equal work, by largest differencing.
 
+    ``row`` is unique in its batch; a null batch is a batch. With ``equal_size`` each part gets as many rows, and a batch that does not
+    divide is an error.
+    """
+    items = df.select(batch, row, F.col(work).cast("double").alias("__w"), F.lit(k).cast("long").alias("__k"))
+    return _differenced(items, batch, row, equal_size, block)
 
-def balance_groups(
-    df: DataFrame, batch: str, uid: str, length: str, k: int, equal_size: bool = True, batch_limit: int = BATCH_LIMIT
-) -> DataFrame:
-    """Rows with ``part``; a group is never split and, when asked, each part gets the same number of groups."""
+
+def balance_greedy(df: DataFrame, batch: str, row: str, work: str, k: int) -> DataFrame:
+    """Least-loaded assignment in row order: one pass over a batch's rows, with k sums as all that is held."""
+    items = df.select(batch, row, F.col(work).cast("double").alias("__w"))
+
+    def start():
+        assign = _LeastLoaded(k)
+        return lambda rows: assign(rows.column("__w").to_numpy(zero_copy_only=False))
+
+    return scan_in_order(items, batch, [row], start, "part long").select(batch, row, "part")
+
+
+def balance_groups(df: DataFrame, batch: str, uid: str, length: str, k: int, equal_size: bool = True, block: int = BLOCK) -> DataFrame:
+    """Rows with ``part``; a group is never split and, when asked, each part gets the same number of groups.
+
+    Rows without batch or uid form a batch or a group like any other.
+    """
     groups = df.groupBy(batch, uid).agg(F.sum(workload(F.col(length))).alias("__work"))
-    parts = balance_partitions(groups, batch, uid, "__work", k, equal_size, batch_limit)
-    return df.join(parts, [batch, uid])
+    parts = balance_partitions(groups, batch, uid, "__work", k, equal_size, block)
+    return keyed_join(df, parts, [batch, uid])
 
 
 def order_inside_part(df: DataFrame, by: Sequence[str], length: str, row: str, out: str = "place") -> DataFrame:
@@ -136,33 +210,30 @@ def order_inside_part(df: DataFrame, by: Sequence[str], length: str, row: str, o
 
 def micro_batches(
     df: DataFrame, batch: str, row: str, length: str, max_tokens: int, divisor: int = 1, min_count: int = 1,
-    batch_limit: int = BATCH_LIMIT,
+    together: str | None = None, block: int = BLOCK,
 ) -> DataFrame:
-    """(batch, row, part): as many micro-batches as the token budget asks for, balanced by work,
-    small ones at both ends."""
-
-    def count_for(tokens: float, rows: int) -> int:
-        count = max(min_count, min(rows, math.ceil(tokens / max_tokens)))
-        count = math.ceil(count / divisor) * divisor
-        if count > rows:
-            raise ValueError(f"{rows} rows cannot fill {count} micro-batches")
-        return count
-
-    def assign(pdf: pd.DataFrame) -> np.ndarray:
-        work = pdf["__w"].to_numpy()
-        parts = largest_differencing(work, count_for(pdf[length].sum(), len(pdf)), False)
-        total = np.bincount(parts, weights=work)
-        falling = np.argsort(-total, kind="stable")
-        place = np.empty(len(total), dtype=np.int64)
-        place[np.concatenate([falling[::2][::-1], falling[1::2]])] = np.arange(len(total))
-        return place[parts]
-
-    assign.columns = (length,)
-
-    def large(big: DataFrame) -> DataFrame:
-        sized = with_group_stats(big, [batch], F.sum(length).alias("__t"))
-        count = F.greatest(F.lit(min_count), F.least(F.col("__n"), F.ceil(F.col("__t") / max_tokens)))
-        return snake(sized.withColumn("__k", F.ceil(count / divisor) * divisor), F.col("__k"), "__w", row, [batch])
-
-    weighted = df.withColumn("__work", workload(F.col(length)))
-    return _per_batch(weighted, batch, row, "__work", assign, large, batch_limit)
+    """(batch, row, part): as many micro-batches as the token budget asks for, balanced by work, small ones at both ends.
+
+    Batches with the same ``together`` (such as those of one step on parallel workers) get the same number, the largest asked
+    for among them. A row longer than the budget, and a batch with fewer rows than micro-batches, are errors.
+    """
+    groups = [batch] if together is None else [together, batch]
+    per_batch = df.groupBy(*groups).agg(F.sum(length).alias("__tokens"), F.count(F.lit(1)).alias("__rows"), F.max(length).alias("__longest"))
+    count = F.greatest(F.lit(min_count), F.least(F.col("__rows"), F.ceil(F.col("__tokens") / max_tokens)))
+    if together is not None:
+        count = F.max(count).over(Window.partitionBy(together))
+    per_batch = per_batch.withColumn("__k", (F.ceil(count / divisor) * divisor).cast("long"))
+    number = lambda c: F.col(c).cast("string")
+    too_long = F.raise_error(F.concat(F.lit("a row of "), number("__longest"), F.lit(f" tokens exceeds the budget of {max_tokens}")))
+    too_few = F.raise_error(F.concat(number("__rows"), F.lit(" rows cannot fill "), number("__k"), F.lit(" micro-batches")))
+    checked = F.when(F.col("__longest") > max_tokens, too_long.cast("long")).when(F.col("__k") > F.col("__rows"), too_few.cast("long")).otherwise(F.col("__k"))
+    counts = per_batch.select(batch, checked.alias("__k"))
+    items = df.select(batch, row, workload(F.col(length)).cast("double").alias("__w"))
+    items = keyed_join(items, counts, [batch])
+    parts = _differenced(items, batch, row, False, block)
+    sums = keyed_join(parts, items, [batch, row]).groupBy(batch, "part").agg(F.sum("__w").alias("w"), F.min(row).alias("first"), F.max("__k").alias("k"))
+    falling = F.row_number().over(Window.partitionBy(batch).orderBy(F.col("w").desc(), F.col("first").desc())) - 1
+    half, even = F.floor(F.col("r") / 2), F.ceil(F.col("k") / 2)
+    place = F.when(F.col("r") % 2 == 0, even - 1 - half).otherwise(even + half)
+    placed = sums.withColumn("r", falling).select(batch, "part", place.cast("long").alias("__place"))
+    return keyed_join(parts, placed, [batch, "part"]).select(batch, row, F.col("__place").alias("part"))

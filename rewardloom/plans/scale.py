@@ -13,9 +13,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from typing import Any
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -228,6 +231,33 @@ def unit_draw(seed: int, *cols: str | Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def scan_in_order(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], Callable[[pa.RecordBatch], Any]], added: str) -> DataFrame:
+    """Adds a column (``name type``) that a sequential rule gives to the rows of each key in turn.
+
+    ``start`` begins a key; what it returns gets the key's rows batch by batch, in order, and gives one value per row. Only the
+    rule's own state outlives a batch, so a key of any size costs time, not memory; null is a key.
+    """
+    name = added.split()[0]
+    schema = ", ".join(f"`{c}` {t}" for c, t in [(key, dict(df.dtypes)[key]), *[(c, t) for c, t in df.dtypes if c != key]])
+
+    def walk(batches):
+        rule, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            at, values = 0, []
+            runs = pc.run_end_encode(batch.column(0))
+            for end, value in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+                if rule is None or not (value == last or (value != value and last != last)):
+                    rule, last = start(), value
+                values.append(pa.array(rule(batch.slice(at, end - at))))
+                at = end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(values)], names=[*batch.schema.names, name])
+
+    spread = df.select(key, *[c for c in df.columns if c != key]).repartition(F.col(f"`{key}`"))
+    return spread.sortWithinPartitions(F.col(f"`{key}`"), *_sort_columns(order)).mapInArrow(walk, f"{schema}, {added}")
+
+
 def gather_lists(
     df: DataFrame, keys: Sequence[str], order: Order, item: Column, name: str, limit: int = 10_000, rows: int | None = None
 ) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from rewardloom.operators import balance as K
@@ -79,11 +81,59 @@ def test_largest_differencing_covers_and_balances():
         K.largest_differencing(np.ones(5), 2, True)
 
 
-def test_large_batches_take_the_snake(spark):
-    df = spark.range(1000).select(F.lit(0).alias("batch"), F.col("id").alias("row"), (F.col("id") % 37 + 1).alias("w"))
-    out = K.balance_partitions(df, "batch", "row", "w", 8, batch_limit=100).join(df, ["batch", "row"])
-    sizes = out.groupBy("part").agg(F.count("*").alias("n"), F.sum("w").alias("w")).toPandas()
-    assert sizes["n"].tolist() == [125] * 8 and sizes["w"].max() - sizes["w"].min() <= 37
+def differencing_by_hand(work, k, equal):
+    """Sets ordered by (sum, size, items), states by spread and then by their largest set; plain lists throughout."""
+    rows = sorted((w, i) for i, w in enumerate(work))
+    step = k if equal else 1
+    key = lambda s: (s[0], len(s[1]), s[1])
+    states = []
+    for at in range(0, len(rows), step):
+        sets = [(w, [i]) for w, i in rows[at: at + step]]
+        states.append(sorted(sets + [(0, [])] * (k - len(sets)), key=key, reverse=True))
+    while len(states) > 1:
+        states.sort(key=lambda s: (s[0][0] - s[-1][0], key(s[0])), reverse=True)
+        a, b, *states = states
+        states.append(sorted(((x[0] + y[0], x[1] + y[1]) for x, y in zip(a, b[::-1], strict=True)), key=key, reverse=True))
+    out = [0] * len(work)
+    for part, (_, items) in enumerate(states[0] if states else []):
+        for i in items:
+            out[i] = part
+    return out
+
+
+@given(st.lists(st.integers(0, 30), max_size=60), st.integers(1, 9), st.booleans())
+def test_largest_differencing_equals_plain_lists(work, k, equal):
+    work = work[: len(work) // k * k] if equal else work
+    assert K.largest_differencing(np.array(work), k, equal).tolist() == differencing_by_hand(work, k, equal)
+
+
+@pytest.mark.parametrize("fan", [256, 2])
+def test_a_batch_of_many_blocks_is_balanced(spark, fan, monkeypatch):
+    monkeypatch.setattr(K, "FAN", fan)
+    df = spark.range(1000).select(F.when(F.col("id") >= 0, F.lit(None)).cast("int").alias("batch"), F.col("id").alias("row"), (F.col("id") * 7919 % 1013 + 1).alias("w"))
+    for equal in (True, False):
+        out = K.balance_partitions(df, "batch", "row", "w", 8, equal, block=100).join(df.drop("batch"), "row")
+        sizes = out.groupBy("part").agg(F.count("*").alias("n"), F.sum("w").alias("w")).toPandas()
+        assert sizes["n"].sum() == 1000 and len(sizes) == 8 and sizes["w"].max() - sizes["w"].min() <= 60
+        assert not equal or sizes["n"].tolist() == [125] * 8
+
+
+def test_null_groups_and_batches_are_kept(spark):
+    rows = [(b, u, 10 + i) for i, (b, u) in enumerate([(0, 1), (0, 1), (0, None), (0, None), (None, 5), (None, 5), (None, None), (None, None)])]
+    df = spark.createDataFrame(rows, "batch int, uid int, len int")
+    out = K.balance_groups(df, "batch", "uid", "len", 2).toPandas()
+    assert len(out) == 8 and sorted(out["part"]) == [0, 0, 0, 0, 1, 1, 1, 1]
+
+
+def test_micro_batch_rules(spark):
+    df = spark.createDataFrame([(g, b, i, n) for g, b, lens in ((1, 0, [30] * 9), (1, 1, [10] * 9), (2, 2, [10] * 9)) for i, n in enumerate(lens)], "step int, batch int, row int, len int")
+    count = lambda d, **k: {r.batch: r.n for r in K.micro_batches(d, "batch", "row", "len", 60, **k).groupBy("batch").agg(F.countDistinct("part").alias("n")).collect()}
+    assert count(df) == {0: 5, 1: 2, 2: 2}
+    assert count(df, together="step", divisor=3) == {0: 6, 1: 6, 2: 3}
+    assert count(df, min_count=4) == {0: 5, 1: 4, 2: 4}
+    for bad, message in ((df.withColumn("len", F.lit(61)), "exceeds"), (df.where("row < 3"), "cannot fill")):
+        with pytest.raises(Exception, match=message):
+            K.micro_batches(bad, "batch", "row", "len", 60, min_count=1 if message == "exceeds" else 5).collect()
 
 
 def test_groups_stay_whole(spark):
@@ -123,6 +173,53 @@ def test_next_fit_and_first_fit_brute_force():
     assert np.bincount(nf, weights=np.sort(lens)).max() <= 100 and (np.diff(nf) >= 0).all()
 
 
+def next_fit_by_hand(rows, max_len, max_images, max_tokens):
+    packs, pack, used, images, tokens = [], 0, 0, 0, 0
+    for i, (n, flag, tok) in enumerate(rows):
+        if i and (used + n > max_len or (flag and images >= max_images) or tokens + tok > max_tokens):
+            pack, used, images, tokens = pack + 1, 0, 0, 0
+        packs.append(pack)
+        used, images, tokens = used + n, images + flag, tokens + tok
+    return packs
+
+
+ITEMS = st.lists(st.tuples(st.integers(0, 40), st.integers(0, 1), st.integers(0, 9)), max_size=40)
+
+
+@given(ITEMS, st.integers(1, 45), st.integers(0, 3), st.integers(0, 20))
+def test_next_fit_equals_one_pass(rows, max_len, max_images, max_tokens):
+    n, f, t = ([r[c] for r in rows] for c in range(3))
+    assert P.next_fit(n, f, t, max_len, max_images, max_tokens).tolist() == next_fit_by_hand(rows, max_len, max_images, max_tokens)
+
+
+@pytest.mark.parametrize("segment_rows", [7, 50, 10**6])
+@pytest.mark.parametrize("limits", [(60, 2, 25), (1000, 100, 10**6), (5, 0, 3)])
+def test_packs_do_not_depend_on_segments(spark, segment_rows, limits):
+    rng = np.random.default_rng(9)
+    rows = [(s, i, int(n), int(f), int(t)) for s in ("a", "b", None) for i, (n, f, t) in enumerate(zip(rng.integers(0, 30, 160), rng.integers(0, 2, 160), rng.integers(0, 9, 160), strict=True))]
+    df = spark.createDataFrame(rows, "shard string, row int, len int, img int, tok int")
+    out = P.pack_sorted(df, "shard", "row", "len", limits[0], F.col("img") == 1, F.col("tok"), limits[1], limits[2], segment_rows=segment_rows)
+    got = {(r.shard, r.row): int(r.pack_id.rsplit("-", 1)[-1]) for r in out.collect()}
+    assert len(got) == 480
+    for s in ("a", "b", None):
+        own = sorted((r[2], r[1], r[3], r[4]) for r in rows if r[0] == s)
+        want = next_fit_by_hand([(n, f, t) for n, _, f, t in own], *limits)
+        assert [got[s, r] for _, r, _, _ in own] == want
+
+
+def test_first_fit_streams_over_batches(spark):
+    rng = np.random.default_rng(10)
+    rows = [(s, i, int(n)) for s in ("a", None) for i, n in enumerate(rng.integers(0, 60, 700))]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    try:
+        out = P.pack_first_fit(spark.createDataFrame(rows, "shard string, row int, len int"), "shard", "row", "len", 100, 10).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for s in ("a", None):
+        want = P.first_fit([r[2] for r in rows if r[0] == s], 100, 10).tolist()
+        assert [int(r.pack_id.rsplit("-", 1)[-1]) for r in sorted((r for r in out if r.shard == s), key=lambda r: r.place)] == want
+
+
 def test_packing_in_segments_keeps_every_row(spark):
     df = spark.range(500).select(F.lit("s").alias("shard"), F.col("id").alias("row"), (F.col("id") % 40 + 1).alias("len"))
     out = P.pack_sorted(df, "shard", "row", "len", 100, segment_rows=64).join(df, ["shard", "row"])
