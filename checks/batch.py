@@ -221,7 +221,32 @@ def j_baseline(spark, sf_dir):
 def j_asof(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     versions = e.where("event_type = 'error'").select("ts", F.col("event_id").alias("version"))
-    return J.as_of(e.select("event_id", "ts"), versions, "ts", "version", bucket="1 hour").select("event_id", "current_version")
+    return J.as_of(e.select("event_id", "ts"), versions, "ts", "version").select("event_id", "current_version")
+
+
+@query("j10_as_of_by_user_null_times", """with x as (select event_id, case when event_id % 7 = 0 then null else ts end as ts, case when user_id % 5 = 0 then null else user_id end as u, event_type from events),
+    v as (select u, ts, max(event_id) as version from x where event_type in ('error', 'purchase') and ts is not null group by 1, 2)
+  select event_id, (select max_by(version, v.ts) from v where v.ts <= x.ts and v.u is not distinct from x.u) as current_version from x""")
+def j_asof_by(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"),
+                                              F.when(F.col("user_id") % 5 != 0, F.col("user_id")).alias("u"), "event_type")
+    versions = e.where("event_type in ('error', 'purchase')").select("u", "ts", F.col("event_id").alias("version"))
+    return J.as_of(e.select("event_id", "u", "ts"), versions, "ts", "version", by=["u"]).select("event_id", "current_version")
+
+
+@query("j09_baseline_null_key", f"""with {R}, x as (select *, case when uid % 4 = 0 then null else uid end as u from r), g as (select u, avg(score) as b from x where rollout_n = 1 group by u)
+  select x.uid, rollout_n, round(coalesce(b, 0), 6) as baseline from x left join g on x.u is not distinct from g.u""")
+def j_baseline_null(spark, sf_dir):
+    df = rollouts(spark, sf_dir).withColumn("u", F.when(F.col("uid") % 4 != 0, F.col("uid")))
+    return rounded(J.with_baseline(df, df.where("rollout_n = 1"), "u").select("uid", "rollout_n", "baseline"))
+
+
+@query("b26_deep_equal_null_keys", f"""with {R} select 0::bigint as only_left, count(distinct uid) filter (where uid % 3 = 0) as only_right, count(*) filter (where rollout_n = 0 and uid % 3 <> 0 and pred = 3) as different from r""")
+def deep_equal_null(spark, sf_dir):
+    """One row of every uid has a null in its key; on the left the rows of some uids lack it."""
+    df = rollouts(spark, sf_dir, indexed=True).select("uid", F.when(F.col("rollout_n") != 0, F.col("rollout_n")).alias("n"), "pred")
+    left = df.where("uid % 3 <> 0 or n is not null").withColumn("pred", F.when((F.col("pred") == 3) & F.col("n").isNull(), None).otherwise(F.col("pred")))
+    return B.deep_equal(left, df, ["uid", "n"])
 
 
 # ---------------------------------------------------------------- sampling

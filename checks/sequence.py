@@ -91,6 +91,13 @@ def collate(spark, sf_dir):
     return df.select(*ROW, F.size("ids").alias("width"), F.size(F.filter("ids", lambda x: x == -1)).cast("long").alias("padded"))
 
 
+@query("q09_collate_pad_null_batch", f"with {R}, x as (select *, case when l_linenumber = 1 then null else data_source end as b from r), w as (select b, max(response_len) as width from x group by 1) select uid, rollout_n, width, cast(width - response_len as bigint) as padded from x join w on x.b is not distinct from w.b")
+def collate_null(spark, sf_dir):
+    df = ids(spark, sf_dir).withColumn("b", F.when(F.col("l_linenumber") != 1, F.col("data_source")))
+    df = Q.collate_pad(df, "b", {"ids": F.lit(-1)})
+    return df.select(*ROW, F.size("ids").alias("width"), F.size(F.filter("ids", lambda x: x == -1)).cast("long").alias("padded"))
+
+
 @query("q10_pair_sequences", f"""with {T}, x as (select uid, rollout_n, response_len n, l_linenumber p, {TOK} k, t from t)
   select uid, rollout_n, cast(least(n + p + 1, 40) as bigint) as chosen_tokens, cast(least(2*p + 1, 40) as bigint) as rejected_tokens,
     cast(sum(case when t + p <= 40 then k else 0 end) + 5*p + case when n+p+1 <= 40 then 99 else 0 end as bigint) as chosen_sum from x group by uid, rollout_n, n, p""")
@@ -112,6 +119,14 @@ def prefix(spark, sf_dir):
                       total("input_ids").alias("token_sum"))
 
 
+@query("q11_prefix_groups_null_uid", f"""with {R}, x as (select *, case when uid % 1000 < 3 then null else uid end as u from r where l_linenumber <= 3)
+  select u as uid, cast(count(*) as integer) as suffixes, cast(sum(response_len) + 2 as integer) as size from x group by u""")
+def prefix_null(spark, sf_dir):
+    df = ids(spark, sf_dir).where("l_linenumber <= 3").withColumn("prompt", F.array(F.lit(7), F.lit(7))).withColumn("place", F.col("uid") * 10 + F.col("rollout_n"))
+    df = df.withColumn("uid", F.when(F.col("uid") % 1000 >= 3, F.col("uid")))
+    return Q.prefix_group_rows(df, "uid", "place", "prompt", "ids").select("uid", F.size("suffix_lens").alias("suffixes"), F.size("input_ids").alias("size"))
+
+
 @query("q12_packed_eos_audit", f"""with {T}, x as (select *, {TOK} k, coalesce(max(mask) over (partition by uid, rollout_n order by t rows between 4 preceding and 1 preceding),0) near from t)
   select data_source, cast(count(*) filter (where k=5 and mask=1) as bigint) as supervised, cast(count(*) filter (where k=5 and mask=0 and near>0) as bigint) as missed, cast(count(*) filter (where k=5 and mask=0 and near=0) as bigint) as other from x group by 1""")
 def eos_audit(spark, sf_dir):

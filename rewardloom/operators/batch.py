@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rewardloom.plans.scale import gather_lists, rank_within, seeded_key
+from rewardloom.plans.scale import gather_lists, key_of, rank_within, seeded_key
 
 IDX = "row_idx"
 
@@ -266,11 +266,11 @@ def batch_size_report(df: DataFrame) -> DataFrame:
 
 
 def deep_equal(a: DataFrame, b: DataFrame, key: Sequence[str] = (IDX,)) -> DataFrame:
-    """One row: rows missing on a side and rows that differ; NaN equals NaN."""
+    """One row: rows missing on a side and rows that differ; NaN equals NaN, and a null key is a key."""
     rest = [c for c in a.columns if c not in key]
-    left = a.select(*key, F.struct(*rest).alias("__a"), F.lit(True).alias("__in_a"))
-    right = b.select(*key, F.struct(*rest).alias("__b"), F.lit(True).alias("__in_b"))
-    joined = left.join(right, list(key), "full")
+    left = a.select(key_of(key).alias("__key"), F.struct(*rest).alias("__a"), F.lit(True).alias("__in_a"))
+    right = b.select(key_of(key).alias("__key"), F.struct(*rest).alias("__b"), F.lit(True).alias("__in_b"))
+    joined = left.join(right, "__key", "full")
     both = F.col("__in_a") & F.col("__in_b")
     flag = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
     return joined.agg(flag(F.col("__in_b").isNull()).alias("only_left"), flag(F.col("__in_a").isNull()).alias("only_right"),

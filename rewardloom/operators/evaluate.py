@@ -190,17 +190,17 @@ def validation_metrics(
 
 
 def val_sections(metrics: DataFrame, source: str = "data_source") -> DataFrame:
-    """Full metric names: core for mean, majority and best at the largest n of the core variable."""
+    """Full metric names (a null source is ``unknown``): core for mean, majority and best at the largest n of the core variable."""
     at = F.regexp_extract("metric", "@([0-9]+)", 1).cast("int")
     top = metrics.groupBy(source, "variable").agg(F.max(at).alias("n_max"))
     has_acc = metrics.groupBy(source).agg(F.max((F.col("variable") == "acc").cast("int")).alias("has_acc"))
-    joined = metrics.join(top, [source, "variable"]).join(has_acc, source)
+    joined = keyed_join(keyed_join(metrics, top, [source, "variable"]), has_acc, [source])
     core_var = F.when(F.col("has_acc") == 1, "acc").otherwise("reward")
     core = (F.col("variable") == core_var) & F.col("metric").rlike("^(mean|maj|best)") & (
         F.instr("metric", F.concat(F.lit("@"), F.col("n_max").cast("string"))) > 0
     )
     section = F.when(core, "val-core").otherwise("val-aux")
-    return joined.select(F.concat_ws("/", section, source, "variable", "metric").alias("key"), "value")
+    return joined.select(F.concat_ws("/", section, F.coalesce(F.col(source).cast("string"), F.lit("unknown")), "variable", "metric").alias("key"), "value")
 
 
 def attach_responses(
@@ -214,7 +214,7 @@ def attach_responses(
     ranked = ranked.withColumn("segment", F.floor(F.col("__i") / list_limit).cast("int"))
     lists = ranked.groupBy(key, "segment").agg(F.array_sort(F.collect_list(F.struct("__i", F.col(response).alias("r")))).alias("l"))
     lists = lists.select(key, "segment", F.col("l.r").alias("responses"))
-    joined = prompts.join(lists, key, "left")
+    joined = keyed_join(prompts, lists, [key], "left")
     return joined.withColumn("segment", F.coalesce("segment", F.lit(0)))
 
 

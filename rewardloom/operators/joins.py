@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.plans.scale import keyed_join
+from rewardloom.plans.scale import carry_forward, keyed_join
 
 
 def with_prompts(rollouts: DataFrame, prompts: DataFrame, key: str = "uid") -> DataFrame:
@@ -37,29 +37,20 @@ def paired_generations(forward: DataFrame, inverse: DataFrame, keys: Sequence[st
 def with_baseline(df: DataFrame, greedy: DataFrame, key: str = "uid", score: str = "score") -> DataFrame:
     """Greedy-decode score of the prompt; 0 where none was sampled."""
     base = greedy.groupBy(key).agg(F.avg(score).alias("baseline"))
-    return df.join(base, key, "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0)))
+    return keyed_join(df, base, [key], "left").withColumn("baseline", F.coalesce("baseline", F.lit(0.0)))
 
 
-def as_of(samples: DataFrame, versions: DataFrame, ts: str, version: str, out: str = "current_version", bucket: str = "1 day"):
-    """Version in force at each sample's time: the last one at or before it.
+def as_of(samples: DataFrame, versions: DataFrame, ts: str, version: str, out: str = "current_version", by: Sequence[str] = ()) -> DataFrame:
+    """Version in force at each sample's time: the last one at or before it (per ``by``), null before the first.
 
-    Version changes are a short series. Samples and changes are merged per time bucket, and
-    a bucket starts from the last version before it, so no sort spans the whole table.
+    Changes and samples are one series in the order of time; what holds is carried forward along it, inside key ranges and
+    from the ranges before. Of changes at one time the largest version holds; changes without a time never do, and samples without
+    one are kept with no version.
     """
-    change = versions.select(F.col(ts).alias("__ts"), F.col(version).alias("__v"))
-    slot = lambda c: F.window(c, bucket)["start"]
-    ends = change.withColumn("__slot", slot(F.col("__ts"))).groupBy("__slot").agg(F.max_by("__v", "__ts").alias("__last"))
-    slots = samples.select(slot(F.col(ts)).alias("__slot")).distinct().unionByName(ends.select("__slot")).distinct()
-    # One row per bucket: bounded by the time range, not by the number of samples.
-    carried = slots.join(ends, "__slot", "left").withColumn(
-        "__before", F.last("__last", True).over(Window.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)))
-    marked = samples.withColumn("__slot", slot(F.col(ts))).join(carried.select("__slot", "__before"), "__slot")
-    here = change.withColumn("__slot", slot(F.col("__ts"))).groupBy("__slot").agg(
-        F.array_sort(F.collect_list(F.struct("__ts", "__v"))).alias("__here"))
-    joined = marked.join(here, "__slot", "left")
-    known = F.filter(F.col("__here"), lambda h: h["__ts"] <= F.col(ts))
-    current = F.coalesce(F.try_element_at(known, F.lit(-1))["__v"], F.col("__before"))
-    return joined.withColumn(out, current).drop("__slot", "__before", "__here")
+    change = versions.where(F.col(ts).isNotNull()).groupBy(*by, ts).agg(F.max(version).alias("__v"))
+    both = samples.withColumn("__kind", F.lit(1)).unionByName(change.withColumn("__kind", F.lit(0)), allowMissingColumns=True)
+    known = carry_forward(both, by, [ts, "__kind"], F.col("__v"), out)
+    return known.where(F.col("__kind") == 1).drop("__kind", "__v")
 
 
 def query_corpus(queries: DataFrame, corpus: DataFrame, **options) -> DataFrame:

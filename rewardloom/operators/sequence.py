@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.functions import scan, seq
-from rewardloom.plans.scale import gather_lists
+from rewardloom.plans.scale import gather_lists, keyed_join, with_group_stats
 
 
 def pad_to_length(values: Column | str, size: int, filler: Column, left: bool = False) -> Column:
@@ -80,8 +80,7 @@ def safe_truncate(ids: str, size: int, image_token: int) -> Column:
 
 def collate_pad(df: DataFrame, batch: str, columns: dict[str, Column], left: bool = False) -> DataFrame:
     """Pad the arrays of each batch to its longest row; widths come from one small aggregate."""
-    widths = df.groupBy(batch).agg(*[F.max(F.size(c)).alias(f"__w_{c}") for c in columns])
-    out = df.join(widths, batch)
+    out = with_group_stats(df, [batch], *[F.max(F.size(c)).alias(f"__w_{c}") for c in columns])
     out = out.withColumns({c: seq.pad(F.col(c), F.col(f"__w_{c}"), filler, left) for c, filler in columns.items()})
     return out.drop(*[f"__w_{c}" for c in columns])
 
@@ -105,7 +104,7 @@ def prefix_group_rows(df: DataFrame, uid: str, order: str, prompt: str, response
     """
     lists = gather_lists(df, [uid], [order], F.col(response), "suffixes", limit)
     prompts = df.groupBy(uid).agg(F.min_by(prompt, order).alias("prefix"))
-    out = lists.join(prompts, uid)
+    out = keyed_join(lists, prompts, [uid])
     size = F.size("prefix")
     count_up = lambda first, n: F.when(n > 0, F.sequence(first, first + n - 1)).otherwise(F.array().cast("array<int>"))
     positions = F.concat(F.array(count_up(F.lit(0), size)), F.transform("suffixes", lambda s: count_up(size, F.size(s))))

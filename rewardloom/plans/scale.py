@@ -39,17 +39,28 @@ def with_scalars(df: DataFrame, one_row: DataFrame) -> DataFrame:
     return held.withColumns({c: F.col("__scalars")[c] for c in one_row.columns}).drop("__scalars")
 
 
+def key_of(keys: Sequence[str]) -> Column:
+    """Key columns as one value that is never null: structs are equal where their fields are, nulls included."""
+    return F.struct(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)])
+
+
 def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where null equals null, as in ``groupBy``: no row is lost for want of a key."""
-    other = right.withColumnsRenamed({k: f"__right_{k}" for k in keys})
-    same = reduce(lambda a, b: a & b, [F.col(f"`{k}`").eqNullSafe(F.col(f"`__right_{k}`")) for k in keys])
-    joined = left.join(other, same, how)
-    return joined.select(*keys, *[f"`{c}`" for c in joined.columns if c not in keys and not c.startswith("__right_")])
+    """Inner or left join on equal keys where null equals null, as in ``groupBy``: no row is lost for want of a key."""
+    other = right.select(key_of(keys).alias("__right"), *[f"`{c}`" for c in right.columns if c not in keys])
+    return _on_key(left, other, keys, how)
+
+
+def _on_key(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    joined = left.withColumn("__left", key_of(keys)).join(right, F.col("__left") == F.col("__right"), how)
+    return joined.select(*[f"`{k}`" for k in keys], *[f"`{c}`" for c in joined.columns if c not in keys and c not in ("__left", "__right")])
 
 
 def with_group_stats(df: DataFrame, keys: Sequence[str], *aggs: Column) -> DataFrame:
-    """Attach aggregates of each key group to every row of the group; rows with a null key are a group."""
-    return keyed_join(df, df.groupBy(*keys).agg(*aggs), keys)
+    """Attach aggregates of each key group to every row of the group; rows with a null key are a group.
+
+    Groups and join share one key, so the aggregate is joined where its shuffle has left it.
+    """
+    return _on_key(df, df.groupBy(key_of(keys).alias("__right")).agg(*aggs), keys, "inner")
 
 
 def _parse(order: Order) -> list[tuple[str, bool]]:
@@ -119,9 +130,10 @@ def _range_id(df: DataFrame, keys: Sequence[str], order: Order, count: int, json
     return F.aggregate(F.array_repeat(F.lit(0), steps), start, halve, lambda s: s["lo"])
 
 
-def _accumulate(df, keys, order, name, per_row, total, rows, rows_per_range) -> DataFrame:
+def _accumulate(df, keys, order, name, per_row, total, rows, rows_per_range, over=F.sum, merge=None) -> DataFrame:
     """Shared body: a plain window while every group is small, else a window inside a range
-    plus the total of earlier ranges. Group sizes come from one narrow aggregate."""
+    merged (by default added) with what ``over`` makes of the totals of earlier ranges. Group sizes come from one narrow aggregate."""
+    merge = merge or (lambda own, before: own + F.coalesce(before, F.lit(0)))
     sort = _sort_columns(order)
     largest = rows
     if rows is None or (keys and rows > rows_per_range):
@@ -137,14 +149,13 @@ def _accumulate(df, keys, order, name, per_row, total, rows, rows_per_range) ->
     sizes = marked.groupBy("__range", *keys).agg(total.alias("__size"))
     earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     # A range can continue at most one key from the range before it, so this has one row per range.
-    carried = sizes.withColumn("__carry", F.sum("__size").over(earlier)).where(F.col("__carry").isNotNull())
+    carried = sizes.withColumn("__carry", over("__size").over(earlier)).where(F.col("__carry").isNotNull())
     carried = carried.select("__range", F.struct(*keys, F.lit(0).alias("__z")).alias("__carry_key"), "__carry")
     inside = marked.withColumn(name, per_row(Window.partitionBy("__range", *keys).orderBy(*sort)))
     own_key = F.struct(*keys, F.lit(0).alias("__z"))
     joined = inside.join(F.broadcast(carried), "__range", "left")
     carry = F.when(F.col("__carry_key").eqNullSafe(own_key), F.col("__carry"))
-    result = F.col(name) + F.coalesce(carry, F.lit(0))
-    return joined.withColumn(name, result).drop("__range", "__carry_key", "__carry")
+    return joined.withColumn(name, merge(F.col(name), carry)).drop("__range", "__carry_key", "__carry")
 
 
 def rank_within(
@@ -181,6 +192,18 @@ def running_total(
     return out.drop("__value")
 
 
+def carry_forward(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, name: str, rows: int | None = None, rows_per_range: int = ROWS_PER_RANGE,
+) -> DataFrame:
+    """The last value that is not null at or before each row, in rising ``order`` inside the key group."""
+    df = df.withColumn("__value", value)
+    last = lambda c: F.last(c, ignorenulls=True)
+    frame = (Window.unboundedPreceding, Window.currentRow)
+    total = F.max_by(F.col("__value"), F.when(F.col("__value").isNotNull(), _position([], order)))
+    out = _accumulate(df, list(keys), order, name, lambda w: last("__value").over(w.rowsBetween(*frame)), total, rows, rows_per_range, last, F.coalesce)
+    return out.drop("__value")
+
+
 def top_k(df: DataFrame, keys: Sequence[str], order: Order, k: int, name: str = "rank") -> DataFrame:
     """The first k rows of each group; Spark keeps k per group and task before it shuffles."""
     window = Window.partitionBy(*keys).orderBy(*_sort_columns(order))

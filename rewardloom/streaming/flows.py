@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rewardloom.operators.balance import balance_partitions
 from rewardloom.operators.reduce import partial_rollout_stats, percentile_report, step_rule, workload
+from rewardloom.plans.scale import keyed_join
 from rewardloom.session import ensure_checkpoint_dir
 
 
@@ -137,4 +138,4 @@ def assemble_batch(batch: DataFrame, batch_id: int, row: str, length: str, k: in
     parts = balance_partitions(rows, "batch_id", row, "work", k, equal_size=False)
     report = percentile_report(rows, length).withColumn("batch_id", F.lit(batch_id))
     spans = partial_rollout_stats(rows.withColumn("now", F.lit(current_version)), version, "now", version).withColumn("batch_id", F.lit(batch_id))
-    return rows.join(parts, ["batch_id", row]), report, spans
+    return keyed_join(rows, parts, ["batch_id", row]), report, spans

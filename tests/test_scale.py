@@ -1,10 +1,12 @@
 """Ranks and running totals must not depend on how the table is cut, hot keys included."""
 
+import random
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rewardloom.plans.scale import gather_lists, nth_row, rank_within, running_total, top_k, unit_draw, with_scalars
+from rewardloom.plans.scale import carry_forward, gather_lists, nth_row, rank_within, running_total, top_k, unit_draw, with_scalars
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +138,17 @@ def test_majority_with_null_answers(spark):
     df = spark.createDataFrame(rows, "uid string, i long, pred string, score double")
     both = [evaluate.majority_bootstrap(df, ["uid"], "pred", "score", "i", draws=20, group_limit=n).orderBy("k").collect() for n in (4096, 8)]
     assert [(r.k, round(r.maj_mean, 9)) for r in both[0]] == [(r.k, round(r.maj_mean, 9)) for r in both[1]]
+
+
+@pytest.mark.parametrize("rows_per_range", [5, 10_000])
+def test_last_known_value_crosses_ranges(spark, rows_per_range):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None, "c"]), rng.randrange(60), i, rng.choice([None, None, None, i])) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, t int, i int, v int")
+    for keys in ([], ["k"]):
+        got = {r.i: r.last for r in carry_forward(df, keys, ["t", "i"], F.col("v"), "last", rows_per_range=rows_per_range).collect()}
+        known = {}
+        for k, _, i, v in sorted(rows, key=lambda r: (r[1], r[2])):
+            key = k if keys else 0
+            known[key] = v if v is not None else known.get(key)
+            assert got[i] == known[key]
