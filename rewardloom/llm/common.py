@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from rewardloom.session import ensure_checkpoint_dir
 
@@ -37,6 +39,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def rows_and_text(docs: DataFrame) -> DataFrame:
+    """(row, text): the whole row as one struct, so that no column of the user meets one of ours, and its text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"))
+
+
+def beside_row(docs: DataFrame, added: str) -> StructType:
+    """The schema of ``row`` and the ``added`` columns (``name type, ...``)."""
+    return StructType([StructField("row", docs.schema), *StructType.fromDDL(added).fields])
+
+
+def columns_of_row(docs: DataFrame, *but: str) -> list[Column]:
+    """The columns of ``docs`` out of ``row``, without those named."""
+    return [F.col("row").getField(c).alias(c) for c in docs.columns if c not in but]
+
+
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of bounded size: rows of text may be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")

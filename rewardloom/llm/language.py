@@ -9,19 +9,21 @@ training rows. Centroids are clustered by spherical k-means on a bounded sample
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.llm.common import U64, small_batches
+from rewardloom.llm.common import U64, beside_row, columns_of_row, rows_and_text, small_batches
 
 BINS = 8192
 SAMPLE = 400
+LEVELS = 1000  # of the similarities that are counted to set the limit of a language
+FARTHEST = 0.01  # share of the training rows that may lie beyond the similarity from which the limit follows
+MARGIN = 0.5
 CENTROIDS = 4
-_LETTER = re.compile(r"[^\W\d_]")
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -33,6 +35,11 @@ class Model:
     floor: dict[str, float]  # similarities below, in proportion to a text's reach, are a rejection
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether some character is a letter; numerals and number forms are none."""
+    return text is not None and any(map(str.isalpha, text))
+
+
 def counts(texts: list[str | None]) -> np.ndarray:
     """Rows of n-gram counts; null counts as empty."""
     clean = [(" " + _OTHER.sub(" ", t.lower()).strip() + " ").encode() if t else b"" for t in texts]
@@ -121,14 +128,35 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -
         x = np.zeros(BINS, np.float32)
         x[np.frombuffer(r["bins"], np.int16)] = np.frombuffer(r["counts"], np.float32)
         by_lang.setdefault(r["lang"], []).append(x)
-    names, means, floor = [], [], {}
+    names, means = [], []
     for name in sorted(by_lang):
         x = vectors(np.stack(by_lang[name]), idf)
         own = _cluster(x, centroids)
         names += [name] * len(own)
         means.append(own)
-        floor[name] = 0.5 * float(((x @ own.T).max(1) / _reach(x)).min())  # half of the farthest training row's
-    return Model(names, np.concatenate(means) if means else np.zeros((0, BINS), np.float32), idf, floor)
+    model = Model(names, np.concatenate(means) if means else np.zeros((0, BINS), np.float32), idf, {})
+    return replace(model, floor=_limits(rows, model)) if names else model
+
+
+def _limits(rows: DataFrame, model: Model) -> dict[str, float]:
+    """Per language: MARGIN of the similarity that all but FARTHEST of its training rows have, so a few wrong labels do not move it."""
+    of = {name: np.array([n == name for n in model.languages]) for name in set(model.languages)}
+
+    def levels(batches):
+        for lang, texts in _slices(batches, 2):
+            names = np.array(lang.to_pylist(), object)
+            x = vectors(counts(texts.to_pylist()), model.idf)
+            near = x @ model.centroids.T / _reach(x)[:, None]
+            for name in set(names.tolist()) & set(of):
+                level = np.clip(near[names == name][:, of[name]].max(1) * LEVELS, 0, LEVELS).astype(np.int64)
+                at, n = np.unique(level, return_counts=True)
+                yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(n)], names=["lang", "level", "n"])
+
+    found = rows.select("lang", "text").mapInArrow(levels, "lang string, level long, n long").groupBy("lang", "level").agg(F.sum("n").alias("n")).collect()
+    seen = {name: np.zeros(LEVELS + 1, np.int64) for name in of}
+    for r in found:  # at most LEVELS + 1 rows per language
+        seen[r["lang"]][r["level"]] = r["n"]
+    return {name: MARGIN * float(np.searchsorted(np.cumsum(n), FARTHEST * n.sum(), "right")) / LEVELS for name, n in seen.items()}
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -136,18 +164,20 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     ``und`` where the text is null, has no letter, or nothing was learned, with score 0 and rejected; otherwise the
     language of the nearest centroid and its cosine. ``rejected`` also marks texts whose similarity, in proportion
-    to what so short a text can reach, is under half of the farthest training row's. Other columns pass through.
+    to what so short a text can reach, is under half of that which all but a hundredth of the language's training rows
+    have. Other columns pass through.
     """
     small_batches(docs.sparkSession)
     names = np.array([*model.languages, "und"], object)
     floors = np.array([*(model.floor[n] for n in model.languages), 2.0], np.float32)
+    schema = beside_row(docs, "lang_pred string, score double, rejected boolean")
 
     def label(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(lo, _ROWS)
-                texts = part.column(part.schema.get_field_index("_text")).to_pylist()
-                lettered = np.array([t is not None and _LETTER.search(t) is not None for t in texts], bool)
+                texts = part.column(1).to_pylist()
+                lettered = np.array([has_letter(t) for t in texts], bool)
                 best = np.full(len(texts), len(names) - 1)
                 score, reach = np.zeros(len(texts)), np.ones(len(texts))
                 if lettered.any() and len(model.centroids):
@@ -156,16 +186,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                     best = np.where(lettered, cosine.argmax(1), best)
                     score = np.where(lettered, np.clip(cosine.max(1), 0, 1), 0.0)
                 yield pa.record_batch(
-                    [*part.columns[:-1], pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(score < floors[best] * reach)],
-                    names=[*part.schema.names[:-1], "_lang_pred", "_score", "_rejected"],
+                    [part.column(0), pa.array(names[best].tolist(), pa.string()), pa.array(score, pa.float64()), pa.array(score < floors[best] * reach)],
+                    names=schema.names,
                 )
 
-    kept = docs.select("*", F.col("text").cast("string").alias("_text"))
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "_lang_pred string, _score double, _rejected boolean"])
-    out = kept.mapInArrow(label, fields)
-    for name in ("lang_pred", "score", "rejected"):
-        out = out.drop(name).withColumnRenamed(f"_{name}", name)
-    return out
+    added = ("lang_pred", "score", "rejected")
+    return rows_and_text(docs).mapInArrow(label, schema).select(*columns_of_row(docs, *added), *added)
 
 
 def held_out(doc_id: Column) -> Column:

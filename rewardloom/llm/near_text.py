@@ -305,18 +305,16 @@ def without_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     is compared under that id, the others come last in the order. Rows without doc_id all stay.
     """
     mark = F.xxhash64(F.col("text").cast("string"))
-    seen = docs.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id"), mark.alias("__mark")).agg(F.count("*").alias("__n"))
-    seen = stored(seen, "marks")
-    clash = stored(seen.groupBy("__id").agg(F.min("__mark").alias("__least"), F.count("*").alias("__n")).where("__n > 1").drop("__n"), "clashes")
-    again = stored(seen.where("__n > 1").select("__id", "__mark"), "repeats")
-    own = F.xxhash64("doc_id", "__mark").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-    rows = docs.withColumn("__mark", mark).join(clash, F.col("doc_id") == F.col("__id"), "left")
-    rows = rows.withColumn("__node", F.when(F.col("__mark") != F.col("__least"), own).otherwise(F.col("doc_id").cast("long"))).drop("__id", "__least")
-    near = near_duplicates(rows.select(F.col("__node").alias("doc_id"), "text"), percent)
-    gone = near.where(~F.col("kept")).select(F.col("doc_id").alias("__node")).distinct()
-    left = rows.join(gone, "__node", "left_anti").select(*docs.columns, "__mark")
-    same = (F.col("doc_id") == F.col("__id")) & (left["__mark"] == again["__mark"])
-    once = left.join(again, same, "left_anti").select(docs.columns)
-    row = F.struct(*docs.columns)
-    twice = left.join(again, same, "left_semi").groupBy("doc_id", "__mark").agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("__row"))
-    return once.union(twice.select("__row.*"))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"), mark.alias("mark"), F.struct(*every).alias("row"))
+    seen = stored(rows.where("id is not null").groupBy("id", "mark").agg(F.count("*").alias("n")), "marks")
+    clash = stored(seen.groupBy("id").agg(F.min("mark").alias("least"), F.count("*").alias("n")).where("n > 1").drop("n"), "clashes")
+    again = stored(seen.where("n > 1").select("id", "mark"), "repeats")
+    own = F.xxhash64("id", "mark").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+    rows = rows.join(clash, "id", "left").withColumn("node", F.when(F.col("mark") != F.col("least"), own).otherwise(F.col("id").cast("long"))).drop("least")
+    near = near_duplicates(rows.select(F.col("node").alias("doc_id"), "text"), percent)
+    gone = near.where(~F.col("kept")).select(F.col("doc_id").alias("node")).distinct()
+    left = rows.join(gone, "node", "left_anti").select("id", "mark", "row")
+    once = left.join(again, ["id", "mark"], "left_anti").select("row.*")
+    twice = left.join(again, ["id", "mark"], "left_semi").groupBy("id", "mark").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return once.union(twice.select("row.*"))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rewardloom.llm.automaton import Automaton, compile_rules, scan
-from rewardloom.llm.common import small_batches, text_slices
+from rewardloom.llm.common import beside_row, columns_of_row, rows_and_text, small_batches, text_slices
 
 
 @dataclass(frozen=True)
@@ -82,22 +82,18 @@ def _compiled(rules: tuple[Rule, ...]) -> tuple[list[re.Pattern], Automaton]:
 
 
 def _with_spans(docs: DataFrame, rules: tuple[Rule, ...], fields: str, build) -> DataFrame:
-    """Every row with columns built from its text and its spans."""
+    """Every row as ``row``, with columns built from its text and its spans."""
     small_batches(docs.sparkSession)
     patterns, automaton = _compiled(rules)
-    names = [f.split()[0] for f in fields.split(", ")]
+    schema = beside_row(docs, fields)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
-            for lo, hi, found in _spans(rules, patterns, automaton, column):
+            for lo, hi, found in _spans(rules, patterns, automaton, batch.column(1)):
                 part = batch.slice(lo, hi - lo)
-                made = build(part.column(batch.num_columns - 1), found)
-                yield pa.record_batch([*part.columns[:-1], *made], names=[*part.schema.names[:-1], *names])
+                yield pa.record_batch([part.column(0), *build(part.column(1), found)], names=schema.names)
 
-    kept = docs.select("*", F.col("text").cast("string").alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), fields])
-    return kept.mapInArrow(run, schema)
+    return rows_and_text(docs).mapInArrow(run, schema)
 
 
 def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -119,8 +115,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             ])
         return [pa.array(rows, pa.list_(item))]
 
-    out = _with_spans(docs, rules, "_secrets array<struct<kind:string,start:bigint,end:bigint,text:string>>", build)
-    return out.drop("secrets").withColumnRenamed("_secrets", "secrets")
+    out = _with_spans(docs, rules, "secrets array<struct<kind:string,start:bigint,end:bigint,text:string>>", build)
+    return out.select(*columns_of_row(docs, "secrets"), "secrets")
 
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -141,16 +137,16 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             rows[i] = "".join([*out, rows[i][at:]])
         return [pa.array(rows, pa.string())]
 
-    out = _with_spans(docs, rules, "_redacted string", build)
+    out = _with_spans(docs, rules, "text string", build)
     columns = []
     for c in docs.columns:
+        was = F.col("row").getField(c)
         if c == "text":
-            columns.append(F.col("_redacted").alias("text"))
+            was = F.col("text")
         elif c == "n_chars":
-            changed = ~F.col("text").eqNullSafe(F.col("_redacted"))
-            columns.append(F.when(changed, F.length("_redacted")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            columns.append(F.col(f"`{c}`"))
+            changed = ~F.col("row").getField("text").eqNullSafe(F.col("text"))
+            was = F.when(changed, F.length("text")).otherwise(was).cast(docs.schema[c].dataType)
+        columns.append(was.alias(c))
     return out.select(*columns)
 
 

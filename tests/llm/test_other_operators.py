@@ -172,7 +172,7 @@ def test_pipeline_equals_plain_version(spark):
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     known = [(r.doc_id, r.text) for r in language.identify(docs).where("not rejected").select("doc_id", "text").collect()]
-    groups = near_by_hand(known)
+    groups = near_by_hand(known, 80)
     known = [(i, t) for i, t in known if groups[i] == i]
     items = [decontaminate.normalised(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     known = [(i, t) for i, t in known if not any(x in decontaminate.normalised(t) for x in items)]

@@ -1,6 +1,7 @@
 """Operators on documents, each against a plain version on small tables with every odd kind of row."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from rewardloom.llm import automaton, decontaminate, elias_fano, language, near_text, pack, repeats, secrets, token_files
 from rewardloom.llm.graph import components
@@ -77,10 +79,10 @@ def shingles(text):
     return {tuple(words[i: i + 5]) for i in range(max(len(words) - 4, 1))} if words else set()
 
 
-def near_by_hand(rows):
+def near_by_hand(rows, percent=85):
     ids = sorted({i for i, _ in rows if i is not None})
     sets = [(i, shingles(t)) for i, t in rows if i is not None]
-    pairs = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and 100 * len(x & y) >= 85 * len(x | y)]
+    pairs = [(a, b) for k, (a, x) in enumerate(sets) for b, y in sets[:k] if x and y and 100 * len(x & y) >= percent * len(x | y)]
     return group(pairs, ids)
 
 
@@ -445,3 +447,84 @@ def test_components_of_paths_and_stars(spark):
     want = group(known, sorted({x for p in known for x in p}))
     assert {r.node: r.component for r in components(links).collect()} == want
     assert components(links.limit(0)).count() == 0
+
+
+CLASHING = ("_secrets", "_redacted", "_text", "_TEXT_", "_score", "_lang_pred", "__mark", "a.b", "row", "id", "node", "mark", "least")
+
+
+def clashing(spark, rows):
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long")
+    return frame.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id")) for c in CLASHING})
+
+
+def test_columns_with_any_name_come_back_as_they_were(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, words, "en", 5), (2, words + " end", "en", 5), (3, "password = abcdefgh1", "de", 20), (3, "password = abcdefgh1", "de", 20), (3, "other", None, 5), (4, None, None, None)]
+    docs = clashing(spark, rows)
+    outs = [secrets.find_secrets(docs), secrets.redact(docs), near_text.without_near_duplicates(docs, 80), language.identify(docs)]
+    for out in outs:
+        got = out.select("doc_id", *[f"`{c}`" for c in CLASHING]).collect()
+        assert got and all(r[c] == f"{c} of {r.doc_id}" for r in got for c in CLASHING)
+    assert outs[1].columns == docs.columns and outs[2].columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in outs[2].collect()), key=str) == sorted({(r[0], r[1]) for r in rows if r[0] != 2}, key=str)
+    assert [r.secrets[0].text for r in outs[0].where("doc_id = 3 and text like 'pass%'").collect()] == ["password = abcdefgh1"] * 2
+
+
+def plain_vector(text, idf):
+    """n-gram weights of one text, byte by byte."""
+    clean = (" " + re.sub(r"[\W\d_]+", " ", text.lower()).strip() + " ").encode()
+    tf = {}
+    for width in (2, 3):
+        for i in range(len(clean) - width + 1):
+            x = width
+            for b in clean[i: i + width]:
+                x = (x << 8) | b
+            slot = ((x * 0x9E3779B97F4A7C15) % (1 << 64)) >> 51
+            tf[slot] = tf.get(slot, 0) + 1
+    weights = {s: (1 + math.log(n)) * float(idf[s]) for s, n in tf.items()}
+    norm = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+    return {s: w / norm for s, w in weights.items()}
+
+
+def test_language_equals_a_plain_version(spark):
+    """Frequencies, limits and the nearest centroid, by dictionaries and loops."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    learn = docs.where(~language.held_out(F.col("doc_id")))
+    model = language.fit(learn)
+    rows = [r for r in learn.collect() if r.lang and language.has_letter(r.text)]
+    seen = {}
+    for r in rows:
+        for s in plain_vector(r.text, [1.0] * language.BINS):
+            seen[s] = seen.get(s, 0) + 1
+    want = [math.log((len(rows) + 1) / (seen.get(s, 0) + 1)) + 1 for s in range(language.BINS)]
+    assert max(abs(a - b) for a, b in zip(want, model.idf, strict=True)) < 1e-5
+    near = {}
+    for r in rows:
+        v = plain_vector(r.text, want)
+        reach = math.sqrt(min(max(len(v), 1), 256) / 256)
+        near.setdefault(r.lang, []).append(max(sum(w * float(c[s]) for s, w in v.items()) for c, name in zip(model.centroids, model.languages, strict=True) if name == r.lang) / reach)
+    for name, values in near.items():
+        values.sort()
+        assert abs(model.floor[name] - 0.5 * values[int(0.01 * len(values))]) < 0.002
+    for r in language.predict(docs, model).collect():
+        if not language.has_letter(r.text):
+            assert r.lang_pred == "und"
+            continue
+        v = plain_vector(r.text, want)
+        cosines = [sum(w * float(c[s]) for s, w in v.items()) for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert r.lang_pred == model.languages[best] and abs(r.score - min(max(cosines[best], 0), 1)) < 1e-4
+
+
+def test_numerals_are_no_letters_and_wrong_labels_move_no_limit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    odd = spark.createDataFrame([(900_001, "½ ² 10³", "en"), (900_002, "Ⅷ", "en"), (900_003, "١٢", None)], "doc_id long, text string, lang string")
+    learn = docs.where(~language.held_out(F.col("doc_id")))
+    clean = language.fit(learn)
+    assert {r.lang_pred for r in language.predict(odd, clean).collect()} == {"und"}
+    de = learn.where("lang = 'de'").count()
+    foreign = spark.createDataFrame([(900_100 + i, "Это совсем другой язык и другие буквы. " * 3, "de") for i in range(max(1, de // 150))], "doc_id long, text string, lang string")
+    many = docs.where("lang = 'de'").crossJoin(spark.range(6)).select((F.col("doc_id") + F.col("id") * 1_000_000).alias("doc_id"), "text", "lang")
+    mixed = language.fit(learn.where("lang <> 'de'").union(many).union(foreign))
+    assert mixed.floor["de"] > 0.5 * clean.floor["de"]
+    assert language.predict(foreign, mixed).where("not rejected").count() == 0
