@@ -3,7 +3,7 @@
 Every window of ``WINDOW`` words has an anchor: its run of ``RUN`` words with the smallest hash. Equal windows have equal
 anchors, so only windows with an anchor that occurs in two different texts can recur. Those windows are sent
 to shards by anchor, as stretches of words that share it; equal stretches are one, whatever the number of
-documents they come from, and an anchor of very many documents is sent window by window. A shard confirms
+documents they come from, and an anchor of very many windows is sent window by window. A shard confirms
 on the words themselves which windows recur, compiles them into an Aho-Corasick automaton over word codes
 (a character per distinct word of the shard) and streams its stretches through it.
 
@@ -23,7 +23,7 @@ from rewardloom.llm.common import U64, constants, mix, run_hashes, small_batches
 
 WINDOW, RUN = 13, 5
 SPAN = WINDOW - RUN + 1  # runs in a window
-BUSY = 1000  # documents of an anchor from which on its windows are sent one by one
+BUSY = 5000  # windows of an anchor, in all texts, from which on they are sent one by one
 SHARD_WORDS = 300_000
 _SEQUENCE = constants(52, 2)
 
@@ -70,19 +70,64 @@ def _digests(words: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
 
 
 def _anchor_rows(batches):
-    """A row per document and distinct anchor of it. Computed anew where it is needed: that costs less than keeping them."""
+    """A row per document and distinct anchor of it, with the number of its windows."""
     for batch in batches:
         for lo, hi, _, _, first, words in _slices(batch.column(1)):
             heads, _, keys = _anchors(words, first)
             d0 = _digests(words, first)[0]
-            anchors = [np.unique(keys[heads[i]: heads[i + 1]]).view(np.int64) for i in range(hi - lo)]
-            sizes = [len(a) for a in anchors]
+            found = [np.unique(keys[heads[i]: heads[i + 1]], return_counts=True) for i in range(hi - lo)]
+            sizes = [len(a) for a, _ in found]
             yield pa.record_batch(
-                [batch.column(0).take(pa.array(np.repeat(np.arange(lo, hi), sizes))), pa.array(np.repeat(d0, sizes)), pa.array(np.concatenate(anchors))],
-                names=["doc_id", "d0", "anchor"],
+                [batch.column(0).take(pa.array(np.repeat(np.arange(lo, hi), sizes))), pa.array(np.repeat(d0, sizes)),
+                 pa.array(np.concatenate([a for a, _ in found]).view(np.int64)), pa.array(np.concatenate([n for _, n in found]).astype(np.int64))],
+                names=["doc_id", "d0", "anchor", "n"],
             )
 
 
+def _recurring(batches):
+    """(anchor, d0, doc_id, n) in this order to (doc_id, anchor): the first document of each text, where an anchor has two texts or more.
+
+    An anchor of more than BUSY windows also gives a row without doc_id. Of an anchor that goes on in the next batch only its
+    number of texts and windows and, while it has one text, that text's document are kept.
+    """
+    anchor = text = alone = None
+    texts = windows = 0
+
+    def rows(docs, anchors):
+        return pa.record_batch([pa.array(docs, pa.int64()), pa.array(anchors, pa.int64())], names=["doc_id", "anchor"])
+
+    def busy(anchors, sizes, sums):
+        crowded = anchors[(sizes > 1) & (sums > BUSY)]
+        return rows([None] * len(crowded), crowded)
+
+    for batch in batches:
+        a, d0, doc, n = (c.to_numpy() for c in batch.columns)
+        if not len(a):
+            continue
+        fresh = np.concatenate([[a[0] != anchor or d0[0] != text], (a[1:] != a[:-1]) | (d0[1:] != d0[:-1])])
+        text = d0[-1]
+        a, doc, n = a[fresh], doc[fresh], n[fresh]
+        if not len(a):
+            continue
+        edge = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]]))
+        own = np.diff(np.append(edge, len(a)))
+        sizes, sums = own.copy(), np.add.reduceat(n, edge)
+        if a[0] == anchor:
+            sizes[0] += texts
+            sums[0] += windows
+            if alone is not None:
+                yield rows([alone], [anchor])
+        elif anchor is not None:
+            yield busy(np.array([anchor]), np.array([texts]), np.array([windows]))
+        many = np.repeat(sizes > 1, own)
+        yield rows(doc[many], a[many])
+        yield busy(a[edge[:-1]], sizes[:-1], sums[:-1])
+        anchor, texts, windows = a[-1], int(sizes[-1]), int(sums[-1])
+        alone = int(doc[-1]) if texts == 1 else None
+    if anchor is not None:
+        yield busy(np.array([anchor]), np.array([texts]), np.array([windows]))
+
+
 def _stretches(batches):
     """doc_id, text, anchors, busy to (doc_id, start, route, words): stretches of windows that share a recurring anchor."""
     for batch in batches:
@@ -212,15 +257,15 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     known = scanned.where(f"doc_id is not null and n_words >= {WINDOW}")
     least = stored(known.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "texts")
 
-    # Anchors of two different texts or more, and what the first document of each text has of them.
-    rows = _texts(docs).where("doc_id is not null and text is not null").mapInArrow(_anchor_rows, "doc_id long, d0 long, anchor long")
-    recurring = rows.groupBy("anchor").agg(F.min("d0").alias("a"), F.max("d0").alias("b"), F.count("*").alias("n")).where("a != b")
-    recurring = recurring.select("anchor", (F.col("n") > BUSY).alias("busy"))
-    busy = F.collect_set(F.when(F.col("busy"), F.col("anchor")))
+    # Anchors of two different texts or more, met in one shuffle of (anchor, text, document).
+    rows = _texts(docs).where("doc_id is not null and text is not null").mapInArrow(_anchor_rows, "doc_id long, d0 long, anchor long, n long")
+    met = rows.select("anchor", "d0", "doc_id", "n").repartition("anchor").sortWithinPartitions("anchor", "d0", "doc_id")
+    recurring = stored(met.mapInArrow(_recurring, "doc_id long, anchor long"), "anchors")
+    many = recurring.where("doc_id is null").select("anchor", F.lit(True).alias("busy"))
     reps = least.select("d0", "d1", "rep")
-    wanted = rows.select("doc_id", "anchor").join(recurring.hint("merge"), "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), busy.alias("busy"))
-    first = reps.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = wanted.join(first, "doc_id", "left_semi")
+    wanted = recurring.where("doc_id is not null").select("doc_id", "anchor").join(many, "anchor", "left")
+    busy = F.collect_set(F.when(F.col("busy"), F.col("anchor")))
+    wanted = wanted.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), busy.alias("busy"))
     held = stored(_texts(docs).where("text is not null").join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "anchors", "busy"), "held")
 
     stretches = stored(held.mapInArrow(_stretches, "doc_id long, start long, route long, words string"), "stretches")

@@ -528,3 +528,30 @@ def test_numerals_are_no_letters_and_wrong_labels_move_no_limit(spark):
     mixed = language.fit(learn.where("lang <> 'de'").union(many).union(foreign))
     assert mixed.floor["de"] > 0.5 * clean.floor["de"]
     assert language.predict(foreign, mixed).where("not rejected").count() == 0
+
+
+@pytest.mark.parametrize("cut", [1, 2, 3, 1000])
+def test_recurring_anchors_do_not_depend_on_batches(cut, monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "BUSY", 6)
+    rng = random.Random(2)
+    rows = sorted({(rng.randrange(12), rng.randrange(4), rng.randrange(9)): rng.randrange(1, 5) for _ in range(70)}.items())
+    rows = [(*k, n) for k, n in rows]
+    batches = [pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows[i: i + cut], strict=True)], names=["anchor", "d0", "doc_id", "n"]) for i in range(0, len(rows), cut)]
+    got = sorted(((d, a) for b in repeats._recurring(iter(batches)) for d, a in zip(*(c.to_pylist() for c in b.columns), strict=True)), key=str)
+    first = {}
+    for a, t, d, n in rows:
+        first.setdefault(a, {}).setdefault(t, (d, n))
+    want = [(d, a) for a, of in first.items() if len(of) > 1 for d, _ in of.values()]
+    want += [(None, a) for a, of in first.items() if len(of) > 1 and sum(n for _, n in of.values()) > 6]
+    assert got == sorted(want, key=str)
+
+
+def test_one_document_that_repeats_an_anchor_very_often(spark):
+    """Its windows are dealt one by one; nothing runs out of characters."""
+    rng = random.Random(6)
+    loop = " ".join(f"a b c d e u{rng.randrange(10**9)} v{i} x y z p{rng.randrange(10**9)} q" for i in range(9000))
+    rows = [(5, loop), (9, "a b c d e " + " ".join(loop.split()[4000:4100])), (7, loop + " end")]
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in repeats.repeated_passages(table(spark, rows)).collect())
+    assert got == sorted(repeats_by_hand(rows))
