@@ -38,6 +38,11 @@ def _on_matrices(fn: Callable[..., np.ndarray], lists: tuple[pa.ListArray, ...])
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(out))
 
 
+def row_scan(fn: Callable[..., np.ndarray], *lists: pa.ListArray) -> pa.Array:
+    """``fn`` over the rows of list columns of equal shape, for use inside Arrow functions."""
+    return _on_matrices(fn, lists)
+
+
 def _column(fn: Callable[..., np.ndarray], *arrays: Column | str) -> Column:
     def run(*lists: pa.Array) -> pa.Array:
         return _on_matrices(fn, lists)

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from rewardloom.functions import seq
 from rewardloom.functions.kl import kl_penalty
-from rewardloom.functions.scan import discounted_returns, generalized_advantages, prefix_sum, suffix_sum
+from rewardloom.functions.scan import discounted_returns, generalized_advantages, suffix_sum
 from rewardloom.operators.reduce import group_mean_std, masked_whiten
+from rewardloom.operators.token_baseline import token_baseline
 from rewardloom.plans.scale import first_rows, keyed_join, running_total, top_k, unit_draw, with_group_stats, with_scalars
 
+CELLS_PER_BLOCK = 1024
+
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -157,57 +160,15 @@ def gpg(df, key="uid", score=None, mask="mask", f_norm: float = 1.0) -> DataFram
     return _spread(df, F.col("__extra") * (F.col("__score") - F.col("__mean")) / f_norm, mask)
 
 
-def _token_baseline(df, key, row, mask, weights, handle_zero_tail, eps, compact) -> DataFrame:
-    """Per group and position: return averaged with the accumulated score-norm proxy as weight."""
-    names = ["old_logp", "sum_pi_squared", mask] + ([weights] if weights else [])
-    squared = (lambda e: e[weights] * e[weights]) if weights else (lambda e: F.lit(1.0))
-    proxy = lambda e: seq.masked((F.lit(1.0) - 2 * F.exp(e["old_logp"]) + e["sum_pi_squared"]) * squared(e), e[mask])
-    df = df.withColumn("returns", suffix_sum("rewards", mask))
-    df = df.withColumn("__w", prefix_sum(F.transform(seq.zipped(*names), proxy)))
-    df = df.withColumn("__len", seq.mask_count(mask).cast("int"))
-    # Position inside the row, or running count of valid tokens when masked tokens are squeezed out.
-    where = F.transform(F.col(mask), lambda m, i: i)
-    if compact:
-        where = F.transform(prefix_sum(F.transform(F.col(mask), lambda m: m.cast("double"))), lambda c: c.cast("int") - 1)
-    df = df.withColumn("__at", where)
-    m = F.col(mask)
-    tokens = seq.flat(df, ["returns", "__w", "__at"], mask, [key]).where(F.col("__at") >= 0)
-    per = tokens.groupBy(key, "__at").agg(
-        (F.sum(seq.masked(F.col("returns") * F.col("__w"), m)) / (F.sum(seq.masked(F.col("__w"), m)) + eps)).alias("b")
-    )
-    # One entry per position, none missing: bounded by the longest sequence, not by the group.
-    curve = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", "b"))).alias("c"))
-    curve = curve.select(key, F.col("c.b").alias("__curve"))
-    lengths = df.groupBy(key, "__len").agg(F.count(F.lit(1)).alias("c")).where("__len > 0" if compact else "true")
-    tops = lengths.groupBy(key).agg(
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.col("__len").alias("l"), "c")))).alias("t"), F.sum("c").alias("__n")
-    )
-    unique = (F.get("t", F.lit(0))["c"] == 1) & (F.size("t") > 1)
-    tops = tops.select(
-        key, "__n", F.when(unique, F.get("t", F.lit(0))["l"]).alias("__longest"),
-        F.when(unique, F.get("t", F.lit(1))["l"]).alias("__second"),
-    )
-    df = keyed_join(keyed_join(df, curve, [key], "left"), tops, [key], "left")
-    tail = (F.col("__len") == F.col("__longest")) if handle_zero_tail else F.lit(False)
-
-    def advantage(e):
-        cut = F.coalesce(tail & (e["__at"] >= F.col("__second")), F.lit(False))
-        base = F.when((F.col("__n") < 2) | cut, 0.0).otherwise(F.coalesce(F.get("__curve", e["__at"]), F.lit(0.0)))
-        return (e["returns"] - base) * e[mask]
-
-    out = df.withColumn("advantages", F.transform(seq.zipped("returns", mask, "__at"), advantage))
-    return out.drop("__w", "__len", "__at", "__curve", "__n", "__longest", "__second")
-
-
 @register_advantage("optimal_token_baseline")
 def optimal_token_baseline(df, key="uid", row="row_idx", mask="mask", weights=None, handle_zero_tail=False, eps=1e-8):
-    return _token_baseline(df, key, row, mask, weights, handle_zero_tail, eps, compact=False)
+    return token_baseline(df, key, mask, weights, handle_zero_tail, eps, compact=False)
 
 
 @register_advantage("tir_optimal_token_baseline")
 def tir_optimal_token_baseline(df, key="uid", row="row_idx", mask="mask", weights=None, handle_zero_tail=True, eps=1e-8):
     """The same after squeezing out the masked (tool) tokens of multi-turn rows."""
-    return _token_baseline(df, key, row, mask, weights, handle_zero_tail, eps, compact=True)
+    return token_baseline(df, key, mask, weights, handle_zero_tail, eps, compact=True)
 
 
 # ---------------------------------------------------------------- rewards and penalties
@@ -293,11 +254,13 @@ def pf_ppo_resample(
 ) -> DataFrame:
     """As many draws with replacement as rows, with probability by score weight.
 
-    Every draw is a point on the cumulative weight axis. The axis is cut into as many
-    cells as rows, so points meet rows through an equi-join on the cell.
+    Every draw is a point on the cumulative weight axis, and the axis is cut into as many cells as rows. A row meets the draws of
+    the cells it touches by a join, blocks of ``CELLS_PER_BLOCK`` cells that lie wholly inside its interval as one: a row with half
+    of all weight is few join rows, and its draws are spread over tasks by block.
     """
     n = df.count() if rows is None else rows
     top = df.agg(F.max(score).alias("__hi"), F.min(score).alias("__lo"))
+    columns = df.columns
     df = with_scalars(df, top)
     s = F.col(score)
     weights = {
@@ -312,12 +275,18 @@ def pf_ppo_resample(
     total = weighted.agg(F.max("__to").alias("__total"))
     placed = with_scalars(weighted, total).withColumn("__from", F.col("__to") - F.col("__w"))
     cell = lambda x: F.least(F.floor(x / F.col("__total") * n), F.lit(n - 1)).cast("long")
-    placed = placed.withColumn("__cell", F.explode(F.sequence(cell(F.col("__from")), cell(F.col("__to")))))
+    first, last = cell(F.col("__from")), cell(F.col("__to"))
+    begin, end = F.floor(first / CELLS_PER_BLOCK) + 1, F.floor(last / CELLS_PER_BLOCK)  # of the blocks between the two end cells
+    some = end > begin
+    outer = F.concat(F.sequence(first, begin * CELLS_PER_BLOCK - 1), F.sequence(end * CELLS_PER_BLOCK, last))
     draws = with_scalars(df.sparkSession.range(n).toDF("draw"), total)
-    draws = draws.withColumn("__u", unit_draw(seed, "draw") * F.col("__total")).withColumn("__cell", cell(F.col("__u")))
+    draws = draws.withColumn("__u", unit_draw(seed, "draw") * F.col("__total")).withColumn("__cell", cell(F.col("__u"))).drop("__total")
+    placed = placed.withColumns({"__some": some, "__begin": begin, "__end": end, "__cells": F.when(some, outer).otherwise(F.sequence(first, last))}).drop("__total")
     inside = (F.col("__u") >= F.col("__from")) & (F.col("__u") < F.col("__to"))
-    joined = placed.drop("__total").join(draws.drop("__total"), "__cell").where(inside)
-    return joined.drop("__w", "__to", "__from", "__cell", "__u")
+    edges = placed.withColumn("__cell", F.explode("__cells")).join(draws, "__cell").where(inside)
+    blocks = placed.where("__some").withColumn("__block", F.explode(F.sequence(F.col("__begin"), F.col("__end") - 1)))
+    whole = blocks.join(draws.withColumn("__block", F.floor(F.col("__cell") / CELLS_PER_BLOCK)), "__block")
+    return edges.select(*columns, "draw").unionByName(whole.select(*columns, "draw"))
 
 
 def trace_sample(df: DataFrame, k: int, index: str, seed: int = 0) -> DataFrame:

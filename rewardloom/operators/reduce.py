@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rewardloom.functions import seq
 from rewardloom.functions.scan import prefix_sum
 from rewardloom.functions.seq import EPS
-from rewardloom.plans.scale import with_group_stats, with_scalars
+from rewardloom.plans.scale import ROWS_PER_RANGE, keyed_join, running_total, with_group_stats, with_scalars
 
 ROW = ("uid", "rollout_n")
 
@@ -97,7 +97,7 @@ def group_table(df: DataFrame, key: str, score: str) -> DataFrame:
 
 def factorize(df: DataFrame, key: str, out: str = "group_id") -> DataFrame:
     """Dense id per distinct key, numbered over the distinct keys only; near-integers are rounded."""
-    from rewardloom.plans.scale import keyed_join, rank_within
+    from rewardloom.plans.scale import rank_within
 
     kind = dict(df.dtypes)[key]
     name = "__key"
@@ -434,13 +434,34 @@ def token_diff_count(a: str, b: str, mask: str = "mask") -> Column:
     return seq.sum_over([a, b, mask], differs).cast("long")
 
 
+def exact_quantiles(df: DataFrame, value: str, shares: Sequence[float], by: Sequence[str] = (), rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
+    """(by..., q0, q1, ...): interpolated quantiles of each group's values that are not null, NaN last.
+
+    A value's rank comes from its count: equal values are one row, ranks run on over key ranges, and a quantile needs the values at two
+    ranks. So a group with most of the table is neither one buffer nor one sort.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("__x")).agg(F.count(F.lit(1)).alias("__c"))
+    upto = running_total(counts, by, ["__x"], F.col("__c"), "__upto", rows_per_range=rows_per_range)
+    placed = with_group_stats(upto, by, F.sum("__c").alias("__n")) if by else with_scalars(upto, upto.agg(F.sum("__c").alias("__n")))
+    wanted = []
+    for i, share in enumerate(shares):
+        at = F.lit(float(share)) * (F.col("__n") - 1)
+        holds = lambda rank: F.max(F.when((F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank), F.col("__x")))
+        wanted.append(F.struct(holds(F.floor(at)).alias("lo"), holds(F.ceil(at)).alias("hi"), F.max(at - F.floor(at)).alias("f")).alias(f"q{i}"))
+    found = placed.groupBy(*by).agg(*wanted)
+    mix = lambda q: F.when(F.col(f"{q}.f") == 0, F.col(f"{q}.lo")).otherwise(F.col(f"{q}.lo") * (1 - F.col(f"{q}.f")) + F.col(f"{q}.hi") * F.col(f"{q}.f"))
+    return found.select(*by, *[mix(f"q{i}").alias(f"q{i}") for i in range(len(shares))])
+
+
 def percentile_report(df: DataFrame, value: str, by: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """avg, max, min, tp50, tp95 and tp99; the approximate form keeps a bounded sketch per group."""
-    pct = (lambda p: F.percentile(value, p)) if exact else (lambda p: F.percentile_approx(value, p, 10_000))
-    return df.groupBy(*by).agg(
-        F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min"),
-        pct(F.lit(0.5)).alias("tp50"), pct(F.lit(0.95)).alias("tp95"), pct(F.lit(0.99)).alias("tp99"),
-    )
+    """avg, max, min, tp50, tp95 and tp99; the approximate form keeps a bounded sketch per group, the exact one bounded ranges."""
+    base = [F.avg(value).alias("avg"), F.max(value).alias("max"), F.min(value).alias("min")]
+    shares = {"tp50": 0.5, "tp95": 0.95, "tp99": 0.99}
+    if not exact:
+        return df.groupBy(*by).agg(*base, *[F.percentile_approx(value, F.lit(p), 10_000).alias(c) for c, p in shares.items()])
+    found = exact_quantiles(df, value, list(shares.values()), by).withColumnsRenamed({f"q{i}": c for i, c in enumerate(shares)})
+    report = df.groupBy(*by).agg(*base)
+    return keyed_join(report, found, by, "left") if by else with_scalars(report, found)
 
 
 def partial_rollout_stats(df: DataFrame, start: str, end: str, version: str, by: Sequence[str] = ()) -> DataFrame:

@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -254,6 +255,12 @@ def unit_draw(seed: int, *cols: str | Column) -> Column:
     return F.conv(digits, 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def run_edges(column: pa.Array) -> list[int]:
+    """Where runs of equal values begin, and the length; nulls are equal, and so are NaNs."""
+    code = pc.dictionary_encode(column, null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(code[1:] != code[:-1]) + 1).tolist(), len(code)]
+
+
 def scan_in_order(df: DataFrame, key: str, order: Sequence[str], start: Callable[[], Callable[[pa.RecordBatch], Any]], added: str) -> DataFrame:
     """Adds a column (``name type``) that a sequential rule gives to the rows of each key in turn.
 
@@ -268,13 +275,13 @@ def scan_in_order(df: DataFrame, key: str, order: Sequence[str], start: Callable
         for batch in batches:
             if not batch.num_rows:
                 continue
-            at, values = 0, []
-            runs = pc.run_end_encode(batch.column(0))
-            for end, value in zip(runs.run_ends.to_pylist(), runs.values.to_pylist(), strict=True):
+            values = []
+            edges = run_edges(batch.column(0))
+            for at, end in zip(edges[:-1], edges[1:], strict=True):
+                value = batch.column(0)[at].as_py()
                 if rule is None or not (value == last or (value != value and last != last)):
                     rule, last = start(), value
                 values.append(pa.array(rule(batch.slice(at, end - at))))
-                at = end
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.concat_arrays(values)], names=[*batch.schema.names, name])
 
     spread = df.select(key, *[c for c in df.columns if c != key]).repartition(F.col(f"`{key}`"))

@@ -161,3 +161,45 @@ def test_clip_cov_and_kl_cov_long_thresholds(spark, monkeypatch):
     monkeypatch.setattr(scale, "DIRECT_LIMIT", 1)
     long = L.loss_kl_cov(df, ratio=0.1).first()
     assert abs(short.pg_loss - long.pg_loss) < 1e-12
+
+
+@pytest.mark.parametrize("records", [3, 10_000])
+@pytest.mark.parametrize("compact", [False, True])
+def test_token_baseline_by_hand(spark, records, compact):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(40):
+        n = int(rng.integers(0, 6)) if i % 9 else 9
+        rows.append(([1, 2, None][i % 3], i, rng.standard_normal(n).tolist(), (-rng.random(n)).tolist(), rng.random(n).tolist(), rng.integers(0, 2, n).tolist()))
+    df = spark.createDataFrame(rows, "uid int, row_idx int, rewards array<double>, old_logp array<double>, sum_pi_squared array<double>, mask array<int>")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
+    try:
+        make = A.tir_optimal_token_baseline if compact else A.optimal_token_baseline
+        got = {r.row_idx: r for r in make(df, handle_zero_tail=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 40
+    for key in (1, 2, None):
+        own, sums = [], {}
+        for k, i, r, lp, sq, m in rows:
+            if k != key:
+                continue
+            go = [sum(x * y for x, y in zip(r[t:], m[t:], strict=True)) for t in range(len(r))]
+            w = [sum((1 - 2 * math.exp(a) + b) * c for a, b, c in zip(lp[: t + 1], sq[: t + 1], m[: t + 1], strict=True)) for t in range(len(r))]
+            at = [sum(m[: t + 1]) - 1 if compact else t for t in range(len(r))]
+            own.append((i, go, at, m, sum(m)))
+            for t, p in enumerate(at):
+                if p >= 0:
+                    s = sums.setdefault(p, [0.0, 0.0])
+                    s[0] += go[t] * w[t] * m[t]
+                    s[1] += w[t] * m[t]
+        lengths = sorted((x[4] for x in own if x[4] > 0 or not compact), reverse=True)
+        lone = len(set(lengths)) > 1 and lengths.count(lengths[0]) == 1
+        for i, go, at, m, size in own:
+            for t, p in enumerate(at):
+                base = sums[p][0] / (sums[p][1] + 1e-8) if p >= 0 else 0.0
+                if len(lengths) < 2 or (lone and size == lengths[0] and p >= lengths[1]):
+                    base = 0.0
+                assert abs(got[i].advantages[t] - (go[t] - base) * m[t]) < 1e-6 and abs(got[i].returns[t] - go[t]) < 1e-9

@@ -152,3 +152,32 @@ def test_last_known_value_crosses_ranges(spark, rows_per_range):
             key = k if keys else 0
             known[key] = v if v is not None else known.get(key)
             assert got[i] == known[key]
+
+
+@pytest.mark.parametrize("rows_per_range", [20, 100_000])
+def test_exact_quantiles_of_hot_and_null_groups(spark, rows_per_range):
+    from rewardloom.operators.reduce import exact_quantiles
+
+    rng = random.Random(11)
+    rows = [(rng.choice(["hot", "hot", "a", None]), rng.choice([None, float(rng.randrange(9)), rng.random()])) for _ in range(400)] + [("one", 3.0), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r.k: (r.q0, r.q1) for r in exact_quantiles(df, "v", [0.5, 0.99], ["k"], rows_per_range).collect()}
+    values = {}
+    for k, v in rows:
+        if v is not None:
+            values.setdefault(k, []).append(v)
+    for key, group in values.items():
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[key], pd.Series(group).quantile([0.5, 0.99]), strict=True))
+    assert len(got) == len(values)
+    assert abs(exact_quantiles(df, "v", [0.9], rows_per_range=rows_per_range).first().q0 - pd.Series([v for _, v in rows]).quantile(0.9)) < 1e-12
+
+
+def test_a_row_with_most_of_the_weight_is_drawn_by_blocks(spark, monkeypatch):
+    from rewardloom.operators import advantage
+
+    df = spark.range(3000).select(F.col("id").alias("row_idx"), F.when(F.col("id") == 700, 60.0).when(F.col("id") % 50 == 0, 5.0).otherwise(0.5).alias("score"), F.lit("x").alias("k"))
+    want = {(r.draw, r.row_idx) for r in advantage.pf_ppo_resample(df, seed=3).collect()}
+    for block in (7, 64, 10**6):
+        monkeypatch.setattr(advantage, "CELLS_PER_BLOCK", block)
+        assert {(r.draw, r.row_idx) for r in advantage.pf_ppo_resample(df, seed=3).collect()} == want
+    assert len(want) == 3000 and sum(i == 700 for _, i in want) > 1200
