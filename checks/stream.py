@@ -7,7 +7,8 @@ import tarfile
 import pandas as pd
 from pyspark.sql import functions as F
 
-from checks.base import R, query, r6, rollouts, rounded, table, tokens
+from checks.base import ORACLES, R, query, r6, rollouts, rounded, table, tokens
+from checks.correction import COLS
 from checks.reduce import M_SQL, metric_rows
 from rewardloom.functions import text as X
 from rewardloom.operators.reduce import aggregate_steps
@@ -46,14 +47,12 @@ def detect(spark, sf_dir):
 
 def write_shards(spark, sf_dir):
     """Documents as TAR shards, one per source: a JSON member and a binary member per sample."""
-    import os
-
-    folder = L.work_folder(spark).removeprefix("file:")
-    os.makedirs(folder, exist_ok=True)
+    folder = L.work_folder(spark)
+    spark.range(1).write.mode("overwrite").parquet(f"{folder}/made")  # Spark makes the folder, wherever it is
 
     def write(pdf: pd.DataFrame) -> pd.DataFrame:
         name = f"{folder}/{pdf['source'].iloc[0]}.tar"
-        with tarfile.open(name, "w") as out:
+        with TAR.open_shared(name, write=True) as file, tarfile.open(fileobj=file, mode="w|") as out:
             for doc, source, lang, text in pdf[["doc_id", "source", "lang", "text"]].itertuples(index=False):
                 meta = json.dumps({"doc_id": int(doc), "lang": lang}).encode()
                 for ext, payload in (("json", meta), ("txt", text.encode())):
@@ -80,6 +79,38 @@ def tar_samples(spark, sf_dir):
     return df.select("key", j["doc_id"].alias("doc_id"), j["lang"].alias("lang"), F.size("files").alias("files"))
 
 
+@query("s05_samples_of_cut_shards", "select 'doc' || doc_id as key, doc_id, octet_length(encode(text)) as bytes from documents")
+def cut_samples(spark, sf_dir):
+    """Shards cut at sample borders give the samples of whole ones."""
+    df = TAR.scan_tar_samples(spark, write_shards(spark, sf_dir), split_bytes=50_000)
+    return df.select("key", F.get_json_object("json", "$.doc_id").cast("long").alias("doc_id"), F.octet_length(F.col("files")[0]["payload"]).cast("long").alias("bytes"))
+
+
+@query("s01_scan_arrow", "select vec_id, label, cast(len(embedding) as integer) as width, round(list_sum([x::double for x in embedding]), 4) + 0.0 as total from embeddings")
+def arrow_files(spark, sf_dir):
+    """Vectors written as Arrow files and streams by tasks, read back with a declared schema."""
+    folder = L.work_folder(spark)
+    spark.range(1).write.mode("overwrite").parquet(f"{folder}/made")
+
+    def write(batches):
+        import uuid
+
+        import pyarrow as pa
+
+        for batch in batches:
+            name = uuid.uuid4().hex
+            make = pa.ipc.new_file if name < "8" else pa.ipc.new_stream
+            with TAR.open_shared(f"{folder}/{name}.arrow", write=True) as file, make(file, batch.schema) as out:
+                for lo in range(0, batch.num_rows, 100):
+                    out.write_batch(batch.slice(lo, 100))
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["n"])
+
+    table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").repartition(4, "vec_id").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    df = S.scan_arrow(spark, f"{folder}/*.arrow", "label int, vec_id long, embedding array<float>")
+    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x)
+    return df.select("vec_id", "label", F.size("embedding").alias("width"), r6(total, 4).alias("total"))
+
+
 def _dump(spark, sf_dir):
     df = rollouts(spark, sf_dir).select(F.concat(F.lit("q"), "uid").alias("input"), F.concat(F.lit("a"), "pred").alias("output"),
                                         F.lit("t").alias("gts"), "score", F.col("param_version").alias("step"), "rollout_n")
@@ -149,11 +180,12 @@ def custom_reward(spark, sf_dir):
     return df.select("uid", "rollout_n", fn(F.col("text"), F.col("l_linenumber").cast("string")).alias("score"))
 
 
-@query("f02_scoring_jobs", f"""with {R} select uid, rollout_n, case when data_source in ('1-URGENT','2-HIGH') then (pred = l_linenumber)::int::double else 0.0 end as score from r where data_source in ('1-URGENT','2-HIGH','5-LOW')""")
+@query("f02_scoring_jobs", f"""with {R} select uid, rollout_n, case when data_source in ('1-URGENT','2-HIGH','4-NOT SPECIFIED') then (pred = l_linenumber)::int::double else 0.0 end as score from r""")
 def jobs(spark, sf_dir):
-    df = rollouts(spark, sf_dir).where("data_source in ('1-URGENT','2-HIGH','5-LOW')").drop("score")
+    """Responses spell a hash answer; sources routed to the boxed rule get nothing for it."""
+    df = rollouts(spark, sf_dir).drop("score")
     df = df.withColumn("response", F.concat(F.lit("#### "), "pred")).withColumn("ground_truth", F.col("l_linenumber").cast("string"))
-    routes = {"1-URGENT": "hash_answer", "2-HIGH": "hash_answer", "5-LOW": "boxed"}
+    routes = {"1-URGENT": "hash_answer", "2-HIGH": "hash_answer", "3-MEDIUM": "boxed", "4-NOT SPECIFIED": "hash_answer", "5-LOW": "boxed"}
     return G.job("routed")(df, routes).select("uid", "rollout_n", "score")
 
 
@@ -163,11 +195,15 @@ def advantage_registry(spark, sf_dir):
     return rounded(df.select("uid", "rollout_n", "advantage"))
 
 
-@query("f04_objective_registry", """select 'cispo' as name union all select 'clip_cov' union all select 'geo_mean' union all select 'gpg' union all select 'gspo' union all select 'kl_cov'
-  union all select 'reinforce' union all select 'sapo' union all select 'vanilla' where (select count(*) from lineitem) > 0""")
+NAMED = {"gpg": "l04_loss_gpg", "reinforce": "l09_loss_reinforce", "vanilla": "l01_loss_vanilla"}
+
+
+@query("f04_objective_registry", " union all ".join(f"select '{name}' as name, pg_loss from ({ORACLES[checked]})" for name, checked in NAMED.items()))
 def objective_registry(spark, sf_dir):
-    alive = table(spark, sf_dir, "lineitem").agg((F.count(F.lit(1)) > 0).alias("alive"))
-    return alive.where("alive").select(F.explode(F.array(*[F.lit(n) for n in sorted(G.OBJECTIVES)])).alias("name"))
+    """Losses over all tokens, each by the name of its objective."""
+    df = tokens(spark, sf_dir, *COLS, "rollout_logp")
+    losses = [G.objective(name)(df).select(F.lit(name).alias("name"), "pg_loss") for name in NAMED]
+    return rounded(losses[0].union(losses[1]).union(losses[2]))
 
 
 @query("f05_custom_dataset", "select doc_id, n_chars from documents where lang = 'en'")
@@ -181,6 +217,25 @@ def group_function(spark, sf_dir):
     return G.group_reduce(rollouts(spark, sf_dir), ["uid"], lambda v: v.max() - v.min(), "score", "spread")
 
 
+@query("f06_group_fold", f"""with {R}, x as (select case when data_source like '1%' then null else view_type end as g, case when pred = 5 then null else score end as v from r)
+  select g, max(v) - min(v) as spread, round(kurtosis_pop(v), 6) as kurtosis from x group by g""")
+def group_fold(spark, sf_dir):
+    """Range and fourth moment of a few large groups, from states that merge."""
+    df = rollouts(spark, sf_dir).select(F.when(~F.col("data_source").startswith("1"), F.col("view_type")).alias("g"), F.when(F.col("pred") != 5, F.col("score")).alias("v"))
+    spread = G.Fold(lambda x: (x.min(), x.max()), lambda a, b: (min(a[0], b[0]), max(a[1], b[1])), lambda s: s[1] - s[0])
+    sums = G.Fold(lambda x: [float((x ** p).sum()) for p in range(5)], lambda a, b: [x + y for x, y in zip(a, b, strict=True)], _kurtosis)
+    both = G.group_fold(df, ["g"], spread, "v", "spread").withColumnRenamed("g", "h")
+    other = G.group_fold(df, ["g"], sums, "v", "kurtosis")
+    return rounded(other.join(both, F.col("g").eqNullSafe(F.col("h"))).select("g", "spread", "kurtosis"))
+
+
+def _kurtosis(sums):
+    n, *powers = sums
+    m = [p / n for p in powers]
+    variance = m[1] - m[0] ** 2
+    return (m[3] - 4 * m[0] * m[2] + 6 * m[0] ** 2 * m[1] - 3 * m[0] ** 4) / variance ** 2 - 3
+
+
 @query("f07_table_function", f"with {R} select uid, rollout_n, cast(k as integer) as position, case k when 0 then 'find' else 'sum' end as name from r, range(2) x(k)")
 def table_function(spark, sf_dir):
     from checks.prep import CALLS

@@ -2,71 +2,106 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.pandas.types import to_arrow_type
+
 from rewardloom.operators.prep import passages_to_text
-from rewardloom.plans.scale import gather_lists, rank_within, top_k, union_all, with_scalars
+from rewardloom.plans.blocks import matrix, meet, tasks
+from rewardloom.plans.scale import gather_lists, top_k
 
 QUERY_BLOCK = 4096
+STRIPE_ROWS = 1024
+STRIPES = 1024
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    m = flat.reshape(len(vectors), -1) if len(vectors) else flat.reshape(0, 0)
+    m = matrix(vectors).astype(np.float64)
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _block_topk(queries: DataFrame, corpus: DataFrame, k: int, id_type: str, doc_type: str) -> DataFrame:
-    """One block of queries, at most QUERY_BLOCK rows, held by every task; k hits per query and Arrow batch."""
-    rows = queries.collect()
-    if not rows:
-        return None
-    ids = [r[0] for r in rows]
-    matrix = _matrix(pa.array([list(r[1]) for r in rows], pa.list_(pa.float64())))
-    held = queries.sparkSession.sparkContext.broadcast((ids, matrix))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, q = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            scores = q @ _matrix(batch.column(1)).T
-            n = min(k, batch.num_rows)
-            # Every hit that ties with the n-th best is passed on, so ties are settled by id later.
-            edge = np.partition(scores, scores.shape[1] - n, axis=1)[:, scores.shape[1] - n]
-            at_q, at_d = np.nonzero(scores >= edge[:, None] - 1e-12)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([names[i] for i in at_q]), batch.column(0).take(pa.array(at_d)), pa.array(scores[at_q, at_d])],
-                names=["query_id", "doc_id", "score"])
-
-    return corpus.mapInArrow(scan, f"query_id {id_type}, doc_id {doc_type}, score double")
+class _Best:
+    """The k best documents of each query: higher scores first, ties to the document that came first."""
+
+    def __init__(self, rows: int, k: int):
+        self.k = k
+        self.score = np.full((rows, k), -np.inf)
+        self.doc = np.full((rows, k), None, object)
+
+    def found(self, query: pa.Array, doc_type: pa.DataType) -> pa.RecordBatch:
+        row, slot = np.nonzero(self.score > -np.inf)
+        docs = pa.array(self.doc[row, slot].tolist(), doc_type)
+        return pa.record_batch([query.take(pa.array(row)), docs, pa.array(self.score[row, slot])], names=["query_id", "doc_id", "score"])
+
+    def offer(self, scores: np.ndarray, docs: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Scores of ``rows`` (all queries by default) and documents in their order; -inf is no hit."""
+        rows = np.arange(len(self.score)) if rows is None else rows
+        better = (scores > self.score[rows, -1:]).any(1)
+        some = rows[better]
+        if not len(some):
+            return
+        part = scores[better]
+        if part.shape[1] > self.k:  # what is below the k-th of the batch cannot enter
+            edge = np.partition(part, part.shape[1] - self.k, axis=1)[:, -self.k][:, None]
+            part = np.where(part >= edge, part, -np.inf)
+        both = np.hstack([self.score[some], part])
+        order = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
+        self.score[some] = np.take_along_axis(both, order, 1)
+        names = self.doc[some]
+        old = order < self.k
+        self.doc[some] = np.where(old, np.take_along_axis(names, np.where(old, order, 0), 1), docs[np.where(old, 0, order - self.k)])
+
+
+def _searching(k: int, doc_type: pa.DataType, query_type: pa.DataType):
+    class Search:
+        def __init__(self, held: pa.Table):
+            self.query = held.column("query_id").combine_chunks()
+            self.vectors = _matrix(held.column("embedding"))
+            self.best = _Best(len(self.query), k)
+
+        def take(self, rows):
+            docs = np.empty(rows.num_rows, object)
+            docs[:] = rows.column("doc_id").to_pylist()
+            self.best.offer(np.round(self.vectors @ _matrix(rows.column("embedding")).T, 9), docs)
+            return iter(())
+
+        def done(self):
+            yield self.best.found(self.query.cast(query_type), doc_type)
+
+    return Search
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_id, doc_id, rank, score) of the k corpus vectors closest in cosine.
+    """(query_id, doc_id, rank, score) of the k corpus vectors closest in cosine, ties (to nine digits) by smaller doc_id.
 
-    ``queries`` is (query_id, embedding), ``corpus`` (doc_id, embedding). Queries are taken in
-    blocks of fixed size, so what a task holds does not grow with them; the corpus is never shuffled,
-    only k hits per query and batch are.
+    ``queries`` is (query_id, embedding), ``corpus`` (doc_id, embedding); rows without id or vector take no part, all vectors are
+    equally long. Queries are dealt into blocks and the corpus into stripes; a block is held while a stripe passes by in the
+    order of doc_id, and k hits per query and stripe are shuffled. Nothing of either side passes the driver.
     """
-    kinds, docs = dict(queries.dtypes), dict(corpus.dtypes)
-    n = queries.count()
-    q, c = queries.select("query_id", "embedding"), corpus.select("doc_id", "embedding")
-    if n <= block:
-        blocks = [q]
-    else:
-        ranked = rank_within(q, [], ["query_id"], "__i", rows=n)
-        blocks = [ranked.where(F.floor(F.col("__i") / block) == b).drop("__i") for b in range(-(-n // block))]
-    parts = [_block_topk(b, c, k, kinds["query_id"], docs["doc_id"]) for b in blocks]
-    hits = union_all([p for p in parts if p is not None])
-    rounded = hits.withColumn("__s", F.round("score", 9))
-    return top_k(rounded, ["query_id"], ["__s desc", "doc_id"], k).select("query_id", "doc_id", "rank", "score")
+    spark = queries.sparkSession
+    held = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("query_id is not null and embedding is not null")
+    rows = corpus.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).where("doc_id is not null and embedding is not null")
+    arrow = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((held, "query_id"), (rows, "doc_id"))}
+    return _met(spark, held, rows, k, block, held.count(), rows.count(), _searching(k, arrow["doc_id"], arrow["query_id"]))
+
+
+def _met(spark, held: DataFrame, rows: DataFrame, k: int, block: int, queries: int, docs: int, search) -> DataFrame:
+    """Blocks of queries meet stripes of documents; the best of all stripes."""
+    blocks = max(1, math.ceil(queries / block))
+    stripes = max(1, min(STRIPES, math.ceil(docs / STRIPE_ROWS)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    held = held.withColumn("block", own("query_id", blocks)).withColumn("stripe", every(stripes))
+    rows = rows.withColumn("stripe", own("doc_id", stripes)).withColumn("block", every(blocks))
+    schema = f"query_id {dict(held.dtypes)['query_id']}, doc_id {dict(rows.dtypes)['doc_id']}, score double"
+    hits = meet(held, rows, ["block", "stripe"], tasks(spark, blocks * stripes), search, schema, ["doc_id"])
+    return top_k(hits, ["query_id"], ["score desc", "doc_id"], k).select("query_id", "doc_id", "rank", "score")
 
 
 def terms(text: Column) -> Column:
@@ -74,26 +109,72 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """(query_id, doc_id, rank, score) by lexical weight, over the whole texts.
-
-    Only terms that occur in some query are kept of the corpus before anything is shuffled,
-    and document frequency is an aggregate over those.
+def _scoring(k: int, k1: float, b: float, average: float, doc_type: pa.DataType, query_type: pa.DataType):
+    class Search:
+        def __init__(self, held: pa.Table):
+            self.query = held.column("query_id").combine_chunks()
+            entries = [(t, w, q) for q, pairs in enumerate(held.column("weights").to_pylist()) for t, w in ((p["term"], p["idf"]) for p in pairs)]
+            entries.sort()
+            term, self.idf, self.asking = (np.array([e[i] for e in entries], kind) for i, kind in enumerate((np.int64, np.float64, np.int64)))
+            self.terms, self.first = np.unique(term, return_index=True)
+            self.last = np.append(self.first[1:], len(term))
+            self.best = _Best(len(self.query), k)
+
+        def take(self, rows):
+            flat = rows.column("terms").flatten().to_numpy(zero_copy_only=False)
+            sizes = rows.column("terms").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.minimum(np.searchsorted(self.terms, flat), len(self.terms) - 1)
+            hit = self.terms[at] == flat
+            code, tf = np.unique(at[hit] * len(sizes) + doc[hit], return_counts=True)
+            if not len(code):
+                return iter(())
+            term, doc = code // len(sizes), code % len(sizes)
+            weight = tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / average))
+            begin = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+            ends = np.append(begin[1:], len(term))
+            # No document of this batch can give a query more than its terms' greatest weights here.
+            bound = np.zeros(len(self.query))
+            for t, most in zip(term[begin].tolist(), np.maximum.reduceat(weight, begin).tolist(), strict=True):
+                bound[self.asking[self.first[t]: self.last[t]]] += self.idf[self.first[t]: self.last[t]] * most
+            live = bound + 1e-6 > self.best.score[:, -1]
+            live &= bound > 0
+            place = np.cumsum(live) - 1
+            scores = np.zeros((int(live.sum()), len(sizes)))
+            for t, lo, hi in zip(term[begin].tolist(), begin.tolist(), ends.tolist(), strict=True):
+                asking = self.asking[self.first[t]: self.last[t]]
+                asked = live[asking]
+                if asked.any():
+                    scores[place[asking[asked]][:, None], doc[lo:hi][None, :]] += self.idf[self.first[t]: self.last[t]][asked][:, None] * weight[lo:hi][None, :]
+            docs = np.empty(len(sizes), object)
+            docs[:] = rows.column("doc_id").to_pylist()
+            self.best.offer(np.where(scores > 0, np.round(scores, 6), -np.inf), docs, np.flatnonzero(live))
+            return iter(())
+
+        def done(self):
+            yield self.best.found(self.query.cast(query_type), doc_type)
+
+    return Search
+
+
+def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query_id, doc_id, rank, score) by lexical weight, over the whole texts; ties (to six digits) by smaller doc_id.
+
+    Terms are 64-bit hashes. Document frequencies are counts with partial sums, so a frequent term costs no more than others. Documents
+    are scored where a block of queries is held, batch by batch; a query is left out of a batch whose greatest term weights cannot lift any
+    document over its k-th score. Rows without id take no part.
     """
-    wanted = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
-    # Terms are taken once per text: a size computed beside the explode would be redone per token.
-    split = corpus.select("doc_id", terms(F.col("text")).alias("t")).select("doc_id", F.size("t").cast("double").alias("len"), "t")
-    totals = split.agg(F.count(F.lit(1)).cast("double").alias("__n"), F.avg("len").alias("__avg"))
-    tokens = split.select("doc_id", "len", F.explode("t").alias("term"))
-    tokens = tokens.join(wanted.select("term").distinct(), "term", "left_semi")
-    tf = tokens.groupBy("term", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("tf"), F.first("len").alias("len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-    weighted = with_scalars(tf.join(df, "term"), totals)
-    idf = F.log(1 + (F.col("__n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("__avg"))
-    weighted = weighted.select("term", "doc_id", (idf * F.col("tf") * (k1 + 1) / norm).alias("w"))
-    scores = wanted.join(weighted, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return top_k(scores, ["query_id"], ["score desc", "doc_id"], k).select("query_id", "doc_id", "rank", "score")
+    spark = queries.sparkSession
+    hashed = lambda text: F.transform(terms(text), lambda t: F.xxhash64(t))
+    asked = queries.where("query_id is not null").select("query_id", F.explode(F.array_distinct(hashed(F.col("text")))).alias("term"))
+    docs = corpus.where("doc_id is not null").select("doc_id", F.coalesce(hashed(F.col("text")), F.array().cast("array<bigint>")).alias("terms"))
+    total = docs.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms").cast("double")).alias("average")).first()
+    seen = docs.select(F.explode(F.array_distinct("terms")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    seen = seen.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    idf = F.log(1 + (F.lit(float(total.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
+    held = asked.join(seen, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf)).alias("weights"))
+    arrow = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((held, "query_id"), (docs, "doc_id"))}
+    return _met(spark, held, docs, k, block, queries.count(), total.n, _scoring(k, k1, b, total.average or 1.0, arrow["doc_id"], arrow["query_id"]))
 
 
 def split_title_text(contents: Column) -> Column:

@@ -4,16 +4,23 @@ from __future__ import annotations
 
 import importlib
 import importlib.util
+import pickle
 from collections.abc import Callable, Sequence
 from functools import partial
+from typing import Any, NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rewardloom.operators import score as S
 from rewardloom.operators.advantage import ESTIMATORS, estimator, register_advantage
 from rewardloom.operators.objective import OBJECTIVES, objective, register_objective
+from rewardloom.plans.scale import key_of
 
 __all__ = ["ESTIMATORS", "OBJECTIVES", "estimator", "objective", "register_advantage", "register_objective"]
 
@@ -117,6 +124,68 @@ def group_reduce(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.Series], f
     return df.groupBy(*keys).agg(run(F.col(value)).alias(out))
 
 
+class Fold(NamedTuple):
+    """A user aggregate in parts: values of one batch to a state, two states to one, the last state to a number."""
+
+    partial: Callable[[np.ndarray], Any]
+    merge: Callable[[Any, Any], Any]
+    finish: Callable[[Any], float]
+
+
+def group_fold(df: DataFrame, keys: Sequence[str], fold: Fold, value: str, out: str, salts: int = 32) -> DataFrame:
+    """User aggregate of any group, the largest included: a state per batch, merged first by key and salt and then by key.
+
+    Null values are left out; rows with null keys are a group; a group without values gives null. No task holds more than one batch
+    and one state.
+    """
+    none = pickle.dumps(None)
+
+    def begun(batches):
+        for batch in batches:
+            code = pc.dictionary_encode(batch.column(0)).indices.to_numpy(zero_copy_only=False)
+            values = batch.column(2).to_numpy(zero_copy_only=False).astype(np.float64)
+            known = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            order = np.argsort(code, kind="stable")
+            edges = [0, *(np.flatnonzero(np.diff(code[order])) + 1).tolist(), len(order)] if len(order) else []
+            parts = [order[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            states = [pickle.dumps(fold.partial(values[p[known[p]]])) if known[p].any() else none for p in parts]
+            at = pa.array([int(p[0]) for p in parts], pa.int64())
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(states, pa.binary())], names=["group", "key", "state"])
+
+    def merged(batches):
+        group = key = state = None
+
+        def row():
+            return pa.record_batch([pa.array([group], pa.string()), key, pa.array([pickle.dumps(state)], pa.binary())], names=["group", "key", "state"])
+
+        for batch in batches:
+            for i, (name, data) in enumerate(zip(batch.column("group").to_pylist(), batch.column("state").to_pylist(), strict=True)):
+                other = pickle.loads(data)  # noqa: S301 - written by begun() above
+                if name != group:
+                    if group is not None:
+                        yield row()
+                    group, key, state = name, batch.column("key").slice(i, 1), other
+                elif other is not None:
+                    state = other if state is None else fold.merge(state, other)
+        if group is not None:
+            yield row()
+
+    def finished(batches):
+        for batch in batches:
+            states = [pickle.loads(s) for s in batch.column("state").to_pylist()]  # noqa: S301
+            results = [None if s is None else float(fold.finish(s)) for s in states]
+            yield pa.record_batch([batch.column("key"), pa.array(results, pa.float64())], names=["key", "result"])
+
+    rows = df.select(F.to_json(key_of(keys)).alias("group"), key_of(keys).alias("key"), F.col(value).cast("double").alias("value"))
+    kind = rows.schema["key"].dataType
+    schema = T.StructType([T.StructField("group", T.StringType()), T.StructField("key", kind), T.StructField("state", T.BinaryType())])
+    states = rows.mapInArrow(begun, schema).withColumn("salt", F.pmod(F.xxhash64("state"), F.lit(salts)))
+    states = states.repartition("group", "salt").sortWithinPartitions("group", "salt").drop("salt").mapInArrow(merged, schema)
+    states = states.repartition("group").sortWithinPartitions("group").mapInArrow(merged, schema)
+    result = states.mapInArrow(finished, T.StructType([T.StructField("key", kind), T.StructField("result", T.DoubleType())]))
+    return result.select(*[F.col(f"key.k{i}").alias(k) for i, k in enumerate(keys)], F.col("result").alias(out))
+
+
 def explode_with(df: DataFrame, items: Column, keep: Sequence[str], name: str = "item") -> DataFrame:
     """Row to many rows by an array expression; user code with state can be a ``udtf`` instead."""
     return df.select(*keep, F.posexplode(items).alias("position", name))

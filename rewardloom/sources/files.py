@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,13 +33,16 @@ FORMATS = {".tar": "tar", ".parquet": "parquet", ".json": "json", ".jsonl": "jso
 def detect_format(paths: str | Sequence[str]) -> str:
     """tar, parquet, json or arrow from the endings of paths or of the files inside folders, on any file system of Spark.
 
-    A folder is listed by the file reader, of which only the path column is read.
+    Whatever has no known ending is listed by the file reader, of which only the path column is read.
     """
-    named = {FORMATS[e] for p in _listed(paths) for e in FORMATS if p.lower().rstrip("/").endswith(e)}
-    folders = [p for p in _listed(paths) if "." not in p.rstrip("/").rsplit("/", 1)[-1]]
-    if not named and folders:
+    ending_of = lambda p: next((FORMATS[e] for e in FORMATS if p.lower().rstrip("/").endswith(e)), None)
+    named = {ending_of(p) for p in _listed(paths)} - {None}
+    if not named:
         spark = SparkSession.active()
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folders).select("path")
+        try:
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_listed(paths)).select("path")
+        except AnalysisException as missing:
+            raise ValueError(f"no known data format at {_listed(paths)}") from missing
         ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
         named = {FORMATS[r[0]] for r in files.select(ending).where(ending.isin(*FORMATS)).distinct().collect()}  # at most one row per ending
     for kind in ("tar", "parquet", "json", "arrow"):
@@ -48,7 +52,7 @@ def detect_format(paths: str | Sequence[str]) -> str:
 
 
 def scan_arrow(spark: SparkSession, paths: str | Sequence[str], schema: str | T.StructType) -> DataFrame:
-    """Arrow files or streams with a declared schema, a file per task at the least; each file is read as a whole."""
+    """Arrow files or streams with a declared schema, a file per task at the least, its record batches one by one."""
     wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
 
     def read(batches):
@@ -59,8 +63,13 @@ def scan_arrow(spark: SparkSession, paths: str | Sequence[str], schema: str | T.
         for batch in batches:
             for content in batch.column(0):
                 data = content.as_buffer()
-                opened = pa.ipc.open_file(data) if data.to_pybytes()[:6] == b"ARROW1" else pa.ipc.open_stream(data)
-                yield from opened.read_all().select(wanted.names).cast(kinds).to_batches(max_chunksize=10_000)
+                if data.slice(0, 6).to_pybytes() == b"ARROW1":
+                    opened = pa.ipc.open_file(data)
+                    found = (opened.get_batch(i) for i in range(opened.num_record_batches))
+                else:
+                    found = pa.ipc.open_stream(data)
+                for part in found:
+                    yield from pa.Table.from_batches([part]).select(wanted.names).cast(kinds).to_batches(max_chunksize=10_000)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_listed(paths)).select("content")
     return files.mapInArrow(read, wanted)
