@@ -1,11 +1,11 @@
-"""Main text of pages: structure first, then differencing against the page with the nearest URL.
-
-A page becomes lines (blocks of visible text). What markup itself names as something else (menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts, styles, hidden parts) is left out. The page that
-follows on the same host in URL order, or comes before for the last one, is its pair: lines of both are aligned by
-longest common subsequence, and shared ones are the host's template and go. Lines inside an article element
-are the author's, whoever else prints them, and stay. A page with such an element but without a pair, or copied by
-it, keeps what the element holds.
+"""Main text of pages: differencing against the page with the nearest URL, with markup as guard and for the rest.
+
+A page becomes lines (blocks of visible text, menus and footers included). The page that follows on the same host in URL order,
+or comes before for the last one, is its pair: lines of both are aligned by longest common subsequence, and shared ones
+are the host's template and go. Lines inside an article element are the author's, whoever else prints them, and stay. Of what
+is left, lines go that markup itself names as something else (menus, sidebars, notices, adverts, forms, comments, hidden
+parts), which need not be the same on two pages. A page with an article element but without a pair, or copied by it, keeps what
+the element holds.
 """
 
 from __future__ import annotations
@@ -34,16 +34,30 @@ _NAMES = {"ad", "ads", "advert", "advertisement", "advertising", "banner", "brea
 _ROLES = {"alert", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "navigation", "search"}
 
 
+# A class such as ad-slot or site-nav says the same as its name; has-sidebar and share-price say something else.
+_HOLDERS = {"area", "bar", "block", "box", "buttons", "container", "content", "inner", "item", "items", "link", "links", "list", "section", "slot", "widget", "wrap", "wrapper"}
+_ABOUT = {"has", "is", "no", "not", "with", "without"}
+_CLOSED_BY_NEXT = {"p": None, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+
+
+def _names_other(token: str, names: set[str]) -> bool:
+    """Whether a whole class or id names a part that is no main text."""
+    parts = [p for p in re.split(r"[-_]+", token) if p]
+    if not parts or parts[0] in _ABOUT:
+        return False
+    return parts[-1] in names or (parts[0] in names and all(p in _HOLDERS for p in parts[1:]))
+
+
 def _left_out(name: str, attributes: str, inside: bool) -> bool:
     if name in _APART or (name == "header" and not inside):
         return True
     if not attributes.strip() or name in ("html", "body", "main", "article"):
         return False
+    names = _NAMES if inside else _NAMES | {"header"}
     for key, value in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), value.strip("\"'").lower()
         if key in ("class", "id"):
-            words = set(re.split(r"[^a-z]+", value))
-            if words & _NAMES or ("header" in words and not inside):
+            if any(_names_other(t, names) for t in value.split()):
                 return True
         elif key == "role" and value in _ROLES or key == "hidden" or (key == "aria-hidden" and value == "true"):
             return True
@@ -52,14 +66,29 @@ def _left_out(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def page_lines(page: str) -> tuple[list[str], list[bool]]:
-    """Lines of a page, and which of them lie in its article (or main) element."""
+def page_lines(page: str) -> tuple[list[str], list[bool], list[bool]]:
+    """Lines of a page, which of them lie in its article (or main) element, and which markup names as no main text.
+
+    An element that holds the article is never left out; where articles lie both inside and outside of such elements, those
+    outside are meant.
+    """
     wanted = "article" if re.search(r"<article[\s>]", page, re.I) else "main" if re.search(r"<main[\s>]", page, re.I) else ""
+    found = _read(page, wanted, False)
+    if wanted and not any(found[1]):
+        found = _read(page, wanted, True)
+    return found
+
+
+def _read(page: str, wanted: str, opened: bool) -> tuple[list[str], list[bool], list[bool]]:
+    """``opened``: an article ends the leaving out of what is around it."""
     lines: list[str] = []
     marks: list[bool] = []
+    others: list[bool] = []
     held: list[str] = []
+    kept: list[str] = []  # of the sentence around an inline element that is left out
+    stack: list[str] = []  # open elements that are neither inline nor left out
     inside = 0
-    skipped, depth = "", 0  # the element being left out, and how often it is open
+    skipped, depth, within = "", 0, []  # the element being left out, how often it is open, what is open inside it
     at = 0
 
     def close() -> None:
@@ -67,39 +96,75 @@ def page_lines(page: str) -> tuple[list[str], list[bool]]:
         held.clear()
         if text:
             lines.append(text)
-            marks.append(inside > 0)
+            marks.append(inside > 0 and not skipped)
+            others.append(bool(skipped))
+
+    def leave() -> None:
+        nonlocal skipped
+        close()
+        skipped = ""
+        held.extend(kept)
+        kept.clear()
 
     for tag in _TAG.finditer(page):
         if tag.start() < at:
             continue
-        if not skipped:
-            held.append(page[at: tag.start()])
+        held.append(page[at: tag.start()])
         at = tag.end()
         if not tag[2]:
             continue
         name, ends = tag[2].lower(), bool(tag[1])
         alone = name in _VOID or tag[3].endswith("/")
-        if skipped:
-            if name == skipped and not alone:
-                depth += -1 if ends else 1
-                if not depth:
-                    skipped = ""
-            continue
         if name in _RAW and not ends and not alone:
             after = re.compile(rf"</{name}\s*>", re.I).search(page, at)
             at = after.end() if after else len(page)
             continue
-        if name not in _INLINE:
+        flows = name in _INLINE or name == "button"
+        if skipped and not ends and not flows and depth == 1 and skipped in _CLOSED_BY_NEXT and name in (_CLOSED_BY_NEXT[skipped] or {name}):
+            leave()  # its end tag is implied
+        if skipped and opened and name == wanted and not ends:
+            leave()
+        if skipped:
+            if not flows:
+                close()
+            if alone:
+                continue
+            if name == skipped:
+                depth += -1 if ends else 1
+                if not depth:
+                    leave()
+                continue
+            if not ends:
+                if not flows:
+                    within.append(name)
+                continue
+            if flows or name in within:
+                if name in within:
+                    del within[len(within) - 1 - within[::-1].index(name):]
+                continue
+            if name not in stack:
+                continue
+            leave()  # an element around it ends, so it has ended too
+        if not flows:
             close()
         if not ends and not alone and _left_out(name, tag[3], inside > 0):
-            close()
-            skipped, depth = name, 1
-        elif name == wanted:
+            if flows:
+                kept.extend(held)
+                held.clear()
+            skipped, depth, within = name, 1, []
+            continue
+        if name == wanted:
             inside = max(0, inside + (-1 if ends else 1))
-    if not skipped:
-        held.append(page[at:])
+        if not flows and not alone:
+            if not ends:
+                stack.append(name)
+            elif name in stack:
+                del stack[len(stack) - 1 - stack[::-1].index(name):]
+    held.append(page[at:])
+    if skipped:
+        leave()
     close()
-    return lines, marks
+    return lines, marks, others
 
 
 def _lengths(a: list[int], b: list[int]) -> np.ndarray:
@@ -148,14 +213,15 @@ def _line_hash(line: str) -> int:
     return xxhash.xxh64_intdigest(line) - (1 << 63)
 
 
-def _kept(lines: list[str], marks: list[bool], hashes: list[int], other: list[int] | None) -> str:
+def _kept(lines: list[str], marks: list[bool], others: list[bool], hashes: list[int], other: list[int] | None) -> str:
     """Text of a page, given the line hashes of its pair."""
-    shared = set(common_lines(hashes, other)) if other and not all(marks) else set()
-    if other and len(shared) < len(lines):  # else it is a copy
-        lines = [x for i, (x, m) in enumerate(zip(lines, marks, strict=True)) if m or i not in shared]
+    shared = set(common_lines(hashes, other)) if other else set()
+    main = [i for i, o in enumerate(others) if not o]
+    if other and any(i not in shared for i in main):  # else it is a copy
+        main = [i for i in main if marks[i] or i not in shared]
     elif any(marks):
-        lines = [x for x, m in zip(lines, marks, strict=True) if m]
-    return "\n".join(lines)
+        main = [i for i in main if marks[i]]
+    return "\n".join(lines[i] for i in main)
 
 
 _HOST = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)"
@@ -204,12 +270,12 @@ def _compared(batches):
             host, bucket, guest, html_at = (names.index(n) for n in ("host", "bucket", "guest", "html"))
             columns = [batch.column(k).to_pylist() for k in (bucket, guest, host, html_at)]
             for i, (b, g, h, page) in enumerate(zip(*columns, strict=True)):
-                lines, marks = page_lines(page)
-                yield (b, h), g, batch.slice(i, 1), lines, marks, [_line_hash(x) for x in lines]
+                found = page_lines(page)
+                yield (b, h), g, batch.slice(i, 1), found, [_line_hash(x) for x in found[0]]
 
     def told(page, pair):
-        _, _, row, lines, marks, hashes = page
-        text = _kept(lines, marks, hashes, pair[5] if pair else None)
+        _, _, row, found, hashes = page
+        text = _kept(*found, hashes, pair[4] if pair else None)
         return row.column(row.schema.names.index("page_id")), row.column(row.schema.names.index("url0")), text
 
     def one(page, before, after):
@@ -239,8 +305,7 @@ def _alone(batches):
     for batch in batches:
         texts = []
         for page in batch.column(2).to_pylist():
-            lines, marks = page_lines(page or "")
-            texts.append(_kept(lines, marks, [], None))
+            texts.append(_kept(*page_lines(page or ""), [], None))
         yield pa.record_batch([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 

@@ -123,6 +123,30 @@ def test_differencing_decides_outside_the_article(spark):
     assert got == {1: "Lead one\nNotice\na", 2: "Lead two\nNotice\nb", 3: "Notice\nc", 4: "Notice\nd", 5: "Notice\nd"}
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ('<div class="page has-sidebar"><article><p>a</p></article></div>', "a"), ("<form><article><p>a</p></article></form>", "a"),
+    ("<nav><a>menu</a><article><p>a</p></article>", "a"), ('<article><p class="share-price">42</p><section id="comment-on-the-law"><p>b</p></section></article>', "42\nb"),
+    ('<article><p class="ad">buy<p>a</p><p>b</p></article><p>after', "a\nb"), ("<article><p>one <button>go</button> sentence</p></article>", "one sentence"),
+    ('<article><p>one <span class="ad">buy</span>sentence</p><ul><li class="ad">x<li>y</ul></article>', "one sentence\ny"),
+    ("<article><p>a</p></article><aside><article><p>teaser</p></article></aside>", "a"), ('<div class="ad-slot"><p>x</p></div><article><nav>m<p>n</article><p>z', "z"),
+    ('<article><div class="site-nav">m</div><p>a</p><div class="cookie-banner"><div>c</div>d</div></article>', "a"), ("<article><form><p>x</article>", ""), ("<p>a</nav></div>b", "a\nb"),
+])
+def test_broken_and_unusual_markup(page, text):
+    lines, marks, others = html_text.page_lines(page)
+    assert html_text._kept(lines, marks, others, [], None) == text
+
+
+def test_differencing_removes_the_menus_of_given_pages(spark):
+    """Menus, headers and footers are compared: on nearly every page that has a pair, differencing removes lines."""
+    pages = spark.read.parquet(f"{SF}/pages.parquet").orderBy("url").limit(100).collect()
+    decided = 0
+    for a, b in zip(pages[:-1], pages[1:], strict=True):
+        if a.url.split("/")[2] == b.url.split("/")[2]:
+            x, y = html_text.page_lines(a.html), html_text.page_lines(b.html)
+            decided += any(not x[1][i] for i in html_text.common_lines([hash(t) for t in x[0]], [hash(t) for t in y[0]]))
+    assert decided > 50
+
+
 @pytest.mark.parametrize("range_pages", [7, 1000])
 def test_pairs_do_not_depend_on_ranges(spark, range_pages):
     """The next page of the host, or the one before for the last, wherever ranges begin; one host has most pages."""
