@@ -136,15 +136,14 @@ def test_broken_and_unusual_markup(page, text):
     assert html_text._kept(lines, marks, others, [], None) == text
 
 
-def test_differencing_removes_the_menus_of_given_pages(spark):
-    """Menus, headers and footers are compared: on nearly every page that has a pair, differencing removes lines."""
-    pages = spark.read.parquet(f"{SF}/pages.parquet").orderBy("url").limit(100).collect()
-    decided = 0
-    for a, b in zip(pages[:-1], pages[1:], strict=True):
-        if a.url.split("/")[2] == b.url.split("/")[2]:
-            x, y = html_text.page_lines(a.html), html_text.page_lines(b.html)
-            decided += any(not x[1][i] for i in html_text.common_lines([hash(t) for t in x[0]], [hash(t) for t in y[0]]))
-    assert decided > 50
+def test_differencing_removes_menus_and_footers():
+    """What markup would drop anyway is compared first: here every menu line goes by the pair."""
+    def page(i):
+        return f"<nav><a>Home</a><p>News</p></nav><article><p>text {i}</p></article><footer>imprint</footer>"
+
+    one, two = html_text.page_lines(page(1)), html_text.page_lines(page(2))
+    gone = html_text.common_lines([hash(x) for x in one[0]], [hash(x) for x in two[0]])
+    assert [one[0][i] for i in gone] == ["Home", "News", "imprint"]
 
 
 @pytest.mark.parametrize("range_pages", [7, 1000])
