@@ -19,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.llm.blocks import tasks
 from rewardloom.llm.common import small_batches, stored
 from rewardloom.llm.tiles import runs
+from rewardloom.plans.blocks import tasks
 from rewardloom.plans.scale import keyed_join, rank_within
 
 SPAN = 10
@@ -81,13 +81,14 @@ def _height(n: Column) -> Column:
     return F.when(n <= 1, 0).otherwise(F.length(F.bin(n - 1)))
 
 
-def _build(nodes: DataFrame, base: int, height: int, name: str) -> tuple[DataFrame, DataFrame]:
+def _build(nodes: DataFrame, base: int, height: int, rows: int, trees: int, name: str) -> tuple[DataFrame, DataFrame]:
     """All trees over nodes (tree, idx, n, digest) that lie at level ``base``: steps (tree, level, idx, step) and roots (tree, digest)."""
-    parts = tasks(nodes.sparkSession, 1 << 30)
     schema = "tree long, level int, idx long, n long, step binary, digest binary"
     steps, roots = [], []
     for up in range(base, base + max(height, 1), SPAN):
         blocks = nodes.select("tree", F.shiftright("idx", SPAN).alias("block"), "idx", "n", "digest")
+        rows = (rows >> SPAN) + trees
+        parts = tasks(nodes.sparkSession, rows)  # a task per block of neighbours at the most
         done = blocks.repartition(parts, "tree", "block").sortWithinPartitions("tree", "block", "idx").mapInArrow(_climb(up), schema)
         done = stored(done, f"{name}-{up}")
         steps.append(done.where("step is not null").select("tree", "level", "idx", "step"))
@@ -169,15 +170,15 @@ def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
     spans = stored(keyed_join(counts, trees, ["lang"]), "spans")
     placed = keyed_join(leaves, spans, ["part", "lang"]).withColumn("idx", F.col("base") + F.col("place") - F.col("first"))
 
-    size = trees.agg(F.max(_height(F.col("n"))).alias("height"), F.count("*").alias("trees")).first()
+    size = trees.agg(F.max(_height(F.col("n"))).alias("height"), F.count("*").alias("trees"), F.sum("n").alias("rows")).first()
     if not size.trees:
         return docs.select("doc_id", *[F.lit(None).cast("string").alias(c) for c in ("leaf", "subroot", "root", "proof_sha256", "folded_root")], F.lit(None).cast("boolean").alias("verified")).limit(0)
     begin = max(size.height, 1)  # the level of the subroots
     height = (size.trees - 1).bit_length()
-    steps, subroots = _build(placed.select("tree", "idx", "n", F.col("leaf").alias("digest")), 0, size.height, "tree")
+    steps, subroots = _build(placed.select("tree", "idx", "n", F.col("leaf").alias("digest")), 0, size.height, size.rows, size.trees, "tree")
     subroots = stored(subroots, "subroots")
     top = subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("idx"), F.lit(size.trees).cast("long").alias("n"), "digest")
-    top_steps, roots = _build(top, begin, height, "top")
+    top_steps, roots = _build(top, begin, height, size.trees, 1, "top")
     root = bytes(roots.first().digest)
 
     passed = trees.withColumn("height", _height(F.col("n"))).where(F.col("height") < begin)

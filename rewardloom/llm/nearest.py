@@ -22,8 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rewardloom.llm.blocks import meet, tasks
 from rewardloom.llm.common import small_batches, stored
+from rewardloom.plans.blocks import meet, tasks
 
 SEED = 12
 MAX_CENTROIDS = 4096
