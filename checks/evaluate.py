@@ -77,6 +77,54 @@ def sections(spark, sf_dir):
     return rounded(E.val_sections(validation(spark, sf_dir)))
 
 
+SPREAD = "sqrt(greatest(sum(case when side='{0}' then score*score*w end)/1000.0 - pow(sum(case when side='{0}' then score*w end)/1000.0, 2), 0))"
+BOTH = f"""bw as (select uid, k, sum(case when side='best' then score*w end)/1000.0 as bm, {SPREAD.format('best')} as bs, sum(case when side='worst' then score*w end)/1000.0 as wm,
+    {SPREAD.format('worst')} as ws from o join g using (uid) join p using (n, rank) group by 1,2)"""
+
+
+@query("e03_best_worst_bootstrap_spread", BOOT + f", {BOTH} select uid, cast(k as bigint) as k, round(bs,6)+0.0 as best_std, round(ws,6)+0.0 as worst_std from bw")
+def bootstrap_spread(spark, sf_dir):
+    return rounded(E.best_worst_bootstrap(rollouts(spark, sf_dir), ["uid"], "score", "rollout_n").select("uid", "k", "best_std", "worst_std"))
+
+
+@query("e04_best_worst_exact_spread", EXACT + """ select uid, cast(k as bigint) as k, round(sqrt(greatest(sum(v*v*a)-pow(sum(v*a),2),0)),6)+0.0 as best_std,
+  round(sqrt(greatest(sum(v*v*b)-pow(sum(v*b),2),0)),6)+0.0 as worst_std from x group by 1,2""")
+def exact_spread(spark, sf_dir):
+    return rounded(E.best_worst_exact(rollouts(spark, sf_dir), ["uid"], "score").select("uid", "k", "best_std", "worst_std"))
+
+
+@query("e06_maj_at_k_spread", MAJ + " select uid, cast(k as bigint) as k, round(stddev_pop(s),6)+0.0 as maj_std from w where q = 1 group by 1,2")
+def maj_spread(spark, sf_dir):
+    return rounded(E.majority_bootstrap(rollouts(spark, sf_dir), ["uid"], "pred", "score", "rollout_n").select("uid", "k", "maj_std"))
+
+
+RESAMPLED = BOOT + MAJ[MAJ.index(", cells as"):].replace(""",
+  g as (select uid, count(*) n from r group by 1)""", "") + f""", {BOTH}, mj as (select uid, k, avg(s) as m, stddev_pop(s) as d from w where q = 1 group by 1,2),
+  src as (select uid, any_value(data_source) as data_source, count(*) as n, avg(score) as a, stddev_pop(score) as s from r group by 1),
+  named as (select data_source, 'mean@' || n as metric, a as value from src union all select data_source, 'std@' || n, s from src where n > 1
+    union all select data_source, 'best@' || k || '/mean', bm from bw join src using (uid) union all select data_source, 'best@' || k || '/std', bs from bw join src using (uid)
+    union all select data_source, 'worst@' || k || '/mean', wm from bw join src using (uid) union all select data_source, 'worst@' || k || '/std', ws from bw join src using (uid)
+    union all select data_source, 'maj@' || k || '/mean', m from mj join src using (uid) union all select data_source, 'maj@' || k || '/std', d from mj join src using (uid)),
+  m as (select data_source, metric, avg(value) as value from named group by 1,2)"""
+
+
+def resampled(spark, sf_dir):
+    df = rollouts(spark, sf_dir).withColumn("acc", F.col("score"))
+    return E.validation_metrics(df, "data_source", "uid", ["acc"], "rollout_n", pred="pred")
+
+
+@query("e01_validation_with_predictions", RESAMPLED + " select data_source, 'acc' as variable, metric, round(value + 1e-9,6)+0.0 as value from m")
+def validation_with_predictions(spark, sf_dir):
+    """As users run it: resampled best, worst and majority, with deviations. Means of few digits may end in a 5, so both sides round beside it."""
+    return rounded(resampled(spark, sf_dir).withColumn("value", F.col("value") + 1e-9))
+
+
+@query("e07_val_sections_with_predictions", RESAMPLED + """, t as (select data_source, max(regexp_extract(metric, '@([0-9]+)', 1)::int) n from m group by 1)
+  select case when regexp_matches(metric, '^(mean|maj|best)') and contains(metric, '@' || n) then 'val-core' else 'val-aux' end || '/' || data_source || '/acc/' || metric as key, round(value + 1e-9,6)+0.0 as value from m join t using (data_source)""")
+def sections_with_predictions(spark, sf_dir):
+    return rounded(E.val_sections(resampled(spark, sf_dir)).withColumn("value", F.col("value") + 1e-9))
+
+
 @query("e08_pass_at_k_rewards", EXACT + " select round(avg(b),6) as mean_best from (select uid, k, sum(v*a) b from x group by 1,2)")
 def pass_at_k(spark, sf_dir):
     out = E.best_worst_exact(rollouts(spark, sf_dir), ["uid"], "score")
