@@ -18,6 +18,7 @@ from rewardloom.plans.scale import gather_lists, top_k
 QUERY_BLOCK = 4096
 STRIPE_ROWS = 1024
 STRIPES = 1024
+DENSE_DIGITS, LEXICAL_DIGITS = 9, 6
 
 
 def _matrix(vectors: pa.Array) -> np.ndarray:
@@ -27,21 +28,23 @@ def _matrix(vectors: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best documents of each query: higher scores first, ties to the document that came first."""
+    """The k best documents of each query: higher scores (to so many digits) first, ties to the document that came first."""
 
     def __init__(self, rows: int, k: int):
         self.k = k
         self.score = np.full((rows, k), -np.inf)
+        self.exact = np.full((rows, k), -np.inf)
         self.doc = np.full((rows, k), None, object)
 
     def found(self, query: pa.Array, doc_type: pa.DataType) -> pa.RecordBatch:
         row, slot = np.nonzero(self.score > -np.inf)
         docs = pa.array(self.doc[row, slot].tolist(), doc_type)
-        return pa.record_batch([query.take(pa.array(row)), docs, pa.array(self.score[row, slot])], names=["query_id", "doc_id", "score"])
+        return pa.record_batch([query.take(pa.array(row)), docs, pa.array(self.exact[row, slot])], names=["query_id", "doc_id", "score"])
 
-    def offer(self, scores: np.ndarray, docs: np.ndarray, rows: np.ndarray | None = None) -> None:
+    def offer(self, exact: np.ndarray, digits: int, docs: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Scores of ``rows`` (all queries by default) and documents in their order; -inf is no hit."""
         rows = np.arange(len(self.score)) if rows is None else rows
+        scores = np.round(exact, digits)
         better = (scores > self.score[rows, -1:]).any(1)
         some = rows[better]
         if not len(some):
@@ -53,6 +56,7 @@ class _Best:
         both = np.hstack([self.score[some], part])
         order = np.argsort(-both, axis=1, kind="stable")[:, : self.k]
         self.score[some] = np.take_along_axis(both, order, 1)
+        self.exact[some] = np.take_along_axis(np.hstack([self.exact[some], exact[better]]), order, 1)
         names = self.doc[some]
         old = order < self.k
         self.doc[some] = np.where(old, np.take_along_axis(names, np.where(old, order, 0), 1), docs[np.where(old, 0, order - self.k)])
@@ -68,7 +72,7 @@ def _searching(k: int, doc_type: pa.DataType, query_type: pa.DataType):
         def take(self, rows):
             docs = np.empty(rows.num_rows, object)
             docs[:] = rows.column("doc_id").to_pylist()
-            self.best.offer(np.round(self.vectors @ _matrix(rows.column("embedding")).T, 9), docs)
+            self.best.offer(self.vectors @ _matrix(rows.column("embedding")).T, DENSE_DIGITS, docs)
             return iter(())
 
         def done(self):
@@ -88,10 +92,10 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY
     held = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("query_id is not null and embedding is not null")
     rows = corpus.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).where("doc_id is not null and embedding is not null")
     arrow = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((held, "query_id"), (rows, "doc_id"))}
-    return _met(spark, held, rows, k, block, held.count(), rows.count(), _searching(k, arrow["doc_id"], arrow["query_id"]))
+    return _met(spark, held, rows, k, block, held.count(), rows.count(), DENSE_DIGITS, _searching(k, arrow["doc_id"], arrow["query_id"]))
 
 
-def _met(spark, held: DataFrame, rows: DataFrame, k: int, block: int, queries: int, docs: int, search) -> DataFrame:
+def _met(spark, held: DataFrame, rows: DataFrame, k: int, block: int, queries: int, docs: int, digits: int, search) -> DataFrame:
     """Blocks of queries meet stripes of documents; the best of all stripes."""
     blocks = max(1, math.ceil(queries / block))
     stripes = max(1, min(STRIPES, math.ceil(docs / STRIPE_ROWS)))
@@ -101,7 +105,8 @@ def _met(spark, held: DataFrame, rows: DataFrame, k: int, block: int, queries: i
     rows = rows.withColumn("stripe", own("doc_id", stripes)).withColumn("block", every(blocks))
     schema = f"query_id {dict(held.dtypes)['query_id']}, doc_id {dict(rows.dtypes)['doc_id']}, score double"
     hits = meet(held, rows, ["block", "stripe"], tasks(spark, blocks * stripes), search, schema, ["doc_id"])
-    return top_k(hits, ["query_id"], ["score desc", "doc_id"], k).select("query_id", "doc_id", "rank", "score")
+    hits = hits.withColumn("__s", F.round("score", digits))
+    return top_k(hits, ["query_id"], ["__s desc", "doc_id"], k).select("query_id", "doc_id", "rank", "score")
 
 
 def terms(text: Column) -> Column:
@@ -148,7 +153,7 @@ def _scoring(k: int, k1: float, b: float, average: float, doc_type: pa.DataType,
                     scores[place[asking[asked]][:, None], doc[lo:hi][None, :]] += self.idf[self.first[t]: self.last[t]][asked][:, None] * weight[lo:hi][None, :]
             docs = np.empty(len(sizes), object)
             docs[:] = rows.column("doc_id").to_pylist()
-            self.best.offer(np.where(scores > 0, np.round(scores, 6), -np.inf), docs, np.flatnonzero(live))
+            self.best.offer(np.where(scores > 0, scores, -np.inf), LEXICAL_DIGITS, docs, np.flatnonzero(live))
             return iter(())
 
         def done(self):
@@ -174,7 +179,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b:
     idf = F.log(1 + (F.lit(float(total.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     held = asked.join(seen, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf)).alias("weights"))
     arrow = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((held, "query_id"), (docs, "doc_id"))}
-    return _met(spark, held, docs, k, block, queries.count(), total.n, _scoring(k, k1, b, total.average or 1.0, arrow["doc_id"], arrow["query_id"]))
+    found = _met(spark, held, docs, k, block, queries.count(), total.n, LEXICAL_DIGITS, _scoring(k, k1, b, total.average or 1.0, arrow["doc_id"], arrow["query_id"]))
+    return found.withColumn("score", F.round("score", LEXICAL_DIGITS))
 
 
 def split_title_text(contents: Column) -> Column:
