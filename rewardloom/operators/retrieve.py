@@ -18,6 +18,7 @@ from rewardloom.plans.scale import gather_lists, top_k
 QUERY_BLOCK = 4096
 STRIPE_ROWS = 1024
 STRIPES = 1024
+HELD_VALUES = 8_000_000
 DENSE_DIGITS, LEXICAL_DIGITS = 9, 6
 
 
@@ -44,6 +45,8 @@ class _Best:
     def offer(self, exact: np.ndarray, digits: int, docs: np.ndarray, rows: np.ndarray | None = None) -> None:
         """Scores of ``rows`` (all queries by default) and documents in their order; -inf is no hit."""
         rows = np.arange(len(self.score)) if rows is None else rows
+        near = (exact > self.score[rows, -1:] - 10.0**-digits).any(1)  # rounding moves a score by half of that
+        rows, exact = rows[near], exact[near]
         scores = np.round(exact, digits)
         better = (scores > self.score[rows, -1:]).any(1)
         some = rows[better]
@@ -62,7 +65,7 @@ class _Best:
         self.doc[some] = np.where(old, np.take_along_axis(names, np.where(old, order, 0), 1), docs[np.where(old, 0, order - self.k)])
 
 
-def _searching(k: int, doc_type: pa.DataType, query_type: pa.DataType):
+def _searching(k: int, block: int, doc_type: pa.DataType, query_type: pa.DataType):
     class Search:
         def __init__(self, held: pa.Table):
             self.query = held.column("query_id").combine_chunks()
@@ -72,7 +75,10 @@ def _searching(k: int, doc_type: pa.DataType, query_type: pa.DataType):
         def take(self, rows):
             docs = np.empty(rows.num_rows, object)
             docs[:] = rows.column("doc_id").to_pylist()
-            self.best.offer(self.vectors @ _matrix(rows.column("embedding")).T, DENSE_DIGITS, docs)
+            passing = _matrix(rows.column("embedding")).T
+            for at in range(0, len(self.vectors), block):
+                some = np.arange(at, min(at + block, len(self.vectors)))
+                self.best.offer(self.vectors[some[0]: some[-1] + 1] @ passing, DENSE_DIGITS, docs, some)
             return iter(())
 
         def done(self):
@@ -85,20 +91,32 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, block: int = QUERY
     """(query_id, doc_id, rank, score) of the k corpus vectors closest in cosine, ties (to nine digits) by smaller doc_id.
 
     ``queries`` is (query_id, embedding), ``corpus`` (doc_id, embedding); rows without id or vector take no part, all vectors are
-    equally long. Queries are dealt into blocks and the corpus into stripes; a block is held while a stripe passes by in the
-    order of doc_id, and k hits per query and stripe are shuffled. Nothing of either side passes the driver.
+    equally long. Queries are dealt into groups and the corpus into stripes, about as many of each, so that both sides are shuffled
+    a fixed number of times until the queries of a group would hold more than ``HELD_VALUES`` numbers. A group is held while a stripe
+    passes by in the order of doc_id, multiplied ``block`` queries at a time, and k hits per query and stripe are shuffled. Nothing of
+    either side passes the driver.
     """
     spark = queries.sparkSession
-    held = queries.select("query_id", F.col("embedding").cast("array<double>").alias("embedding")).where("query_id is not null and embedding is not null")
-    rows = corpus.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")).where("doc_id is not null and embedding is not null")
+    held = queries.select("query_id", _numbers(queries)).where("query_id is not null and embedding is not null")
+    rows = corpus.select("doc_id", _numbers(corpus)).where("doc_id is not null and embedding is not null")
     arrow = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((held, "query_id"), (rows, "doc_id"))}
-    return _met(spark, held, rows, k, block, held.count(), rows.count(), DENSE_DIGITS, _searching(k, arrow["doc_id"], arrow["query_id"]))
+    found = held.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    docs = rows.count()
+    meetings = tasks(spark, math.ceil(found.n / block) * math.ceil(docs / STRIPE_ROWS))
+    fit = max(block, HELD_VALUES // max(found.width or 1, 1))
+    groups = max(1, math.ceil(found.n / fit), min(math.ceil(found.n / block), math.ceil(math.sqrt(meetings))))
+    stripes = max(1, min(math.ceil(docs / STRIPE_ROWS), math.ceil(meetings / groups)))
+    return _met(spark, held, rows, k, groups, stripes, DENSE_DIGITS, _searching(k, block, arrow["doc_id"], arrow["query_id"]))
 
 
-def _met(spark, held: DataFrame, rows: DataFrame, k: int, block: int, queries: int, docs: int, digits: int, search) -> DataFrame:
+def _numbers(df: DataFrame) -> Column:
+    """Vectors as doubles; floats stay as they are until they are multiplied, at half the bytes."""
+    kind = dict(df.dtypes)["embedding"]
+    return F.col("embedding").cast(kind if kind == "array<float>" else "array<double>").alias("embedding")
+
+
+def _met(spark, held: DataFrame, rows: DataFrame, k: int, blocks: int, stripes: int, digits: int, search) -> DataFrame:
     """Blocks of queries meet stripes of documents; the best of all stripes."""
-    blocks = max(1, math.ceil(queries / block))
-    stripes = max(1, min(STRIPES, math.ceil(docs / STRIPE_ROWS)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     own = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     held = held.withColumn("block", own("query_id", blocks)).withColumn("stripe", every(stripes))
@@ -179,7 +197,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int, k1: float = 0.9, b:
     idf = F.log(1 + (F.lit(float(total.n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
     held = asked.join(seen, "term").groupBy("query_id").agg(F.collect_list(F.struct("term", idf)).alias("weights"))
     arrow = {c: to_arrow_type(df.schema[c].dataType) for df, c in ((held, "query_id"), (docs, "doc_id"))}
-    found = _met(spark, held, docs, k, block, queries.count(), total.n, LEXICAL_DIGITS, _scoring(k, k1, b, total.average or 1.0, arrow["doc_id"], arrow["query_id"]))
+    blocks = max(1, math.ceil(queries.count() / block))
+    stripes = max(1, min(STRIPES, math.ceil(total.n / STRIPE_ROWS)))
+    found = _met(spark, held, docs, k, blocks, stripes, LEXICAL_DIGITS, _scoring(k, k1, b, total.average or 1.0, arrow["doc_id"], arrow["query_id"]))
     return found.withColumn("score", F.round("score", LEXICAL_DIGITS))
 
 
