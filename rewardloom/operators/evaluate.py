@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Sequence
 from functools import lru_cache
 
@@ -103,16 +104,35 @@ def _resamples(n: int, k: int, draws: int, seed: int) -> np.ndarray:
     return (np.array(digits, dtype=np.float64) / 2.0**52 * n).astype(np.int64).reshape(draws, k)
 
 
-def _majority_of_resamples(codes: np.ndarray, values: np.ndarray, k: int, draws: int, seed: int) -> tuple[float, float]:
-    """Majority value per resample (ties to the first drawn), then mean and deviation."""
+def _wins(codes: np.ndarray, k: int, draws: int, seed: int) -> np.ndarray:
+    """How many resamples the first-drawn row of the majority answer (ties to the first drawn) was each row of the group."""
     picked = _resamples(len(codes), k, draws, seed)
     drawn = codes[picked]
     counts = (drawn[:, :, None] == drawn[:, None, :]).sum(axis=2) if k <= 64 else np.stack(
         [np.bincount(row, minlength=codes.max() + 1)[row] for row in drawn]
     )
     first = counts.argmax(axis=1)
-    won = values[picked[np.arange(draws), first]]
-    return float(won.mean()), float(won.std())
+    return np.bincount(picked[np.arange(draws), first], minlength=len(codes))
+
+
+@lru_cache(maxsize=16_384)
+def _known_wins(codes: tuple[int, ...], k: int, draws: int, seed: int) -> np.ndarray:
+    return _wins(np.array(codes), k, draws, seed)
+
+
+SHORT_GROUP = 32  # groups up to this size often repeat a pattern of equal answers, and with it the outcome of all draws
+
+
+def _majority_of_resamples(answers: np.ndarray, values: np.ndarray, k: int, draws: int, seed: int) -> tuple[float, float]:
+    """Mean and deviation of the majority value over all resamples; which row wins depends on which answers are equal only."""
+    seen: dict = {}
+    codes = tuple([seen.setdefault(a, len(seen)) for a in answers.tolist()])
+    wins = _known_wins(codes, k, draws, seed) if len(codes) <= SHORT_GROUP else _wins(np.array(codes), k, draws, seed)
+    if not (values - values == 0).all():  # a value that is not finite counts only where it wins
+        values, wins = values[wins > 0], wins[wins > 0]
+    mean = float(wins @ values) / draws
+    off = values - mean
+    return mean, math.sqrt(float(wins @ (off * off)) / draws)
 
 
 def majority_bootstrap(
@@ -138,7 +158,7 @@ def majority_bootstrap(
     @F.pandas_udf(result)
     def resample(p: pd.Series, v: pd.Series, k: pd.Series) -> pd.DataFrame:
         rows = [
-            _majority_of_resamples(pd.factorize(np.asarray(a, dtype=object), use_na_sentinel=False)[0], np.asarray(b, dtype=float), int(c), draws, seed)
+            _majority_of_resamples(np.asarray(a, dtype=object), np.asarray(b, dtype=float), int(c), draws, seed)
             for a, b, c in zip(p, v, k, strict=True)
         ]
         return pd.DataFrame(rows, columns=["mean", "std"])
