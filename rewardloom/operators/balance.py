@@ -12,15 +12,16 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rewardloom.operators.reduce import workload
-from rewardloom.plans.scale import keyed_join, rank_within, scan_in_order, with_group_stats
+from rewardloom.plans.scale import keyed_join, rank_within, run_edges, scan_in_order, with_group_stats
 from rewardloom.session import ensure_checkpoint_dir
 
 BLOCK = 65_536
@@ -121,6 +122,29 @@ def snake(df: DataFrame, k: Column | int, work: str, row: str, by: Sequence[str]
     return ranked.withColumn("part", part.cast("long")).drop("__r")
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first ``keys`` columns, which lie together; a value's rows may span batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        edges = sorted({e for c in range(keys) for e in run_edges(batch.column(c))})
+        if held and not all(_same(held[-1].column(c)[-1].as_py(), batch.column(c)[0].as_py()) for c in range(keys)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, end in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(at, end - at))
+            if end < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _same(a, b) -> bool:
+    return a == b or (a != a and b != b)
+
+
 def _differenced(items: DataFrame, batch: str, row: str, equal_size: bool, block: int) -> DataFrame:
     """(batch, row, part) of items (batch, row, __w, __k), where __k is one number per batch."""
     kinds = dict(items.dtypes)
@@ -136,13 +160,15 @@ def _differenced(items: DataFrame, batch: str, row: str, equal_size: bool, block
         blocks = math.ceil(sizes.n / block)
     else:
         items = items.withColumn("__block", F.lit(0).cast("long"))
-    schema = f"`{batch}` {kinds[batch]}, `{row}` {kinds[row]}, __w double, __k long, __block long, part long"
+    schema = f"`{batch}` {kinds[batch]}, __block long, `{row}` {kinds[row]}, __w double, __k long"
 
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(row, kind="stable")
-        return pdf.assign(part=largest_differencing(pdf["__w"].to_numpy(), int(pdf["__k"].iloc[0]), equal_size))[[batch, row, "__w", "__k", "__block", "part"]]
+    def split(batches):
+        for block in _runs(batches, 2):
+            part = largest_differencing(block.column(3).to_numpy(), block.column(4)[0].as_py(), equal_size)
+            yield from block.append_column("part", pa.array(part)).to_batches()
 
-    parts = items.groupBy(batch, "__block").applyInPandas(split, schema)
+    items = items.select(batch, "__block", row, "__w", "__k").repartition(F.col(f"`{batch}`"), F.col("__block"))
+    parts = items.sortWithinPartitions(F.col(f"`{batch}`"), "__block", F.col(f"`{row}`")).mapInArrow(split, f"{schema}, part long")
     if blocks > 1:
         ensure_checkpoint_dir(items.sparkSession)
         parts = parts.checkpoint()
