@@ -96,14 +96,21 @@ def best_worst_bootstrap(df: DataFrame, keys: Sequence[str], value: str, order:
     )
 
 
-@lru_cache(maxsize=8)
 def _resamples(n: int, k: int, draws: int, seed: int) -> np.ndarray:
-    """Row indices of every resample of a group of n, shape (draws, k)."""
+    """Row indices of every resample of a group of n, shape (draws, k); those of short groups are few and kept together."""
+    return (_short_draws if n <= SHORT_GROUP else _long_draws)(n, k, draws, seed)
+
+
+def _drawn_rows(n: int, k: int, draws: int, seed: int) -> np.ndarray:
     cells = np.arange(draws * k)
     digits = [int(hashlib.md5(f"{seed}|{k}|{c}".encode()).hexdigest()[:13], 16) for c in cells]
     return (np.array(digits, dtype=np.float64) / 2.0**52 * n).astype(np.int64).reshape(draws, k)
 
 
+_short_draws = lru_cache(maxsize=256)(_drawn_rows)
+_long_draws = lru_cache(maxsize=8)(_drawn_rows)
+
+
 def _wins(codes: np.ndarray, k: int, draws: int, seed: int) -> np.ndarray:
     """How many resamples the first-drawn row of the majority answer (ties to the first drawn) was each row of the group."""
     picked = _resamples(len(codes), k, draws, seed)

@@ -91,3 +91,11 @@ def test_dense_search_copies_neither_side_once_per_block(spark, monkeypatch):
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
     best = np.argsort(-(unit @ unit.T), axis=1, kind="stable")[:, :3]
     assert {(r.query_id, r.rank): r.doc_id for r in out} == {(q, j + 1): int(best[q, j]) for q in range(200) for j in range(3)}
+
+
+def test_resamples_of_all_short_sizes_are_kept():
+    evaluate._short_draws.cache_clear()
+    for _ in range(2):
+        for n in range(2, 20):
+            evaluate._resamples(n, 2, 10, 42)
+    assert evaluate._short_draws.cache_info().misses == 18
