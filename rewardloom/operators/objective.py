@@ -127,13 +127,6 @@ def _token_rows(df: DataFrame, row: list[str], mask: str, weights: str | None) -
     return long.select(*row, "pos", *cols).withColumn("gap", F.col("logp") - F.col("old_logp"))
 
 
-def _centred(valid: DataFrame) -> DataFrame:
-    means = valid.agg(F.avg("advantages").alias("__ma"), F.avg("logp").alias("__ml"))
-    return with_scalars(valid, means).withColumn(
-        "cov", (F.col("advantages") - F.col("__ma")) * (F.col("logp") - F.col("__ml"))
-    )
-
-
 def _long_loss(tokens: DataFrame, row: list[str], mode: str, **options) -> DataFrame:
     if mode == "token-mean" and not options:
         return tokens.agg((F.sum(F.col("loss") * F.col("m")) / F.sum("m")).alias("pg_loss"))
@@ -181,18 +174,21 @@ def loss_kl_cov(
     """Adds the absolute divergence to the loss of the tokens with the largest covariance."""
     row = list(row)
     tokens = _token_rows(df, row, mask, weights)
-    valid = tokens.where("m > 0")
-    covered = _centred(valid)
-    count = max(1, int(_valid_tokens(df, mask) * ratio))
-    edge = nth_row(covered, ["cov desc", *row, "pos"], count)
+    # One pass for every figure of the whole table; the rest takes them as constants.
+    on = lambda c: F.when(F.col("m") > 0, c)
+    whole = tokens.agg(F.avg(on(F.col("advantages"))).alias("ma"), F.avg(on(F.col("logp"))).alias("ml"), F.sum("m").alias("n"),
+                       (F.sum(on(F.abs("gap"))) / (F.sum(on(F.col("m"))) + EPS)).alias("kl")).first()
+    known = lambda v: F.lit(v).cast("double")
+    covered = tokens.where("m > 0").withColumn("cov", (F.col("advantages") - known(whole.ma)) * (F.col("logp") - known(whole.ml)))
+    count = max(1, int((whole.n or 0) * ratio))
+    edge = nth_row(covered, ["cov desc", *row, "pos"], count, max(1, int(whole.n or 0)))
     edge = edge.select(F.struct((-F.col("cov")).alias("c0"), *[F.col(c) for c in row], "pos").alias("__edge"))
     marked = with_scalars(covered, edge)
     own = F.struct((-F.col("cov")).alias("c0"), *[F.col(c) for c in row], F.col("pos"))
     plain = -F.col("advantages") * F.exp("gap")
     loss = plain + F.when(own <= F.col("__edge"), kl_coef * F.abs("gap")).otherwise(0.0)
     final = marked.withColumn("loss", loss * F.col(weights) if weights else loss)
-    metrics = valid.agg((F.sum(F.abs("gap")) / (F.sum("m") + EPS)).alias("ppo_kl"))
-    return with_scalars(_long_loss(final, row, mode, **options), metrics)
+    return _long_loss(final, row, mode, **options).withColumn("ppo_kl", known(whole.kl))
 
 
 @register_objective("geo_mean")

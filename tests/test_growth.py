@@ -4,6 +4,7 @@ import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rewardloom.operators import balance, evaluate, retrieve
 from rewardloom.plans import scale
@@ -99,3 +100,22 @@ def test_resamples_of_all_short_sizes_are_kept():
         for n in range(2, 20):
             evaluate._resamples(n, 2, 10, 42)
     assert evaluate._short_draws.cache_info().misses == 18
+
+
+def test_a_long_prefix_is_found_without_numbering_rows(spark, monkeypatch):
+    numbered = []
+    real = scale.rank_within
+    monkeypatch.setattr(scale, "rank_within", lambda *a, **k: numbered.append(1) or real(*a, **k))
+    monkeypatch.setattr(scale, "DIRECT_LIMIT", 10)
+    monkeypatch.setattr(scale, "SELECT_SAMPLE", 400)
+    monkeypatch.setattr(scale, "SELECT_ROWS", 300)
+    value = "case when id % 11 = 0 then null when id % 13 = 0 then double('nan') else (id * 7919) % 1009 / 3.0D end"
+    df = spark.range(6000).selectExpr("id", f"{value} as v")
+    for order, sort in ((["v desc", "id"], [F.col("v").desc(), "id"]), (["v", "id desc"], ["v", F.col("id").desc()])):
+        want = [r.id for r in df.orderBy(*sort).collect()]
+        for n, rows in ((11, None), (600, 6000), (3000, 5000), (5999, 9000), (7000, None)):
+            assert scale.nth_row(df, order, n, rows).first().id == want[min(n, 6000) - 1]
+    assert not numbered
+    same = df.selectExpr("1 as v", "2 as id")
+    assert scale.nth_row(same, ["v", "id"], 3000).first().id == 2
+    assert scale.nth_row(df.limit(0), ["v", "id"], 3000).first() is None
