@@ -119,3 +119,22 @@ def test_a_long_prefix_is_found_without_numbering_rows(spark, monkeypatch):
     same = df.selectExpr("1 as v", "2 as id")
     assert scale.nth_row(same, ["v", "id"], 3000).first().id == 2
     assert scale.nth_row(df.limit(0), ["v", "id"], 3000).first() is None
+
+
+def test_ranges_of_positions_are_found_by_the_batch(spark):
+    kinds = "a double, b string, c date, d boolean, e binary, id long"
+    df = spark.range(3000).selectExpr(
+        "case when id % 11 = 0 then null when id % 13 = 0 then double('nan') when id % 17 = 0 then -0.0D else (id * 7919) % 7 / 3.0D end as a",
+        "case when id % 5 = 0 then null else concat('\u00e9', cast(id % 3 as string)) end as b",
+        "date_add(date'1995-01-01', cast(id % 4 as int)) as c", "id % 2 = 0 as d", "cast(cast(id % 3 as string) as binary) as e", "id")
+    assert [t for _, t in df.dtypes] == [k.split()[1].replace("long", "bigint") for k in kinds.split(", ")]
+    for order in (["a", "b desc", "c", "d desc", "e", "id"], ["b", "a desc", "id desc"], ["e desc", "d", "a", "id"]):
+        count, cuts = scale._cut_points(df, ["c"], order, 30, 3000)
+        marked = df.withColumn("__pos", scale._position(["c"], order))
+        number = scale._range_number(df, ["c"], order, count, cuts)
+        rows = marked.select(number.alias("x"), scale._range_id(df, ["c"], order, count, cuts).alias("y")).collect()
+        assert count > 20 and [r.x for r in rows] == [r.y for r in rows]
+    plan = scale.rank_within(df, [], ["a", "id"], "r", rows_per_range=200)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "aggregate(" not in plan
+    nested = spark.sql("select array(id) as a from range(50)")
+    assert [r.r for r in scale.rank_within(nested, [], ["a"], "r", rows_per_range=9).orderBy("a").collect()] == list(range(50))
