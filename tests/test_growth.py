@@ -138,3 +138,27 @@ def test_ranges_of_positions_are_found_by_the_batch(spark):
     assert "ArrowEvalPython" in plan and "aggregate(" not in plan
     nested = spark.sql("select array(id) as a from range(50)")
     assert [r.r for r in scale.rank_within(nested, [], ["a"], "r", rows_per_range=9).orderBy("a").collect()] == list(range(50))
+
+
+def test_staging_measures_orders_once(spark, folder, monkeypatch):
+    from checks import base
+
+    made = []
+    real = base.rank_within
+    monkeypatch.setattr(base, "rank_within", lambda *a, **k: made.append(k) or real(*a, **k))
+    df, rows = base.derive_rollouts(spark, folder, True)
+    assert rows == 21 and made == [{"rows": 21, "largest": 6}]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+    got = df.orderBy("row_idx").select("row_idx", "uid", "rollout_n").collect()
+    assert [tuple(r) for r in got] == [(i, k, n) for i, (k, n) in enumerate((k, n) for k in range(6) for n in range(k + 1))]
+
+
+def test_a_known_largest_group_saves_measuring(spark, monkeypatch):
+    df = spark.range(400).selectExpr("id % 3 as k", "id")
+    want = [(i % 3, i, i // 3) for i in range(400)]
+    for largest in (None, 134):
+        out = scale.rank_within(df, ["k"], ["id"], "r", rows=400, rows_per_range=50, largest=largest)
+        assert sorted((r.k, r.id, r.r) for r in out.collect()) == sorted(want)
+    plan = scale.rank_within(df, ["k"], ["id"], "r", rows=400, rows_per_range=200, largest=134)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan and "Aggregate" not in plan
