@@ -44,6 +44,18 @@ def test_staged_rollouts_hold_no_tokens_and_every_row_its_place(spark, folder):
     assert "logp" not in base.tokens(spark, folder, "values").columns
 
 
+def test_staging_writes_where_rows_lie_in_bounded_files(spark, folder, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from checks import base
+
+    monkeypatch.setattr(DataFrame, "repartition", lambda *a: pytest.fail("rows are shuffled once more"))
+    monkeypatch.setattr(base, "ROWS_PER_FILE", 2)
+    monkeypatch.setattr(base, "_STAGED", {})
+    staged = base.staged(spark, folder)
+    assert staged.count() == 21 and len(staged.inputFiles()) >= 11
+
+
 def test_equal_patterns_of_answers_share_their_resamples():
     evaluate._known_wins.cache_clear()
     values = np.array([1.0, 2.0, 5.0])
