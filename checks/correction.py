@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from checks.base import T, query, r6, rounded, tokens
-from rewardloom.functions import seq
+from rewardloom.functions import scan
 from rewardloom.operators import correction as C
 from rewardloom.operators import objective as L
 
@@ -56,8 +56,8 @@ for _level, _hi in (("token", 1.05), ("sequence", 2.0), ("geometric", 1.005)):
 
 
 def _sums(df, array):
-    tokens_ = seq.flat(df, [array], "mask", ["uid", "rollout_n"])
-    return tokens_.groupBy("uid", "rollout_n").agg(r6(F.sum(array), 5).alias(f"{array}_sum"))
+    rows = df.where(F.size("mask") > 0).select("uid", "rollout_n", scan.total(array).alias("s"))
+    return rows.groupBy("uid", "rollout_n").agg(r6(F.sum("s"), 5).alias(f"{array}_sum"))
 
 
 @query("c01_is_weights_token", f"""with {T}, {X}, w as (select *, least(exp(d)*mask, 1.05) w from x), m as (select sum(w*mask)/(sum(mask)+1e-8) m from w)

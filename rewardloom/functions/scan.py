@@ -43,6 +43,58 @@ def row_scan(fn: Callable[..., np.ndarray], *lists: pa.ListArray) -> pa.Array:
     return _on_matrices(fn, lists)
 
 
+class Zipped:
+    """Tokens of list columns side by side as ``arrays_zip`` lays them: a shorter list goes on as nulls, and a row with a null list is null.
+
+    ``values`` and ``nulls`` have one array per column (the value of a null is any), ``row`` is the row of each token.
+    """
+
+    def __init__(self, *lists: pa.ListArray):
+        own = [np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64) for x in lists]
+        self.known = ~np.logical_or.reduce([x.is_null().to_numpy(zero_copy_only=False) for x in lists])
+        self.lengths = np.where(self.known, np.maximum.reduce(own), 0)
+        self.row = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        self.values, self.nulls = [], []
+        for x, sizes in zip(lists, own, strict=True):
+            flat = x.flatten()
+            null = flat.is_null().to_numpy(zero_copy_only=False)
+            value = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+            if not np.array_equal(sizes, self.lengths):
+                place = np.arange(len(self.row)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+                # One null behind the tokens stands for those a shorter list lacks.
+                at = np.where(place < sizes[self.row], (np.cumsum(sizes) - sizes)[self.row] + place, len(value))
+                value, null = np.append(value, 0.0)[at], np.append(null, True)[at]
+            self.values.append(value)
+            self.nulls.append(null)
+
+    def lists(self, values: np.ndarray) -> pa.Array:
+        """One value per token, as lists."""
+        offsets = pa.array(np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int32))
+        return pa.ListArray.from_arrays(offsets, pa.array(values), mask=pa.array(~self.known))
+
+    def sums(self, values: np.ndarray, null: np.ndarray) -> pa.Array:
+        """Sum per row in the order of tokens; null where a token is."""
+        total = np.bincount(self.row, np.where(null, 0.0, values), minlength=len(self.lengths))
+        gone = ~self.known | (np.bincount(self.row, null, minlength=len(self.lengths)) > 0)
+        return pa.array(total, mask=gone)
+
+
+def masked_sums(z: Zipped, values: np.ndarray, null: np.ndarray) -> pa.Array:
+    """Sum per row over the tokens whose mask, the last of the zipped arrays, is set."""
+    on = (z.values[-1] != 0) & ~z.nulls[-1]
+    return z.sums(np.where(on, values * z.values[-1], 0.0), null & on)
+
+
+def total(values: Column | str) -> Column:
+    """Sum of an array; null where an entry is."""
+
+    def run(v: pa.Array) -> pa.Array:
+        z = Zipped(v)
+        return z.sums(z.values[0], z.nulls[0])
+
+    return F.arrow_udf(lambda v: run(v), "double")(values)
+
+
 def _column(fn: Callable[..., np.ndarray], *arrays: Column | str) -> Column:
     def run(*lists: pa.Array) -> pa.Array:
         return _on_matrices(fn, lists)

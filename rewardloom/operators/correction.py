@@ -6,10 +6,12 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rewardloom.functions import seq
+from rewardloom.functions import scan, seq
 from rewardloom.functions.seq import EPS, TOKEN, clamp, masked
 from rewardloom.operators.reduce import ROW
 from rewardloom.plans.scale import with_scalars
@@ -40,6 +42,34 @@ def _raw_weight(level: str) -> tuple[Column | None, object]:
     return F.exp(clamp(F.col("__lr"), -BOUND, BOUND)), None
 
 
+def _truncated(z: scan.Zipped, shared: bool, threshold: float) -> np.ndarray:
+    """Truncated weight per token; as ``clamp`` skips nulls, a null ratio counts as the bound and a null weight as the threshold."""
+    gap, null = z.values[0] - z.values[1], z.nulls[0] | z.nulls[1]
+    if shared:
+        total = scan.masked_sums(z, gap, null)
+        gap, null = total.to_numpy(zero_copy_only=False)[z.row], total.is_null().to_numpy(zero_copy_only=False)[z.row]
+    with np.errstate(invalid="ignore"):
+        weight = np.exp(np.where(null, BOUND, np.clip(gap, -BOUND, BOUND)))
+        return np.where(z.nulls[2], threshold, np.minimum(weight * z.values[2], threshold))
+
+
+def _weight_lists(shared: bool, threshold: float):
+    def run(old: pa.Array, rollout: pa.Array, mask: pa.Array, norm: pa.Array) -> pa.Array:
+        z = scan.Zipped(old, rollout, mask)
+        return z.lists(_truncated(z, shared, threshold) / norm.to_numpy(zero_copy_only=False)[z.row])
+
+    # The number of arguments is read from the signature.
+    return F.arrow_udf(lambda old, rollout, mask, norm: run(old, rollout, mask, norm), "array<double>")
+
+
+def _weight_total(shared: bool, threshold: float):
+    def run(old: pa.Array, rollout: pa.Array, mask: pa.Array) -> pa.Array:
+        z = scan.Zipped(old, rollout, mask)
+        return scan.masked_sums(z, _truncated(z, shared, threshold), np.zeros(len(z.row), bool))
+
+    return F.arrow_udf(lambda old, rollout, mask: run(old, rollout, mask), "double")
+
+
 def with_is_weights(
     df: DataFrame, level: str = "token", threshold: float = 2.0, batch_normalize: bool = False, mask: str = "mask",
     out: str = "is_weights",
@@ -47,24 +77,17 @@ def with_is_weights(
     """Truncated importance weights per token; optionally divided by their batch mean."""
     if level not in ("token", "sequence"):
         raise ValueError(f"unknown weight level: {level}")
-    shared = _row_log_ratio(level, mask)
-    if shared is not None:
-        df = df.withColumn("__lr", shared)
-    row, token = _raw_weight(level)
-    weight = (lambda e: row) if row is not None else token
-    df = df.withColumn(
-        out, F.transform(seq.zipped("old_logp", "rollout_logp", mask), lambda e: clamp(weight(e) * e[mask], hi=threshold))
-    ).drop("__lr")
+    shared, names = level == "sequence", ["old_logp", "rollout_logp", mask]
+    weights = _weight_lists(shared, float(threshold))
     if not batch_normalize:
-        return df
-    sums = df.select(seq.masked_sum(out, mask).alias("s"), seq.mask_count(mask).alias("n"))
+        return df.withColumn(out, weights(*names, F.lit(1.0)))
+    sums = df.select(_weight_total(shared, float(threshold))(*names).alias("s"), scan.total(mask).alias("n"))
     if level == "token":
         mean = sums.agg((F.sum("s") / (F.sum("n") + EPS)).alias("__norm"))
     else:
         mean = sums.agg(F.avg(F.when(F.col("n") > 0, F.col("s") / (F.col("n") + EPS))).alias("__norm"))
-    df = with_scalars(df, mean)
     norm = F.when(F.col("__norm") > EPS, F.col("__norm")).otherwise(1.0)
-    return df.withColumn(out, F.transform(F.col(out), lambda w: w / norm)).drop("__norm")
+    return with_scalars(df, mean).withColumn(out, weights(*names, norm)).drop("__norm")
 
 
 def with_rejection_mask(

@@ -114,6 +114,41 @@ def logps(spark):
     return spark.createDataFrame(rows, "uid string, rollout_n int, old_logp array<double>, rollout_logp array<double>, mask array<int>")
 
 
+NAN = float("nan")
+
+
+@pytest.mark.parametrize("normalize", [False, True])
+@pytest.mark.parametrize("level", ["token", "sequence"])
+def test_weights_of_odd_tokens_follow_the_rule_and_no_token_is_interpreted(spark, level, normalize):
+    odd = [
+        ("a", [-1.0, -0.5, None], [-1.1, -0.2, -1.0], [1, 0, 1]), ("b", [-1.0, -0.5], [-1.1], [1, 1]), ("c", [-1.0], [-1.1], [None]), ("d", None, [-1.1], [1]),
+        ("e", [], [], []), ("f", [-1.0, 2.0], [-50.0, 2.5], [1, 1]), ("g", [-1.0], [-0.9], [0]), *([] if normalize else [("h", [NAN, -1.0], [-1.0, -1.0], [0, 1])]),
+    ]
+    out = C.with_is_weights(spark.createDataFrame(odd, "uid string, old_logp array<double>, rollout_logp array<double>, mask array<int>"), level, 1.05, normalize)
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    plain, sums = {}, []
+    for uid, old, rollout, mask in odd:
+        if old is None:
+            plain[uid] = None
+            sums.append((None, sum(mask)))
+            continue
+        gaps = [None if i >= min(len(old), len(rollout)) or old[i] is None else old[i] - rollout[i] for i in range(len(old))]
+        if level == "sequence":
+            valid = [g for g, m in zip(gaps, mask, strict=True) if m]
+            whole = None if None in valid else sum(valid)
+            gaps = [whole] * len(gaps)
+        raw = [math.exp(20.0 if g is None else g if g != g else max(min(g, 20.0), -20.0)) for g in gaps]
+        plain[uid] = [1.05 if m is None else w * m if w != w else min(w * m, 1.05) for w, m in zip(raw, mask, strict=True)]
+        sums.append((sum(w * m for w, m in zip(plain[uid], mask, strict=True) if m), None if None in mask else sum(mask)))
+    if level == "token":
+        mean = sum(s for s, _ in sums if s is not None) / sum(n for _, n in sums if n is not None)
+    else:
+        mean = np.mean([s / n for s, n in sums if n and s is not None])
+    norm = mean if normalize else 1.0
+    for r in out.collect():
+        assert r.is_weights == (None if plain[r.uid] is None else pytest.approx([w / norm for w in plain[r.uid]], nan_ok=True)), r.uid
+
+
 @pytest.mark.parametrize("level", ["token", "sequence"])
 def test_weights_are_capped_and_reports_complete(spark, level):
     out, report = C.rollout_correction(logps(spark), C.Correction(is_level=level, rs_level="token", rs_upper=2.0, veto=1e-4))
