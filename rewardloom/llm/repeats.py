@@ -4,8 +4,8 @@ Every window of ``WINDOW`` words has an anchor: its run of ``RUN`` words with th
 anchors, so only windows with an anchor that occurs in two different texts can recur. Those windows are sent
 to shards by anchor, as stretches of words that share it; equal stretches are one, whatever the number of
 documents they come from, and an anchor of very many windows is sent window by window. A shard confirms
-on the words themselves which windows recur, compiles them into an Aho-Corasick automaton over word codes
-(a character per distinct word of the shard) and streams its stretches through it.
+on the words themselves which windows recur, compiles them into an Aho-Corasick automaton over runs of words
+(three characters per distinct run of the shard, three runs to a window) and streams its stretches through it.
 
 Documents of equal words are collapsed before that: all but the first are repeats as a whole.
 """
@@ -13,9 +13,11 @@ Documents of equal words are collapsed before that: all but the first are repeat
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -161,27 +163,70 @@ def _stretches(batches):
                 )
 
 
-def _code(n: int) -> str:
-    """A character per word number, past the surrogates' gap."""
-    n += 0x100
-    return chr(n if n < 0xD800 else n + 0x800)
+# A window is spelled by three runs of RUN words, LEAP apart: together they cover its words and no others. A run is spelled by three
+# characters, each of its own range, because a node of the automaton looks through its children one by one.
+LEAP = (WINDOW - RUN) // 2
+SPELT = 3
+_GAP = 0  # a character of no run
+
+
+def _numbers(*parts: np.ndarray) -> np.ndarray:
+    """A number per distinct row of ``parts``, themselves numbers below 2**31; equal rows, and no others, share it."""
+    both = parts[0].astype(np.int64)
+    for p in parts[1:]:
+        both = pa.array((both << 32) | p).dictionary_encode().indices.to_numpy().astype(np.int64)
+    return both
+
+
+def _spelled(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
+    """All stretches as one string of runs, where each window begins in it, and the number of windows of each stretch.
+
+    A stretch is read in LEAP phases: phase f holds the runs at words f, f + LEAP, and so on, and ends in a gap.
+    """
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    sizes = pc.list_value_length(split).to_numpy().astype(np.int64)
+    words = split.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    n = len(words)
+    pairs = _numbers(words[: n - 1], words[1:])
+    runs = _numbers(_numbers(pairs[: n - 4], pairs[2: n - 2]), words[4:])
+    base = math.ceil((int(runs.max()) + 1) ** (1 / SPELT)) + 1
+    letters = np.stack([0x100 + i * base + runs // base**i % base for i in range(SPELT)], axis=1)
+
+    def places(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        stretch = np.repeat(np.arange(len(counts)), counts)
+        return stretch, np.arange(len(stretch)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+    own = sizes - RUN + 1
+    heads, lengths = np.cumsum(sizes) - sizes, own + LEAP
+    bases = np.cumsum(lengths) - lengths
+    phases = np.arange(LEAP)
+    begins = np.cumsum((own[:, None] - phases + LEAP - 1) // LEAP + 1, axis=1)
+    begins = np.concatenate([np.zeros((len(own), 1), np.int64), begins[:, :-1]], axis=1) + bases[:, None]
+    stretch, k = places(own)
+    spelled = np.full((int(lengths.sum()), SPELT), _GAP, np.uint32)
+    spelled[begins[stretch, k % LEAP] + k // LEAP] = letters[heads[stretch] + k]
+    windows = sizes - WINDOW + 1
+    stretch, k = places(windows)
+    return spelled.tobytes().decode("utf-32-le"), SPELT * (begins[stretch, k % LEAP] + k // LEAP), windows
 
 
 def _locate(stretches: list[tuple[int, str, int, int]]) -> list[tuple[int, str, list[int]]]:
-    """One shard: (route, words, least doc_id, greatest doc_id) to (route, words, least doc_id per window, -1 where it doesn't recur)."""
+    """One shard: (route, words, least doc_id, greatest doc_id) to (route, words, least doc_id per window, None where it doesn't recur)."""
     import ahocorasick
 
-    codes: dict[str, str] = {}
-    coded = ["".join([codes.get(w) or codes.setdefault(w, _code(len(codes))) for w in words.split(" ")]) for _, words, _, _ in stretches]
+    text, at, windows = _spelled([words for _, words, _, _ in stretches])
     bounds: dict[str, tuple[int, int]] = {}
-    for text, (_, _, least, greatest) in zip(coded, stretches, strict=True):
-        for k in range(len(text) - WINDOW + 1):
-            w = text[k: k + WINDOW]
-            known = bounds.get(w)
-            if known is None:
-                bounds[w] = (least, greatest)
-            elif least < known[0] or greatest > known[1]:
+    ends = np.cumsum(windows).tolist()
+    places = at.tolist()
+    lo = 0
+    for hi, (_, _, least, greatest) in zip(ends, stretches, strict=True):
+        own = (least, greatest)
+        for k in places[lo:hi]:
+            w = text[k: k + 3 * SPELT]
+            known = bounds.setdefault(w, own)
+            if known is not own and (least < known[0] or greatest > known[1]):
                 bounds[w] = (min(least, known[0]), max(greatest, known[1]))
+        lo = hi
     automaton = ahocorasick.Automaton()
     for w, (least, greatest) in bounds.items():
         if least < greatest:
@@ -189,13 +234,16 @@ def _locate(stretches: list[tuple[int, str, int, int]]) -> list[tuple[int, str,
     if not len(automaton):
         return []
     automaton.make_automaton()
+    found = [None] * len(text)
+    for last, least in automaton.iter(text):
+        found[last - 3 * SPELT + 1] = least
     out = []
-    for text, (route, words, _, _) in zip(coded, stretches, strict=True):
-        firsts = [None] * (len(text) - WINDOW + 1)
-        for last, least in automaton.iter(text):
-            firsts[last - WINDOW + 1] = least
+    lo = 0
+    for hi, (route, words, _, _) in zip(ends, stretches, strict=True):
+        firsts = [found[k] for k in places[lo:hi]]
         if any(x is not None for x in firsts):
             out.append((route, words, firsts))
+        lo = hi
     return out
 
 

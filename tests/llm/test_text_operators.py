@@ -195,6 +195,29 @@ def test_shards_cut_anywhere_give_the_same(spark):
     assert all(x == 0 for f in found.values() for x in f)
 
 
+def test_shards_confirm_every_window_on_its_words():
+    rng = random.Random(3)
+    stretches = [(i % 7, " ".join(rng.choice("abé") for _ in range(rng.randint(13, 21))), d := rng.randint(0, 50), d + rng.choice([0, 0, 4])) for i in range(300)]
+    stretches += [(8, words, least + 60, least + 60) for _, words, least, _ in stretches[:100]] + [(9, " ".join(f"x{k}" for k in range(13)), 1, 1)]
+
+    def windows(words):
+        w = words.split(" ")
+        return [tuple(w[k: k + 13]) for k in range(len(w) - 12)]
+
+    least, greatest = {}, {}
+    for _, words, lo, hi in stretches:
+        for w in windows(words):
+            least[w], greatest[w] = min(lo, least.get(w, lo)), max(hi, greatest.get(w, hi))
+    want = [(r, words, [least[w] if least[w] < greatest[w] else None for w in windows(words)]) for r, words, _, _ in stretches]
+    assert repeats._locate(stretches) == [x for x in want if any(f is not None for f in x[2])]
+    assert repeats._locate(stretches[-1:]) == []
+    # a window is nine characters of the automaton, of few kinds, and not one per word
+    text, at, counts = repeats._spelled([words for _, words, _, _ in stretches])
+    spelled = [text[k: k + 9] for k in at]
+    assert len(set(text)) < 60
+    assert len(set(spelled)) == len(least) and counts.sum() == len(at)
+
+
 RULES_BY_HAND = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 8),
     ("access", re.compile("AKIA[A-Z0-9]+"), 16), ("hex", re.compile("[0-9a-f]+"), 32),
