@@ -244,7 +244,7 @@ def j_baseline_null(spark, sf_dir):
 @query("b26_deep_equal_null_keys", f"""with {R} select 0::bigint as only_left, count(distinct uid) filter (where uid % 3 = 0) as only_right, count(*) filter (where rollout_n = 0 and uid % 3 <> 0 and pred = 3) as different from r""")
 def deep_equal_null(spark, sf_dir):
     """One row of every uid has a null in its key; on the left the rows of some uids lack it."""
-    df = rollouts(spark, sf_dir, indexed=True).select("uid", F.when(F.col("rollout_n") != 0, F.col("rollout_n")).alias("n"), "pred")
+    df = rollouts(spark, sf_dir).select("uid", F.when(F.col("rollout_n") != 0, F.col("rollout_n")).alias("n"), "pred")
     left = df.where("uid % 3 <> 0 or n is not null").withColumn("pred", F.when((F.col("pred") == 3) & F.col("n").isNull(), None).otherwise(F.col("pred")))
     return B.deep_equal(left, df, ["uid", "n"])
 

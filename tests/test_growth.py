@@ -174,3 +174,43 @@ def test_a_known_largest_group_saves_measuring(spark, monkeypatch):
         assert sorted((r.k, r.id, r.r) for r in out.collect()) == sorted(want)
     plan = scale.rank_within(df, ["k"], ["id"], "r", rows=400, rows_per_range=200, largest=134)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan and "Aggregate" not in plan
+
+
+def test_rollouts_are_derived_where_they_are_read(spark, folder, monkeypatch):
+    from checks import base
+
+    monkeypatch.setattr(base, "_STAGED", {})
+    monkeypatch.setattr(base, "staged", lambda *a: pytest.fail("rows are written and read again"))
+    df = base.rollouts(spark, folder)
+    plan = df.select("uid", "pred")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan and not base._STAGED
+    monkeypatch.undo()
+    staged = base.rollouts(spark, folder, indexed=True)
+    assert df.dtypes == staged.drop("row_idx").dtypes
+    assert sorted(df.collect()) == sorted(staged.drop("row_idx").collect())
+
+
+def test_lines_that_tie_are_numbered_alike_whenever_derived(spark, tmp_path):
+    from checks import base
+
+    day = datetime.date(1995, 3, 1)
+    lines = [(k, 1, 1, 1, 2.0, 100.0, 0.01 * (n % 5), 0.01 * (n % 9), "AR"[n % 2], "O", day) for k in (1, None) for n in range(90)]
+    kinds = ("l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, "
+             "l_tax double, l_returnflag string, l_linestatus string, l_shipdate date")
+    spark.createDataFrame([(1, "p"), (None, "p")], "o_orderkey long, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    found = []
+    for step in (1, -1):
+        spark.createDataFrame(lines[::step], kinds).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/lineitem.parquet")
+        spark.catalog.clearCache()
+        found.append(sorted(tuple(r) for r in base.rollouts(spark, str(tmp_path)).select("uid", "rollout_n", "score", "pred", "view_type").collect()))
+    assert found[0] == found[1] and [r[1] for r in found[0]] == list(range(90))
+
+
+def test_a_bound_on_groups_counts_them_only_where_a_bucket_is_large(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("nullif(id % 100, 7) as k")
+    assert scale.largest_at_most(df, ["k"], 20, 100_000) == (10, 1000)
+    largest, rows = scale.largest_at_most(df, ["k"], 1000, 1)
+    assert (largest, rows) == (1000, 1000)
+    # too many in the bucket, so the groups are counted
+    assert scale.largest_at_most(df, ["k"], 20, 1) == (10, 1000)
+    assert scale.largest_at_most(df.where("k < 0"), ["k"]) == (0, 0)
