@@ -60,17 +60,22 @@ class Zipped:
             null = flat.is_null().to_numpy(zero_copy_only=False)
             value = flat.to_numpy(zero_copy_only=False).astype(np.float64)
             if not np.array_equal(sizes, self.lengths):
-                place = np.arange(len(self.row)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+                place = self.place()
                 # One null behind the tokens stands for those a shorter list lacks.
                 at = np.where(place < sizes[self.row], (np.cumsum(sizes) - sizes)[self.row] + place, len(value))
                 value, null = np.append(value, 0.0)[at], np.append(null, True)[at]
             self.values.append(value)
             self.nulls.append(null)
 
-    def lists(self, values: np.ndarray) -> pa.Array:
+    def place(self) -> np.ndarray:
+        """Position of each token in its row."""
+        return np.arange(len(self.row)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
+
+    def lists(self, values: np.ndarray, null: np.ndarray | None = None, kind: pa.DataType | None = None) -> pa.Array:
         """One value per token, as lists."""
         offsets = pa.array(np.concatenate([[0], np.cumsum(self.lengths)]).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, pa.array(values), mask=pa.array(~self.known))
+        entries = pa.array(values, mask=null)
+        return pa.ListArray.from_arrays(offsets, entries if kind is None else entries.cast(kind), mask=pa.array(~self.known))
 
     def sums(self, values: np.ndarray, null: np.ndarray) -> pa.Array:
         """Sum per row in the order of tokens; null where a token is."""

@@ -5,16 +5,20 @@ Each objective is one aggregate over unnested tokens, by row first where its mod
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from rewardloom.functions import seq
+from rewardloom.functions import scan, seq
 from rewardloom.functions.kl import kl_penalty
 from rewardloom.functions.seq import EPS, TOKEN, clamp, masked
 from rewardloom.operators.reduce import ROW, agg_loss, loss_aggregate
-from rewardloom.plans.scale import nth_row, seeded_key, with_scalars
+from rewardloom.plans.scale import ROWS_PER_RANGE, nth_row, seeded_key, with_scalars
 
 OBJECTIVES: dict[str, Callable[..., DataFrame]] = {}
 
@@ -116,8 +120,27 @@ def loss_gpg(df, mask="mask", mode="token-mean", weights=None, **options) -> Dat
     return _report(df, lambda e: -e["logp"] * e["advantages"], {}, mask, mode, weights, **options)
 
 
-def _valid_tokens(df: DataFrame, mask: str) -> int:
-    return int(seq.flat(df, [], mask).agg(F.sum(mask)).first()[0] or 0)
+def _some(values: np.ndarray, null: np.ndarray) -> float | None:
+    """Sum of what is not null; null where nothing is."""
+    return None if null.all() else float(values[~null].sum())
+
+
+def _whole_means(df: DataFrame, lists: list[str], mask: str) -> Row:
+    """Masked means of ``advantages`` and ``logp`` over the tokens of ``lists`` side by side, and ``valid``, the sum of all masks.
+
+    A row with a null list has no tokens, yet its mask counts.
+    """
+
+    def run(batches):
+        for batch in batches:
+            z = scan.Zipped(*[batch.column(c) for c in [*lists, mask]])
+            m, gone = z.values[-1], z.nulls[-1]
+            sums = [_some(z.values[lists.index(c)] * m, z.nulls[lists.index(c)] | gone) for c in ("advantages", "logp")]
+            yield pa.record_batch([pa.array([v], pa.float64()) for v in (*sums, _some(m, gone), pc.sum(batch.column(mask).flatten()).as_py())], names=["a", "l", "n", "valid"])
+
+    parts = df.select(*lists, mask).mapInArrow(run, "a double, l double, n double, valid double")
+    n = F.sum("n") + EPS
+    return parts.agg((F.sum("a") / n).alias("advantages"), (F.sum("l") / n).alias("logp"), F.sum("valid").alias("valid")).first()
 
 
 def _token_rows(df: DataFrame, row: list[str], mask: str, weights: str | None) -> DataFrame:
@@ -140,31 +163,105 @@ def loss_clip_cov(
     df, ratio=0.0002, low=0.2, high=0.2, lower=1.0, upper=5.0, row=("uid", "rollout_n"), seed=0, mask="mask",
     mode="token-mean", weights=None, **options,
 ) -> DataFrame:
-    """Drops the loss of a seeded sample of tokens whose covariance lies in (lower, upper)."""
+    """Drops the loss of a seeded sample of tokens whose covariance lies in (lower, upper).
+
+    The sample is the candidates with the smallest seeded keys. Sums by a key's first digits tell which digits the last of them
+    has; only candidates with these are put in order. A mean over tokens takes three passes, other modes four; only candidates are rows.
+    """
     row = list(row)
-    tokens = _token_rows(df, row, mask, weights)
-    r = F.exp("gap")
-    tokens = tokens.withColumn("plain", -F.col("advantages") * r)
-    tokens = tokens.withColumn("clipped", -F.col("advantages") * _clip(r, low, high))
-    # Means carry the guard term of the masked mean, as everywhere.
-    m = F.col("m")
-    means = tokens.agg((F.sum(F.col("advantages") * m) / (F.sum("m") + EPS)).alias("__ma"),
-                       (F.sum(F.col("logp") * m) / (F.sum("m") + EPS)).alias("__ml"), F.sum("m").alias("__n"))
-    tokens = with_scalars(tokens, means)
-    cov = (F.col("advantages") - F.col("__ma")) * (F.col("logp") - F.col("__ml"))
-    open_ = (m > 0) & (F.col("clipped") <= F.col("plain")) & (cov < upper) & (cov > lower)
-    # Rank of the seeded key among candidates, found with a threshold: the k-th smallest key.
-    keyed = tokens.withColumn("key", F.when(open_, seeded_key(seed, *row, "pos")))
-    chosen = keyed.where("key is not null").select("key", "__n")
-    count = max(int(ratio * _valid_tokens(df, mask)), 1)
-    edge = nth_row(chosen, ["key"], count).agg(F.max("key").alias("__edge"))
-    keyed = with_scalars(keyed, edge)
-    off = F.coalesce(F.col("key") <= F.col("__edge"), F.lit(False))
-    loss = F.when(off, 0.0).otherwise(F.greatest("plain", "clipped"))
-    final = keyed.withColumn("loss", loss * F.col(weights) if weights else loss)
-    metrics = final.agg((F.sum(F.when(off, m).otherwise(0)) / (F.sum("m") + EPS)).alias("pg_clipfrac"),
-                        (F.sum(-F.col("gap") * m) / (F.sum("m") + EPS)).alias("ppo_kl"))
-    return with_scalars(_long_loss(final, row, mode, **options), metrics)
+    lists = ["logp", "old_logp", "advantages"] + ([weights] if weights else [])
+    whole = _whole_means(df, lists, mask)
+    by_token = mode == "token-mean" and not options
+    candidates = _candidates(df, row, lists, mask, whole, (1 - low, 1 + high), (lower, upper), not by_token)
+    keyed = candidates.withColumn("key", F.when(F.col("pos").isNotNull(), seeded_key(seed, *row, "pos")))
+    valid = int(whole.valid or 0)
+    groups, edge = _smallest_keys(keyed, max(int(ratio * valid), 1), valid)
+    known = lambda values: F.lit(sum(v) if (v := [x for x in values if x is not None]) else None).cast("double")
+    n = known(g.m for g in groups)
+    result = df.sparkSession.range(1).select(
+        (known(g.gone for g in groups) / (n + EPS)).alias("pg_clipfrac"), (known(g.kl for g in groups) / (n + EPS)).alias("ppo_kl"))
+    if by_token:
+        return result.select((known(g.loss for g in groups) / n).alias("pg_loss"), "*")
+    off = F.coalesce(F.col("key") <= F.lit(edge).cast("string"), F.lit(False))
+    per = keyed.groupBy(*row).agg(F.sum(F.when(off, F.col("off")).otherwise(F.col("on"))).alias("s"), F.sum("m").alias("n"), F.sum("w").alias("w"))
+    loss = loss_aggregate(F.col("s"), F.col("n"), F.col("w"), mode, **options).alias("pg_loss")
+    return with_scalars(per.agg(loss), result)
+
+
+def _candidates(
+    df: DataFrame, row: list[str], lists: list[str], mask: str, whole: Row, clip: tuple[float, float], cov: tuple[float, float], by_row: bool
+) -> DataFrame:
+    """(row, pos, on, off, m, kl, w) for each token that may lose its loss, and for all others together: one row of sums without ``pos``.
+
+    ``on`` and ``off`` are the masked loss of a token that keeps or loses it, ``w`` counts tokens; the others come together by row or
+    by batch. Nulls and NaN count as in expressions: a null ratio is clipped to the upper bound, NaN is the largest number.
+    """
+
+    def run(batches):
+        for batch in batches:
+            z = scan.Zipped(*[batch.column(c) for c in [*lists, mask]])
+            if not len(z.row):
+                continue
+            (logp, old, adv, m), (no_l, no_o, no_a, no_m) = ([x[0], x[1], x[2], x[-1]] for x in (z.values, z.nulls))
+            no_gap = no_l | no_o
+            with np.errstate(all="ignore"):
+                gap = logp - old
+                r = np.exp(gap)
+                plain, clipped = -adv * r, -adv * np.where(no_gap, clip[1], np.clip(r, *clip))
+                value = np.where(no_gap, clipped, np.maximum(plain, clipped))
+                zero, empty = np.zeros(len(adv)), no_a
+                if len(lists) > 3:
+                    value, zero, empty = value * z.values[3], zero * z.values[3], no_a | z.nulls[3]
+                spread = (adv - (whole.advantages or 0.0)) * (logp - (whole.logp or 0.0))
+                kept = (m > 0) | np.isnan(m)
+                may = kept & ((clipped <= plain) | np.isnan(plain)) & (spread < cov[1]) & (spread > cov[0]) & ~(no_gap | no_a | no_m)
+                if whole.advantages is None or whole.logp is None:
+                    may[:] = False
+                sums = [(value * m, empty | no_m), (zero * m, empty | no_m), (m, no_m), (-gap * m, no_gap | no_m), (np.ones(len(m)), np.zeros(len(m), bool))]
+            at, rest = np.flatnonzero(may), np.flatnonzero(~may)
+            yield pa.record_batch([*(batch.column(c).take(pa.array(z.row[at])) for c in row), pa.array(z.place()[at], pa.int32()),
+                                   *(pa.array(v[at], pa.float64(), mask=g[at]) for v, g in sums)], names=names)
+            if by_row:
+                own, code = np.unique(z.row[rest], return_inverse=True)
+                add = lambda v, g, code=code, own=own: pa.array(np.bincount(code, np.where(g, 0.0, v), len(own)), mask=np.bincount(code, ~g, len(own)) == 0)
+                keys = [batch.column(c).take(pa.array(own)) for c in row]
+            else:
+                own = np.zeros(1)
+                add = lambda v, g: pa.array([_some(v, g)], pa.float64())
+                keys = [pa.nulls(1, batch.column(c).type) for c in row]
+            yield pa.record_batch([*keys, pa.nulls(len(own), pa.int32()), *(add(v[rest], g[rest]) for v, g in sums)], names=names)
+
+    kinds = dict(df.dtypes)
+    names = [*row, "pos", "on", "off", "m", "kl", "w"]
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in row), "pos int, on double, off double, m double, kl double, w double"])
+    return df.select(*row, *lists, mask).mapInArrow(run, schema)
+
+
+def _smallest_keys(keyed: DataFrame, count: int, rows: int) -> tuple[list[Row], str | None]:
+    """Sums (loss, m, gone, kl) of all tokens in parts, where the ``count`` tokens with the smallest keys have the loss ``off``, and the last such key.
+
+    Keys are digests, so candidates spread evenly over the first digits; of about ``rows`` tokens at most ``ROWS_PER_RANGE`` share them.
+    Tokens with equal keys are dropped together.
+    """
+    sums = [F.count("key").alias("c"), *[F.sum(c).alias(c) for c in ("on", "off", "m", "kl")], F.max("key").alias("last")]
+    digits = max(0, math.ceil(math.log(max(rows, 1) / ROWS_PER_RANGE, 16)))
+    head = F.when(F.col("key").isNotNull(), F.substring("key", 1, digits))
+    parts, edge = [], None
+    for g in sorted(keyed.groupBy(head.alias("head")).agg(*sums).collect(), key=lambda g: (g.head is None, g.head)):
+        if g.head is not None and 0 < count < g.c:
+            before = F.sum("c").over(Window.orderBy("key")) - F.col("c")
+            inside = keyed.where(head == g.head).groupBy("key").agg(*sums).withColumn("gone", before < count)
+            pick = lambda yes, no: F.sum(F.when(F.col("gone"), yes).otherwise(no))
+            part = inside.agg(pick(F.col("off"), F.col("on")).alias("loss"), F.sum("m").alias("m"), pick(F.col("m"), F.lit(0.0)).alias("gone"),
+                              F.sum("kl").alias("kl"), F.max(F.when(F.col("gone"), F.col("key"))).alias("last")).first()
+            count, edge = 0, part.last
+        elif g.head is not None and count > 0:
+            part, edge = Row(loss=g.off, m=g.m, gone=g.m, kl=g.kl), g.last
+            count -= g.c
+        else:
+            part = Row(loss=g.on, m=g.m, gone=0.0, kl=g.kl)
+        parts.append(part)
+    return parts, edge
 
 
 @register_objective("kl_cov")

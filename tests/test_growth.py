@@ -214,3 +214,32 @@ def test_a_bound_on_groups_counts_them_only_where_a_bucket_is_large(spark, monke
     # too many in the bucket, so the groups are counted
     assert scale.largest_at_most(df, ["k"], 20, 1) == (10, 1000)
     assert scale.largest_at_most(df.where("k < 0"), ["k"]) == (0, 0)
+
+
+@pytest.mark.parametrize("ratio", [0.0002, 0.2, 5.0])
+def test_dropped_tokens_are_found_from_sums_by_digits(spark, monkeypatch, ratio):
+    import hashlib
+
+    from rewardloom.operators import objective
+
+    monkeypatch.setattr(objective, "nth_row", lambda *a: pytest.fail("all candidates are read once more to find one of them"))
+    monkeypatch.setattr(objective, "ROWS_PER_RANGE", 16)
+    rng = np.random.default_rng(5)
+    rows = [("u", i % 40, *rng.normal(size=(3, 20)).tolist(), [1, 1, 0, 1] * 5) for i in range(50)]
+    df = spark.createDataFrame(rows, "uid string, rollout_n int, logp array<double>, old_logp array<double>, advantages array<double>, mask array<int>")
+    logp, old, adv, mask = (np.array([r[c] for r in rows]) for c in (2, 3, 4, 5))
+    keys = np.array([[hashlib.md5(f"3|u|{r[1]}|{t}".encode()).hexdigest() for t in range(20)] for r in rows])
+    gap, mean = logp - old, lambda x: (x * mask).sum() / mask.sum()
+    plain, clipped = -adv * np.exp(gap), -adv * np.clip(np.exp(gap), 0.8, 1.2)
+    spread = (adv - mean(adv)) * (logp - mean(logp))
+    open_ = (mask > 0) & (clipped <= plain) & (spread < 5) & (spread > 0)
+    edge = sorted(keys[open_])[:max(int(ratio * mask.sum()), 1)][-1]
+    off = open_ & (keys <= edge)
+    loss = np.where(off, 0.0, np.maximum(plain, clipped)) * mask
+    by_row = {"token-mean": loss.sum() / mask.sum()}
+    named = np.array([r[1] for r in rows])
+    per = [(loss[named == n].sum(), mask[named == n].sum()) for n in range(40)]
+    by_row["seq-mean-token-mean"] = np.mean([s / n for s, n in per])
+    for mode, want in by_row.items():
+        got = objective.loss_clip_cov(df, ratio=ratio, lower=0.0, seed=3, mode=mode).first()
+        assert tuple(got) == pytest.approx((want, mean(off), mean(-gap)))
