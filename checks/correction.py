@@ -100,8 +100,7 @@ def veto_metrics(spark, sf_dir):
 def correction(spark, sf_dir):
     config = C.preset("decoupled_seq_is_rs", veto=0.905)
     out, _ = C.rollout_correction(tokens(spark, sf_dir, *LOGPS), config)
-    return out.select("uid", "rollout_n", r6(F.aggregate("is_weights", F.lit(0.0), lambda x, y: x + y), 5).alias("weight_sum"),
-                      F.aggregate("mask", F.lit(0).cast("long"), lambda a, m: a + m).alias("kept"))
+    return out.select("uid", "rollout_n", r6(scan.total("is_weights"), 5).alias("weight_sum"), scan.total("mask").cast("long").alias("kept"))
 
 
 @query("c05_correction_preset_report", f"""with {T}, {X}, {Q}, z as (select *, exp(greatest(least(ds,20),-20)) v from q)

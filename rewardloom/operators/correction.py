@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rewardloom.functions import scan, seq
 from rewardloom.functions.seq import EPS, TOKEN, clamp, masked
@@ -23,25 +25,6 @@ def _ratio(e: Column) -> Column:
     return e["old_logp"] - e["rollout_logp"]
 
 
-def _row_log_ratio(level: str, mask: str) -> Column | None:
-    """Log ratio a whole row shares, or None at token level."""
-    if level == "token":
-        return None
-    total = seq.sum_over(["old_logp", "rollout_logp", mask], lambda e: masked(_ratio(e), e[mask]))
-    if level == "sequence":
-        return total
-    if level == "geometric":
-        return total / (seq.mask_count(mask) + EPS)
-    raise ValueError(f"unknown correction level: {level}")
-
-
-def _raw_weight(level: str) -> tuple[Column | None, object]:
-    """Row-shared weight expression (on column __lr) or a token function."""
-    if level == "token":
-        return None, lambda e: F.exp(clamp(_ratio(e), -BOUND, BOUND))
-    return F.exp(clamp(F.col("__lr"), -BOUND, BOUND)), None
-
-
 def _truncated(z: scan.Zipped, shared: bool, threshold: float) -> np.ndarray:
     """Truncated weight per token; as ``clamp`` skips nulls, a null ratio counts as the bound and a null weight as the threshold."""
     gap, null = z.values[0] - z.values[1], z.nulls[0] | z.nulls[1]
@@ -90,32 +73,58 @@ def with_is_weights(
     return with_scalars(df, mean).withColumn(out, weights(*names, norm)).drop("__norm")
 
 
+def _mask_kind(df: DataFrame, mask: str) -> tuple[T.DataType, pa.DataType]:
+    """Type of a mask times a flag."""
+    kind = df.select(F.transform(mask, lambda m: m * F.lit(1)).alias("m")).schema["m"].dataType
+    return kind, to_arrow_type(kind.elementType)
+
+
 def with_rejection_mask(
     df: DataFrame, level: str, upper: float, lower: float | None = None, mask: str = "mask", out: str = "mask"
 ) -> DataFrame:
-    """Response mask with out-of-range tokens or whole rows removed; lower defaults to 1/upper."""
-    lower = 1.0 / upper if lower is None else lower
-    shared = _row_log_ratio(level, mask)
-    if shared is not None:
-        df = df.withColumn("__lr", shared)
-    row, token = _raw_weight(level)
-    weight = (lambda e: row) if row is not None else token
-    keep = lambda e: ((weight(e) >= lower) & (weight(e) <= upper)).cast("int")
-    kept = F.transform(seq.zipped("old_logp", "rollout_logp", mask), lambda e: e[mask] * keep(e))
-    return df.withColumn(out, kept).drop("__lr")
+    """Response mask with out-of-range tokens or whole rows removed; lower defaults to 1/upper.
 
+    As ``clamp`` skips nulls, a null ratio counts as the upper bound; NaN is out of range.
+    """
+    lower = 1.0 / upper if lower is None else lower
+    if level not in ("token", "sequence", "geometric"):
+        raise ValueError(f"unknown correction level: {level}")
+    kind, entry = _mask_kind(df, mask)
+
+    def run(old: pa.Array, rollout: pa.Array, on: pa.Array) -> pa.Array:
+        z = scan.Zipped(old, rollout, on)
+        gap, null = z.values[0] - z.values[1], z.nulls[0] | z.nulls[1]
+        if level != "token":
+            total = scan.masked_sums(z, gap, null)
+            gap, null = total.to_numpy(zero_copy_only=False), total.is_null().to_numpy(zero_copy_only=False)
+            if level == "geometric":
+                own = scan.Zipped(on)
+                count = own.sums(own.values[0], own.nulls[0])
+                gap, null = gap / (count.to_numpy(zero_copy_only=False) + EPS), null | count.is_null().to_numpy(zero_copy_only=False)
+            gap, null = gap[z.row], null[z.row]
+        with np.errstate(invalid="ignore"):
+            weight = np.exp(np.where(null, BOUND, np.clip(gap, -BOUND, BOUND)))
+            return z.lists(z.values[2] * ((weight >= lower) & (weight <= upper)), z.nulls[2], entry)
 
-def _has_catastrophe(threshold: float, mask: str) -> Column:
-    bad = lambda e: (_ratio(e) < math.log(threshold)) & (e[mask] != 0)
-    return F.exists(seq.zipped("old_logp", "rollout_logp", mask), bad)
+    # The number of arguments is read from the signature.
+    return df.withColumn(out, F.arrow_udf(lambda old, rollout, on: run(old, rollout, on), kind)("old_logp", "rollout_logp", mask))
 
 
 def with_veto(df: DataFrame, threshold: float, mask: str = "mask", out: str = "mask") -> DataFrame:
-    """Whole row masked out when any valid token's ratio is below the threshold."""
+    """Whole row masked out when any valid token's ratio is below the threshold; null and NaN are not below it."""
     if threshold <= 0:
         raise ValueError("veto threshold must be positive")
-    keep = F.when(_has_catastrophe(threshold, mask), 0).otherwise(1)
-    return df.withColumn("__keep", keep).withColumn(out, F.transform(F.col(out), lambda m: m * F.col("__keep"))).drop("__keep")
+    kind, entry = _mask_kind(df, out)
+    edge = math.log(threshold)
+
+    def run(old: pa.Array, rollout: pa.Array, on: pa.Array, taken: pa.Array) -> pa.Array:
+        z, own = scan.Zipped(old, rollout, on), scan.Zipped(taken)
+        with np.errstate(invalid="ignore"):
+            bad = (z.values[0] - z.values[1] < edge) & (z.values[2] != 0) & ~(z.nulls[0] | z.nulls[1] | z.nulls[2])
+        keep = np.bincount(z.row, bad, len(z.lengths)) == 0
+        return own.lists(own.values[0] * keep[own.row], own.nulls[0], entry)
+
+    return df.withColumn(out, F.arrow_udf(lambda old, rollout, on, taken: run(old, rollout, on, taken), kind)("old_logp", "rollout_logp", mask, out))
 
 
 def veto_metrics(df: DataFrame, threshold: float, mask: str = "mask", row: Sequence[str] = ROW) -> DataFrame:

@@ -238,3 +238,32 @@ def test_token_baseline_by_hand(spark, records, compact):
                 if len(lengths) < 2 or (lone and size == lengths[0] and p >= lengths[1]):
                     base = 0.0
                 assert abs(got[i].advantages[t] - (go[t] - base) * m[t]) < 1e-6 and abs(got[i].returns[t] - go[t]) < 1e-9
+
+
+@pytest.mark.parametrize("level", ["token", "sequence", "geometric"])
+def test_rejection_and_veto_of_odd_tokens_follow_the_rule_and_no_token_is_interpreted(spark, level):
+    odd = [
+        ("a", [-1.0, -0.5, None], [-1.1, -0.2, -1.0], [1, 0, 1]), ("b", [-1.0, -0.5], [-1.1], [1, 1]), ("c", [-1.0], [-1.1], [None]), ("d", None, [-1.1], [1]),
+        ("e", [], [], []), ("f", [-1.0, 2.0], [-50.0, 2.5], [1, 1]), ("g", [-1.0], [-0.9], [0]), ("h", [NAN, -1.0], [-1.0, -1.0], [1, 1]), ("i", [-1.01, -1.0], [-1.0, -1.0], [1, 1]),
+    ]
+    df = spark.createDataFrame(odd, "uid string, old_logp array<double>, rollout_logp array<double>, mask array<int>")
+    kept = C.with_rejection_mask(df, level, 2.0, out="kept")
+    out = C.with_veto(kept.withColumn("left", F.col("mask")), 0.905, out="left")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"{name}(" in plan for name in ("transform", "exists", "aggregate", "arrays_zip"))
+    rows = {r.uid: r for r in out.collect()}
+    for uid, old, rollout, mask in odd:
+        if old is None:
+            assert rows[uid].kept is None and rows[uid].left == mask
+            continue
+        gaps = [None if i >= min(len(old), len(rollout)) or old[i] is None else old[i] - rollout[i] for i in range(len(mask))]
+        bad = any(g is not None and m and g < math.log(0.905) for g, m in zip(gaps, mask, strict=True))
+        if level != "token":
+            valid = [g for g, m in zip(gaps, mask, strict=True) if m]
+            whole = None if None in valid else sum(valid)
+            if level == "geometric" and whole is not None:
+                whole = None if None in mask else whole / (sum(mask) + 1e-8)
+            gaps = [whole] * len(gaps)
+        fits = [0.5 <= math.exp(20.0 if g is None else max(min(g, 20.0), -20.0)) <= 2.0 if g is None or g == g else False for g in gaps]
+        assert rows[uid].kept == [None if m is None else m * f for m, f in zip(mask, fits, strict=True)], uid
+        assert rows[uid].left == [None if m is None else m * (not bad) for m in mask], uid
