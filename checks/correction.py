@@ -85,7 +85,7 @@ for _level, _hi, _keep in (
   select uid, rollout_n, cast(case when bad=1 then 0 else n end as bigint) as kept from v""")
 def veto(spark, sf_dir):
     out = C.with_veto(tokens(spark, sf_dir, *LOGPS), 0.905)
-    return out.select("uid", "rollout_n", F.aggregate("mask", F.lit(0).cast("long"), lambda a, m: a + m).alias("kept"))
+    return out.select("uid", "rollout_n", scan.total("mask").cast("long").alias("kept"))
 
 
 @query("c03_veto_metrics", f"""with {T}, {X}, v as (select uid, rollout_n, sum((d < ln(0.905) and mask<>0)::int) bad, sum(mask) n from x group by 1,2)
