@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from rewardloom.operators import score as S
 from rewardloom.operators.advantage import ESTIMATORS, estimator, register_advantage
 from rewardloom.operators.objective import OBJECTIVES, objective, register_objective
-from rewardloom.plans.scale import key_of
+from rewardloom.plans.scale import key_of, run_edges
 
 __all__ = ["ESTIMATORS", "OBJECTIVES", "estimator", "objective", "register_advantage", "register_objective"]
 
@@ -113,15 +113,67 @@ def routed_job(df: DataFrame, routes: dict[str, str], route: str = "data_source"
     return S.score_with_default(df, value)
 
 
+# Kinds of values that numpy holds as pandas would; the others go to pandas group by group.
+_NUMBERS = {"tinyint", "smallint", "int", "bigint", "float", "double"}
+# Kinds of keys whose equality Arrow knows as Spark does.
+_KEYS = {"tinyint", "smallint", "int", "bigint", "string", "date", "timestamp", "boolean"}
+
+
 def group_reduce(df: DataFrame, keys: Sequence[str], fn: Callable[[pd.Series], float], value: str, out: str) -> DataFrame:
     """User aggregate over the values of a group. The values of one group meet in one task, so this
-    is for groups of known size; large groups use the built-in aggregates."""
+    is for groups of known size; large groups use the built-in aggregates.
+
+    Groups of plain keys and numbers pass by in batches: a small group costs its call of ``fn``, not a transfer.
+    """
+    kinds = dict(df.dtypes)
+    if not keys or kinds[value] not in _NUMBERS or any(kinds[k] not in _KEYS for k in keys):
+
+        @F.pandas_udf("double")
+        def run(v: pd.Series) -> float:
+            return float(fn(v))
 
-    @F.pandas_udf("double")
-    def run(v: pd.Series) -> float:
-        return float(fn(v))
+        return df.groupBy(*keys).agg(run(F.col(value)).alias(out))
 
-    return df.groupBy(*keys).agg(run(F.col(value)).alias(out))
+    def reduced(parts: list[pa.Array]) -> float:
+        values = parts[0] if len(parts) == 1 else pa.concat_arrays(parts)
+        return float(fn(pd.Series(np.array(values.to_numpy(zero_copy_only=False)))))
+
+    def walk(batches):
+        last, held = None, []  # the key and values of a group that may go on in the next batch
+
+        def row(key, results):
+            return pa.record_batch([*key, pa.array(results, pa.float64(), from_pandas=True)], names=[*(f"k{i}" for i in range(len(keys))), "result"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            edges = sorted({e for i in range(len(keys)) for e in run_edges(batch.column(i))})
+            values, first = batch.column(len(keys)), [batch.column(i).slice(0, 1) for i in range(len(keys))]
+            starts = edges[:-1]
+            if last is not None and [k.to_pylist() for k in last] != [k.to_pylist() for k in first]:
+                yield row(last, [reduced(held)])
+                held = []
+            if len(starts) > 1:
+                whole = values.to_numpy(zero_copy_only=False) if not values.null_count else None
+                spans = list(zip(starts[:-1], starts[1:], strict=True))
+                results = [reduced([*held, values.slice(0, spans[0][1])])]
+                if whole is not None:
+                    results += [float(fn(pd.Series(whole[a:b].copy()))) for a, b in spans[1:]]
+                else:
+                    results += [reduced([values.slice(a, b - a)]) for a, b in spans[1:]]
+                at = pa.array(starts[:-1], pa.int64())
+                yield row([batch.column(i).take(at) for i in range(len(keys))], results)
+                held = []
+            last = [batch.column(i).slice(starts[-1], 1) for i in range(len(keys))]
+            held.append(values.slice(starts[-1]))
+        if last is not None:
+            yield row(last, [reduced(held)])
+
+    names = [f"k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{k}`").alias(n) for n, k in zip(names, keys, strict=True)], F.col(f"`{value}`").alias("value"))
+    schema = ", ".join([*(f"{n} {kinds[k]}" for n, k in zip(names, keys, strict=True)), "result double"])
+    result = rows.repartition(*names).sortWithinPartitions(*names).mapInArrow(walk, schema)
+    return result.select(*[F.col(n).alias(k) for n, k in zip(names, keys, strict=True)], F.col("result").alias(out))
 
 
 class Fold(NamedTuple):

@@ -243,3 +243,31 @@ def test_dropped_tokens_are_found_from_sums_by_digits(spark, monkeypatch, ratio)
     for mode, want in by_row.items():
         got = objective.loss_clip_cov(df, ratio=ratio, lower=0.0, seed=3, mode=mode).first()
         assert tuple(got) == pytest.approx((want, mean(off), mean(-gap)))
+
+
+def test_small_groups_share_a_transfer(spark):
+    from rewardloom.plans import registry
+
+    rng = np.random.default_rng(2)
+    rows = [(int(k) if k % 7 else None, "ab"[k % 2], None if k == 9 or x > 1 else float(x), int(9 * x)) for k, x in zip(rng.integers(0, 30, 400), rng.normal(size=400), strict=True)]
+    df = spark.createDataFrame(rows, "k long, s string, v double, i int")
+    spread = lambda v: v.max() - v.min() + len(v) + float(v.index[-1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for value, at in (("v", 2), ("i", 3)):
+            out = registry.group_reduce(df, ["s", "k"], spread, value, "spread")
+            plan = out._jdf.queryExecution().optimizedPlan().toString()
+            assert "MapInArrow" in plan and "Aggregate" not in plan
+            want = {}
+            for r in rows:
+                want.setdefault((r[1], r[0]), []).append(r[at])
+            got = {(r.s, r.k): r.spread for r in out.collect()}
+            assert got.keys() == want.keys()
+            for key, values in want.items():
+                known = [v for v in values if v is not None]
+                expected = max(known) - min(known) + 2 * len(values) - 1 if known else None
+                assert got[key] == (expected if expected is None else pytest.approx(expected))
+        # a group of texts goes to pandas whole
+        assert {r.k: r.n for r in registry.group_reduce(df, ["k"], len, "s", "n").collect()} == {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows}}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
