@@ -4,7 +4,7 @@ import io
 import json
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from checks.base import ORACLES, R, query, r6, rollouts, rounded, table, tokens
@@ -45,24 +45,41 @@ def detect(spark, sf_dir):
     return df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(S.detect_format(f"{sf_dir}/documents.parquet")).alias("format"), "rows")
 
 
+SHARD_BYTES = 64 << 20
+
+
 def write_shards(spark, sf_dir):
-    """Documents as TAR shards, one per source: a JSON member and a binary member per sample."""
+    """Documents as TAR shards of one source and about SHARD_BYTES at most: a JSON member and a binary member per sample."""
     folder = L.work_folder(spark)
     spark.range(1).write.mode("overwrite").parquet(f"{folder}/made")  # Spark makes the folder, wherever it is
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = f"{folder}/{pdf['source'].iloc[0]}.tar"
-        with TAR.open_shared(name, write=True) as file, tarfile.open(fileobj=file, mode="w|") as out:
-            for doc, source, lang, text in pdf[["doc_id", "source", "lang", "text"]].itertuples(index=False):
+    def write(batches):
+        name = out = file = None
+        for batch in batches:
+            for doc, source, lang, text, part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != (source, part):
+                    if out is not None:
+                        out.close()
+                        file.close()
+                    name = (source, part)
+                    file = TAR.open_shared(f"{folder}/{source}{f'-{part}' if part else ''}.tar", write=True)
+                    out = tarfile.open(fileobj=file, mode="w|")
                 meta = json.dumps({"doc_id": int(doc), "lang": lang}).encode()
                 for ext, payload in (("json", meta), ("txt", text.encode())):
                     info = tarfile.TarInfo(f"doc{doc}.{ext}")
                     info.size = len(payload)
                     out.addfile(info, io.BytesIO(payload))
-        return pd.DataFrame({"shard": [name], "rows": [len(pdf)]})
+            yield pa.record_batch([pa.array([batch.num_rows])], names=["rows"])
+        if out is not None:
+            out.close()
+            file.close()
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    docs.groupBy("source").applyInPandas(write, "shard string, rows long").agg(F.sum("rows")).collect()
+    # A source is dealt over as many shards as the bytes of the largest one ask for, by the key of the sample.
+    most = docs.groupBy("source").agg(F.sum(F.octet_length("text") + 2048).alias("bytes")).agg(F.max("bytes")).first()[0]
+    dealt = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-(most or 0) // SHARD_BYTES)))))
+    dealt = dealt.repartition("source", "part").sortWithinPartitions("source", "part")
+    dealt.mapInArrow(write, "rows long").agg(F.sum("rows")).collect()
     return folder
 
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rewardloom.plans.blocks import tasks
+
 MEMBER_SCHEMA = "shard string, key string, ext string, payload binary"
 SAMPLE_SCHEMA = "shard string, key string, json string, files array<struct<ext:string,payload:binary>>"
 SPLIT_BYTES = 1 << 30
@@ -78,9 +80,9 @@ def _ranges(spark: SparkSession, paths: Sequence[str] | str, split_bytes: int) -
     shards = list_shards(spark, [paths] if isinstance(paths, str) else list(paths))
     found = spark.createDataFrame([(s,) for s in shards], "shard string").repartition(max(1, len(shards)))
     index = found.mapInArrow(_index(split_bytes), "shard string, start long, end long")
-    # An index row is small and its range is large: one task per range, whatever their number.
+    # An index row is small and its range is large: a task per range, up to a few times the cores; beyond that a task reads several in turn.
     index = index.checkpoint() if spark.sparkContext.getCheckpointDir() else index
-    return index.repartition(max(1, index.count()), "shard", "start")
+    return index.repartition(tasks(spark, index.count()))
 
 
 def _read(rows_of, kinds: list[tuple[str, pa.DataType]]):

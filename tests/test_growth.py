@@ -271,3 +271,23 @@ def test_small_groups_share_a_transfer(spark):
         assert {r.k: r.n for r in registry.group_reduce(df, ["k"], len, "s", "n").collect()} == {k: sum(r[0] == k for r in rows) for k in {r[0] for r in rows}}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_many_small_ranges_of_shards_share_tasks(spark, tmp_path):
+    import io
+    import tarfile
+
+    from rewardloom.sources import tar
+
+    for s in range(3):
+        with tarfile.open(f"{tmp_path}/s{s}.tar", "w") as out:
+            for i in range(40):
+                for ext, payload in (("json", b'{"i": 1}'), ("txt", bytes(600))):
+                    info = tarfile.TarInfo(f"{s}-{i}.{ext}")
+                    info.size = len(payload)
+                    out.addfile(info, io.BytesIO(payload))
+    df = tar.scan_tar_samples(spark, str(tmp_path), split_bytes=2000)
+    assert df.rdd.getNumPartitions() <= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.collect()
+    assert sorted(r.key for r in rows) == sorted(f"{s}-{i}" for s in range(3) for i in range(40))
+    assert all(r.json == '{"i": 1}' and [len(f.payload) for f in r.files] == [600] for r in rows)
