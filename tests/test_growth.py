@@ -291,3 +291,16 @@ def test_many_small_ranges_of_shards_share_tasks(spark, tmp_path):
     rows = df.collect()
     assert sorted(r.key for r in rows) == sorted(f"{s}-{i}" for s in range(3) for i in range(40))
     assert all(r.json == '{"i": 1}' and [len(f.payload) for f in r.files] == [600] for r in rows)
+
+
+def test_packs_number_rows_before_they_have_tokens(spark, folder, monkeypatch):
+    from checks import base, sequence
+    from rewardloom.operators import batch
+
+    seen = []
+    real = batch.with_row_idx
+    monkeypatch.setattr(batch, "with_row_idx", lambda df, *a: seen.append(df.dtypes) or real(df, *a))
+    rows = sequence.fixed_packs(spark, folder).orderBy("row_idx").collect()
+    assert len(seen) == 1 and not [t for _, t in seen[0] if t.startswith("array")]
+    want = base.tokens(spark, folder, "mask", "entropy").orderBy("uid", "rollout_n").collect()
+    assert [(r.row_idx, r.uid, r["mask"], r.entropy, r.pack_id) for r in rows] == [(i, w.uid, w["mask"], w.entropy, str(i // 8)) for i, w in enumerate(want)]
